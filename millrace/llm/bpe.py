@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of the caches of pieces and of token pairs; a full cache starts anew.
-CACHE = 400_000
+CACHE, PAIRS = 400_000, 1_000_000
 
 
 def load_ranks(content: bytes) -> dict[bytes, int]:
@@ -45,34 +45,28 @@ class Vocabulary:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.longest = max(map(len, ranks), default=0)
-        self._pairs: dict[int, bool] = {}
-        self._whole: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
+        #: The tokens that their own bytes encode to; no other can end a prefix.
+        self.usable = {token: rank for token, rank in ranks.items() if len(token) == 1 or self.merged(token) == [rank]}
         self.packed = _Packed(self)
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: merge the pair of lowest rank, leftmost first, while there is one."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            rank, at = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1)))
+            ranked = [self.ranks.get(a + b, 1 << 40) for a, b in zip(parts, parts[1:])]
+            rank = min(ranked)
             if rank == 1 << 40:
                 break
+            at = ranked.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def whole(self, token: int) -> bool:
-        """Whether merging the token's own bytes gives the token."""
-        known = self._whole.get(token)
-        if known is None:
-            known = self._whole[token] = self.merged(self.bytes_of[token]) == [token]
-        return known
-
     def may_follow(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) > CACHE:
-                self._pairs.clear()
-            known = self._pairs[key] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        """Whether the bytes of both, encoded together, give just these two."""
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        known = self.pairs[left << 32 | right] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
     def encode_piece(self, data: bytes) -> list[int]:
@@ -116,13 +110,21 @@ class Prefixes:
     def append(self, more: bytes) -> None:
         v, start = self.v, len(self.data)
         self.data = data = self.data + more
-        ranks, last = v.ranks, self.last
+        token_of, known, last, longest = v.usable.get, v.pairs.get, self.last, v.longest
         for end in range(start + 1, len(data) + 1):
-            for begin in range(max(0, end - v.longest), end):
-                token = ranks.get(data[begin:end])
-                if token is not None and v.whole(token) and (not begin or v.may_follow(last[begin - 1], token)):
-                    last.append(token)
-                    break
+            for begin in range(end - longest if end > longest else 0, end):
+                token = token_of(data[begin:end])
+                if token is None:
+                    continue
+                if begin:
+                    before = last[begin - 1]
+                    fits = known(before << 32 | token)
+                    if fits is None:
+                        fits = v.may_follow(before, token)
+                    if not fits:
+                        continue
+                last.append(token)
+                break
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
 

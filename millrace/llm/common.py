@@ -1,8 +1,8 @@
 """Shared pieces of the corpus operators: scratch tables, row keys and vectorised word hashing.
 
 Row keys.  ``with_key`` gives every row a unique long ``_key``.  A unique, non-null integer id is used
-as it is; otherwise (null or repeated ids) the rows are numbered once and written to a scratch table, so
-repeated rows are separate documents everywhere and later scans agree on the numbers.
+as it is; otherwise (null or repeated ids) the rows are numbered once, in the order of their ids with nulls last,
+and written to a scratch table, so repeated rows are separate documents everywhere and later scans agree.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def with_key(df: DataFrame, id_col: str, name: str = "keyed") -> DataFrame:
         odd = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1))
         if odd.isEmpty():
             return df.withColumn("_key", F.col(id_col).cast("long"))
-    return written(df.withColumn("_key", F.monotonically_increasing_id()), name)
+    return written(df.orderBy(F.col(id_col).asc_nulls_last()).withColumn("_key", F.monotonically_increasing_id()), name)
 
 
 # ---------------------------------------------------------------------------------------------------

@@ -40,20 +40,27 @@ def named(items: DataFrame, cols: list[str], label: str) -> DataFrame:
     return written(ranked.withColumn("name", F.monotonically_increasing_id()), label)
 
 
-def identities(texts: DataFrame, block: int = 2048, sample: int = 48) -> DataFrame:
-    """(_key, n_blocks, name, n_norm, head, middle, tail) for the rows of texts (_key, norm)."""
-    n = F.length("norm")
-    probed = texts.select(
-        "_key", "norm", n.alias("n_norm"), F.substring("norm", 1, sample).alias("head"), F.expr(f"substring(norm, length(norm) div 2, {sample})").alias("middle"), F.expr(f"right(norm, {sample})").alias("tail")
-    )
-    probe = ["n_norm", "head", "middle", "tail"]
-    sizes = probed.groupBy(*probe).agg(F.count(F.lit(1)).alias("alike"))
-    small = probed.select("_key", *probe)
-    classes = written(small.join(sizes, probe).select("_key", *probe, "alike"), "classes")
-    several = classes.where("alike > 1").select("_key")
+PROBE = ["n_norm", "head", "middle", "tail"]
+
+
+def probed(text: Column, sample: int = 48) -> list[Column]:
+    """The length of the normalised text and its sample blocks."""
+    norm = normalised(text)
+    return [
+        F.length(norm).alias("n_norm"),
+        F.substring(norm, 1, sample).alias("head"),
+        norm.substr(F.floor(F.length(norm) / 2).cast("int"), F.lit(sample)).alias("middle"),
+        F.right(norm, F.lit(sample)).alias("tail"),
+    ]
+
+
+def identities(texts: DataFrame, probes: DataFrame, block: int = 2048) -> DataFrame:
+    """probes with n_blocks and name. texts: _key, text; probes: _key and the columns of probed()."""
+    sizes = probes.groupBy(*PROBE).agg(F.count(F.lit(1)).alias("alike")).where("alike > 1")
+    several = written(probes.select("_key", *PROBE).join(sizes, PROBE).select("_key"), "alike")
+    texts = texts.join(several, "_key").select("_key", normalised(F.col("text")).alias("norm"))
     cut = (
-        texts.join(several, "_key")
-        .select("_key", F.expr(f"greatest(1, cast(ceil(length(norm) / {block}D) as int))").alias("n_blocks"), "norm")
+        texts.select("_key", F.expr(f"greatest(1, cast(ceil(length(norm) / {block}D) as int))").alias("n_blocks"), "norm")
         .select("_key", "n_blocks", F.posexplode(F.expr(f"transform(sequence(0, n_blocks - 1), i -> substring(norm, i * {block} + 1, {block}))")).alias("at", "block"))
     )
     cut = written(cut, "blocks")
@@ -77,30 +84,34 @@ def identities(texts: DataFrame, block: int = 2048, sample: int = 48) -> DataFra
     full = done[0]
     for x in done[1:]:
         full = full.unionByName(x)
-    return classes.join(full, "_key", "left").select("_key", *probe, F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), F.coalesce("name", F.lit(-1).cast("long")).alias("name"))
+    # A text that is alone in its class has no blocks named; its class is its identity.
+    return probes.join(full, "_key", "left").withColumns({"n_blocks": F.coalesce("n_blocks", F.lit(0)), "name": F.coalesce("name", F.lit(-1).cast("long"))})
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_code_points, _key."""
     keyed = with_key(plain(docs, id_col, text_col), id_col, "exact-dedup")
-    texts = keyed.select("_key", normalised(F.col(text_col)).alias("norm"))
+    text = F.col(text_col).cast("string")
     about = keyed.select(
         "_key",
         F.col(id_col).alias("doc_id"),
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_code_points"),
-        F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("text_sha256"),
+        F.length(F.coalesce(text, F.lit(""))).alias("n_code_points"),
+        F.sha2(normalised(text).cast("binary"), 256).alias("text_sha256"),
+        *probed(text),
     )
-    rows = written(about.join(identities(texts), "_key"), "identities")
-    same = ["n_norm", "head", "middle", "tail", "n_blocks", "name"]
-    # The largest of (code points, -id, -key) stays; a null id sorts below every other.
-    best = F.max(F.struct(F.col("n_code_points").alias("a"), (-F.col("doc_id").cast("decimal(20,0)")).alias("b"), (-F.col("_key")).alias("c"), F.col("doc_id").alias("id"), F.col("_key").alias("k")))
+    about = written(about, "probes")
+    rows = written(identities(keyed.select("_key", text.alias("text")), about), "identities")
+    release(about)
+    same = [*PROBE, "n_blocks", "name"]
+    # The most code points stay, then the smallest key, which is in the order of the ids.
+    best = F.max(F.struct(F.col("n_code_points").alias("n"), (-F.col("_key")).alias("k"), F.col("doc_id").alias("id")))
     groups = rows.groupBy(*same).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     out = rows.join(groups, same, "left")
     return out.select(
         "doc_id",
         F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("best").isNull() | (F.col("best.k") == F.col("_key"))).alias("kept"),
+        (F.col("best").isNull() | (F.col("best.k") == -F.col("_key"))).alias("kept"),
         "text_sha256",
         "n_code_points",
         "_key",
@@ -111,10 +122,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs without the rows that exact_dedup drops; all its columns stay."""
     cols = docs.columns
     keyed = with_key(docs, id_col, "exact-dedup-rows")
-    inner = keyed.select(F.col("_key").alias("_row"), F.col(text_col).alias("_text"))
-    dropped = exact_dedup(inner, "_row", "_text") if id_col not in ("_row",) else None
-    out = dropped.where(~F.col("kept")).select(F.col("doc_id").alias("_key"))
-    return keyed.join(out, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in cols])
+    found = exact_dedup(keyed.select(F.col("_key").alias("_row"), F.col(text_col).alias("_text")), "_row", "_text")
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_key"))
+    return keyed.join(dropped, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in cols])
 
 
 ORACLE = """
