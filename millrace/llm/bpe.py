@@ -153,8 +153,9 @@ class EncodedText:
         self.replace(len(self.text), len(self.text), more)
 
     def replace(self, start: int, end: int, new: str) -> None:
-        # The piece that holds the character before the edit is cut anew: its end may have looked at the edit.
-        first = max(0, bisect_right(self.starts, max(0, start - 1)) - 1)
+        # The piece that holds the character before the edit is cut anew, and the one before it: a run of spaces
+        # leaves its last one to a word that follows, so the end of both may have depended on the edit.
+        first = max(0, bisect_right(self.starts, max(0, start - 1)) - 2)
         begin = self.starts[first] if self.starts else 0
         shift, safe = len(new) - (end - start), start + len(new)
         old = {s + shift: i for i, s in enumerate(self.starts) if s >= end}

@@ -83,8 +83,9 @@ def plain(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The size of what df scans, as the optimizer knows it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """The size of the tables that df is made from; the optimizer's own guess of a join's size can be far too large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def parts_for(df: DataFrame, each: int) -> int:

@@ -219,7 +219,7 @@ def candidate_ties(sketched: DataFrame, f: Forest) -> DataFrame:
         if size:
             yield sent()
 
-    def across(key, table: pa.Table) -> pa.Table:
+    def across(key, table):
         a, b, parts = [], [], []
         for p in table.column("payload"):
             raw = p.as_py()
@@ -293,7 +293,7 @@ def verify(texts: DataFrame, sets_of: DataFrame, f: Forest) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["bucket", "component", "x", "y", "_key", "own", "body"])
 
-    def compare(key, table: pa.Table) -> pa.Table:
+    def compare(key, table):
         component, x, y, keys, own = (table.column(c).to_numpy() for c in ("component", "x", "y", "_key", "own"))
         bodies = table.column("body").combine_chunks()
         out_key, out_links, out_least = [], [], []

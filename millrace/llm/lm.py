@@ -122,7 +122,7 @@ def count_tokens(texts: DataFrame, buckets: int, piece: int) -> DataFrame:
         if size:
             yield sent()
 
-    def add(key, table: pa.Table) -> pa.Table:
+    def add(key, table):
         parts = [_unpack(p.as_py(), (_U, np.uint32)) for p in table.column("payload")]
         keys, n = _added(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.uint64))
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "payload": pa.array([_pieces([keys, n])], pa.binary()), "types": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
@@ -187,7 +187,7 @@ def count_trigrams(texts: DataFrame, known: np.ndarray, number: np.ndarray, widt
         if len(keys):
             yield _rows([(b, _pieces([keys[x].astype(np.uint32), n[x].astype(np.uint64)])) for b, x in _split(keys % buckets)])
 
-    def add(key, table: pa.Table) -> pa.Table:
+    def add(key, table):
         parts = [_unpack(p.as_py(), (np.uint32, np.uint64)) for p in table.column("payload")]
         keys, n = _added(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "payload": pa.array([_pieces([keys, n])], pa.binary())})
@@ -310,7 +310,7 @@ def lm_scores(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_
         if ids:
             yield sent()
 
-    def answer(key, rows: pa.Table) -> pa.Table:
+    def answer(key, rows):
         """Negative buckets hold what is known of a piece's texts, and pass."""
         out, asked, have = [], [], None
         for kind, payload in zip(rows.column("counted"), rows.column("payload")):
@@ -332,7 +332,7 @@ def lm_scores(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_
     norm = math.log10(total + 0.5 * (types + 1))
     shared_norm = math.log10(shared_sum)
 
-    def finish(key, rows: pa.Table) -> pa.Table:
+    def finish(key, rows):
         payloads = [p.as_py() for p in rows.column("payload")]
         about = next(p for p in payloads if p[0] == 0)
         _, ids, none, held, n, own_sum, logs, shared_logs, n_known, n_shared = _unpack(about[1:], (np.int64, np.int64, bool, bool, np.int64, np.float64, np.float64, np.float64, np.int64, np.int64))

@@ -125,7 +125,7 @@ def removal_runs(texts: DataFrame, length: int = 20, gram: int = 6, piece: int =
         if size:
             yield sent()
 
-    def count(key, table: pa.Table) -> pa.Table:
+    def count(key, table):
         out_key, out_start, out_n, parts = [], [], [], []
         for p in table.column("payload"):
             raw = p.as_py()

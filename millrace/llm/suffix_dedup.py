@@ -190,7 +190,7 @@ def find_runs(texts: DataFrame, length: int, gram: int, group: int, crowd: int,
         if size:
             yield sent()
 
-    def judge(key, table: pa.Table) -> pa.Table:
+    def judge(key, table):
         out, parts = [], []
         for p in table.column("payload"):
             raw = p.as_py()
@@ -256,7 +256,7 @@ def compare_runs(texts: DataFrame, asked: DataFrame, length: int, bucket: int) -
                 rows += [(x, b"\1" + _pieces([a[i], b[i], key[i], s[i], settled[i]])) for x, i in _split((a % _U(buckets)).astype(np.int64))]
             yield _rows(rows)
 
-    def array(key, table: pa.Table) -> pa.Table:
+    def array(key, table):
         keys, starts, sizes = [], [], []
         places, parts, counts, hashed = [], [], [], []
         for p in table.column("payload"):

@@ -266,7 +266,7 @@ class WarcWriter(DataSourceArrowWriter):
             for i in range(batch.num_rows):
                 row = {k: c[i].as_py() for k, c in cols.items()}
                 data = member(record(row["page_id"], row["url"], row["payload"] or b"", row["digest"], row["refers_to"], row["revisit"]), self.level)
-                out = out or at.open_output_stream(f"{root}/{name}")
+                out = out or at.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(data)
                 size += len(data)
         if out:
