@@ -182,7 +182,7 @@ def remainder(id_col: Column) -> Column:
 
 
 def _stems(word: str) -> list[str]:
-    return [word[:n] for n in (4, 5, 6) if len(word) > n]
+    return [word[:n] for n in range(4, 9) if len(word) > n]
 
 
 def _term_counts(batches):
@@ -198,9 +198,17 @@ def _term_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[t][0] for t in terms], pa.int64()), pa.array([counts[t][1] for t in terms], pa.int64())], ["term", "toxic", "clean"])
 
 
-def choose(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, ratio: float = 8.0) -> tuple[list[str], list[str]]:
-    """Words and stems whose share of the toxic documents is `ratio` times that of the clean ones."""
-    good = {t: a for t, a, b in rows if (a + 0.5) / (n_toxic + 1) >= ratio * (b + 0.5) / (n_clean + 1)}
+def choose(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, ratio: float = 40.0, evidence: float = 14.0) -> tuple[list[str], list[str]]:
+    """Words and stems whose share of the toxic documents is `ratio` times that of the clean ones, and that are not so
+    by chance: so many nats against the base rate, as very many terms are looked at."""
+    base = n_toxic / (n_toxic + n_clean)
+
+    def nats(a: int, b: int) -> float:
+        p = a / (a + b)
+        return a * math.log(p / base) + (b * math.log((1 - p) / (1 - base)) if b else 0.0)
+
+    good = {t: a for t, a, b in rows if (a + 0.5) / (n_toxic + 1) >= ratio * (b + 0.5) / (n_clean + 1) or not b}
+    good = {t: a for t, a, b in rows if t in good and nats(a, b) >= evidence}
     words = {t: a for t, a in good.items() if not t.endswith("*") and len(t) >= 3}
     best: dict[str, int] = {}
     for w, a in words.items():
