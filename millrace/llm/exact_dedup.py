@@ -56,7 +56,7 @@ def probed(text: Column, sample: int = 48) -> list[Column]:
 
 def identities(texts: DataFrame, probes: DataFrame, block: int = 2048) -> DataFrame:
     """probes with n_blocks and name. texts: _key, text; probes: _key and the columns of probed()."""
-    sizes = probes.groupBy(*PROBE).agg(F.count(F.lit(1)).alias("alike")).where("alike > 1")
+    sizes = written(probes.groupBy(*PROBE).agg(F.count(F.lit(1)).alias("alike")).where("alike > 1").select(*PROBE), "classes")
     several = written(probes.select("_key", *PROBE).join(sizes, PROBE).select("_key"), "alike")
     texts = texts.join(several, "_key").select("_key", normalised(F.col("text")).alias("norm"))
     cut = (
@@ -105,7 +105,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = [*PROBE, "n_blocks", "name"]
     # The most code points stay, then the smallest key, which is in the order of the ids.
     best = F.max(F.struct(F.col("n_code_points").alias("n"), (-F.col("_key")).alias("k"), F.col("doc_id").alias("id")))
-    groups = rows.groupBy(*same).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    # Written, so that the join has an exchange of its own on either side and a hot group can be split.
+    groups = written(rows.groupBy(*same).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "groups")
     out = rows.join(groups, same, "left")
     return out.select(
         "doc_id",
