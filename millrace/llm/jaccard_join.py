@@ -330,7 +330,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = keyed.select("_key", F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = written(sketch(texts, f), "sketches")
     same = ["n", "one", "two"]
-    copies = sketched.where("n > 0").groupBy(*same).agg(F.min("_key").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
+    # Written, so that the join has an exchange of its own on either side and a hot class can be split.
+    copies = written(sketched.where("n > 0").groupBy(*same).agg(F.min("_key").alias("rep"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1"), "copies")
     classes = sketched.select("_key", *same).join(copies, same, "left")
     classes = written(classes.select("_key", F.coalesce("rep", "_key").alias("rep"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")), "classes")
     first = classes.where("rep = _key").select("_key")
