@@ -93,7 +93,8 @@ def halves(means: DataFrame, keys: list[str] = STREAM) -> DataFrame:
     for name, inside in (("first", F.col("_first")), ("second", ~F.col("_first"))):
         mean, at = F.when(inside, F.col("mean")), F.when(inside, F.col("shift_instance"))
         out += [F.count(mean).alias(f"{name}_half_shift_instance_count"), F.avg(mean).alias(f"{name}_half_mean"), F.stddev_samp(mean).alias(f"{name}_half_sample_std"), F.min(at).alias(f"{name}_half_start"), F.max(at).alias(f"{name}_half_end")]
-    return rows.groupBy(*keys).agg(*out).withColumn("second_minus_first_mean", F.col("second_half_mean") - F.col("first_half_mean"))
+    both = rows.groupBy(*keys).agg(*out).where("second_half_shift_instance_count > 0")
+    return both.withColumn("second_minus_first_mean", F.col("second_half_mean") - F.col("first_half_mean"))
 
 
 def _centred(means: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,7 +128,7 @@ def trend(means: DataFrame, keys: list[str] = STREAM) -> DataFrame:
         F.max(F.abs(F.col("_loo") - F.col("_slope"))).alias("max_loo_slope_change"),
     )
     half = Z_975 * F.col("slope_standard_error")
-    return out.withColumns(
+    return out.where("observation_count >= 3").withColumns(
         {
             "slope_ci_95_low": F.col("slope_per_day") - half,
             "slope_ci_95_high": F.col("slope_per_day") + half,
