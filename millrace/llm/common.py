@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,23 @@ SLICE = 1 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each application: they need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="millrace-ship-")) / "millrace.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(path))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a folder of our own only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)

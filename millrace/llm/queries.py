@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontamination, exact_dedup, jaccard_join, lm, secrets, substring_dedup, suffix_dedup, toxicity, warc
-from millrace.llm.common import scratch_path
+from millrace.llm.common import scratch_path, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
