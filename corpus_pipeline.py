@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontamination, exact_dedup, jaccard_join, toxicity
-from millrace.llm.common import written
+from millrace.llm.common import ship, written
 from millrace.llm.queries import table, tokenizer
 
 
@@ -22,11 +22,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one stays."""
+    ship(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked texts the one with the smallest id stays."""
+    ship(spark)
     return jaccard_join.keep_one(docs)
 
 
@@ -37,6 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of every kept document, and whether the tokens decode to the text."""
+    ship(spark)
     return bpe.digests(docs, *tokenizer())
 
 
