@@ -222,6 +222,25 @@ def choose(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, ratio:
     return sorted(w for w in words if not any(w.startswith(s) for s in stems)), sorted(stems)
 
 
+def cover(lists: list[list[str]], most: int, gain: int = 3) -> tuple[list[str], list[str]]:
+    """The terms that a greedy cover of the toxic documents takes: a term that only goes with others, such as a rare
+    word of a much copied document, finds no document of its own and is left out."""
+    docs_of: dict[str, set[int]] = {}
+    for i, terms in enumerate(lists):
+        for t in terms:
+            docs_of.setdefault(t, set()).add(i)
+    taken: list[str] = []
+    while docs_of and len(taken) < most:
+        best = max(docs_of, key=lambda t: (len(docs_of[t]), t))
+        hit = docs_of.pop(best)
+        if len(hit) < gain:
+            break
+        taken.append(best)
+        for t in docs_of:
+            docs_of[t] = docs_of[t] - hit
+    return sorted(t for t in taken if not t.endswith("*")), sorted(t[:-1] for t in taken if t.endswith("*"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, lexicon: int = 400, least: int = 5) -> Model:
     """train: which ids may be learned from, a condition on labels' id_col."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -239,9 +258,20 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     lift = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5)
     top = counted.where(F.col("toxic") >= min(least, max(1, n_toxic // 10))).orderBy((F.log(lift) * F.sqrt("toxic")).desc(), "term").limit(8 * lexicon).collect()
     words, stems = choose([(r["term"], r["toxic"], r["clean"]) for r in top], n_toxic, n_clean)
-    strength = {r["term"]: r["toxic"] for r in top}
-    words = sorted(sorted(words, key=lambda w: (-strength[w], w))[:lexicon])
-    found = Lexicon(words, stems[:lexicon])
+    known_words, known_stems = frozenset(words), frozenset(stems)
+
+    def held(batches):
+        for batch in batches:
+            terms = []
+            for text in batch.column(0):
+                own = set(WORD.findall((text.as_py() or "").lower()))
+                terms.append(sorted((own & known_words) | {f"{x}*" for w in own for x in _stems(w) if x in known_stems}))
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.string()))], ["terms"])
+
+    # At most `sample` short lists.
+    lists = [r["terms"] for r in rows.where("_toxic").mapInArrow(held, "terms array<string>").collect()]
+    words, stems = cover(lists, lexicon)
+    found = Lexicon(words, stems)
 
     # Words one edit away that clean documents hold are no misspellings.
     def near(batches):
