@@ -28,7 +28,7 @@ RESULT = "measurement_id long, measurement_timestamp timestamp_ntz, baseline_id
 STATE = "baseline long, n int, last double, zones string, side int, run int"
 
 
-def run_rules(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def run_rules(key, frames: Iterator[pd.DataFrame], state: GroupState, expire_hours: int | None = None) -> Iterator[pd.DataFrame]:
     """One shift's new rows, in the order of their times; late rows join at the end of what was seen."""
     if state.hasTimedOut:
         state.remove()
@@ -59,14 +59,23 @@ def run_rules(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterato
         )
         out.append((r.measurement_id, r.measurement_timestamp, own, mr, *hits, any(hits)))
     state.update((baseline, n, last, zones, side, run))
-    state.setTimeoutDuration(24 * 3600 * 1000)
+    if expire_hours:
+        state.setTimeoutDuration(expire_hours * 3600 * 1000)
     yield pd.DataFrame(out, columns=["measurement_id", "measurement_timestamp", "baseline_id", "moving_range", "rule_1", "rule_2", "rule_3", "rule_4", "spc_signal"]).astype({"baseline_id": "Int64", "spc_signal": "boolean"})
 
 
-def monitor(stream: DataFrame, baselines: DataFrame, zone: str) -> DataFrame:
-    """All rules on a streaming DataFrame with the columns of an enriched stream; use output mode append."""
+def monitor(stream: DataFrame, baselines: DataFrame, zone: str, expire_hours: int | None = None) -> DataFrame:
+    """All rules on a streaming DataFrame with the columns of an enriched stream; use output mode append.
+
+    expire_hours drops a shift's state so long after its last row.  A query that runs without end should set it, as
+    every shift leaves a state; a query with an available-now trigger must not, as it would wait for the expiry."""
     matched = effective(stream, baselines, zone).select("measurement_id", "measurement_timestamp", *STREAM, "measured_value", "baseline_id", *LIMITS)
-    return matched.groupBy(*STREAM).applyInPandasWithState(run_rules, RESULT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_hours else GroupStateTimeout.NoTimeout
+
+    def run(key, frames, state):
+        yield from run_rules(key, frames, state, expire_hours)
+
+    return matched.groupBy(*STREAM).applyInPandasWithState(run, RESULT, STATE, "append", timeout)
 
 
 __all__ = ["SCOPE", "monitor", "rule_1", "run_rules"]

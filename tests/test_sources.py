@@ -9,10 +9,15 @@ from millrace.sources import files, generate
 from millrace.streaming import monitor
 
 
+PERIOD = generate.Period(first="2026-01-16", last="2026-02-04")
+
+
 @pytest.fixture(scope="module")
-def plant(spark):
-    tables = generate.generate(spark, generate.Period(first="2026-01-15", last="2026-02-05"))
-    return {n: df.cache() for n, df in tables.items()}
+def plant(spark, tmp_path_factory):
+    out = tmp_path_factory.mktemp("plant")
+    for name, df in generate.generate(spark, PERIOD).items():
+        df.coalesce(1).write.parquet(str(out / name))
+    return {name: spark.read.parquet(str(out / name)) for name in files.ORDER}
 
 
 def test_calendar(spark):
@@ -30,19 +35,20 @@ def test_generated_tables_hold_their_invariants(spark, plant):
 
 
 def test_generation_is_reproducible(spark, plant):
-    again = generate.generate(spark, generate.Period(first="2026-01-15", last="2026-02-05"))["fact_quality_measurement"]
+    again = generate.generate(spark, PERIOD)["fact_quality_measurement"]
     assert plant["fact_quality_measurement"].exceptAll(again).isEmpty()
     m = plant["fact_quality_measurement"].agg(F.avg("measured_value"), F.stddev("measured_value")).first()
     assert 74 < float(m[0]) < 76 and 1 < float(m[1]) < 2.5
 
 
-def test_views(spark, plant):
+def test_views(spark, plant, tmp_path):
     t = plant
     measured = enrich.enrich(t["fact_quality_measurement"], t["dim_cabin"], t["dim_batch"], t["dim_shift"], t["dim_booth"], t["dim_measurement_point"], t["dim_specification"])
-    window = baseline.baseline_window(measured, 18)
+    window = baseline.baseline_window(measured, 14)
     inside = baseline.in_window(measured, window)
     drafted = baseline.draft(baseline.fit(inside), window, baseline.fingerprint(inside), None, "Europe/Budapest").withColumn("baseline_id", F.col("booth_id").cast("long") * 100 + F.col("measurement_point_id"))
-    limits = baseline.activate(drafted, "quality").cache()
+    baseline.activate(drafted, "quality").write.parquet(str(tmp_path / "limits"))
+    limits = spark.read.parquet(str(tmp_path / "limits"))
     made = views.create(spark, plant, limits)
     assert len(made) == 13
     n = t["fact_quality_measurement"].count()
