@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import release, written
+
 WORD = re.compile(r"\w+")
 #: Words that report or mention what others said.
 REPORTING = frozenset("said says say saying quote quoted quotes called calls wrote writes word words term phrase shouted reported".split())
@@ -198,10 +200,10 @@ def _term_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[t][0] for t in terms], pa.int64()), pa.array([counts[t][1] for t in terms], pa.int64())], ["term", "toxic", "clean"])
 
 
-def choose(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, ratio: float = 40.0, evidence: float = 14.0) -> tuple[list[str], list[str]]:
+def choose(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, n_terms: int, ratio: float = 40.0, margin: float = 2.0) -> tuple[list[str], list[str]]:
     """Words and stems whose share of the toxic documents is `ratio` times that of the clean ones, and that are not so
-    by chance: so many nats against the base rate, as very many terms are looked at."""
-    base = n_toxic / (n_toxic + n_clean)
+    by chance: of n_terms terms, less than exp(-margin) are expected to be by chance what they are."""
+    base, evidence = n_toxic / (n_toxic + n_clean), math.log(max(1, n_terms)) + margin
 
     def nats(a: int, b: int) -> float:
         p = a / (a + b)
@@ -255,9 +257,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     if not n_toxic or not n_clean:
         return Model()
     counted = rows.mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = written(counted, "term-counts")
+    n_terms = counted.count()
     lift = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5)
     top = counted.where(F.col("toxic") >= min(least, max(1, n_toxic // 10))).orderBy((F.log(lift) * F.sqrt("toxic")).desc(), "term").limit(8 * lexicon).collect()
-    words, stems = choose([(r["term"], r["toxic"], r["clean"]) for r in top], n_toxic, n_clean)
+    release(counted)
+    words, stems = choose([(r["term"], r["toxic"], r["clean"]) for r in top], n_toxic, n_clean, n_terms)
     known_words, known_stems = frozenset(words), frozenset(stems)
 
     def held(batches):
