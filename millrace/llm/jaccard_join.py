@@ -7,10 +7,9 @@ shingle).  Two texts are linked if the Jaccard similarity of their shingle sets
    the same set are one class, named by its smallest key; from here on only class representatives are looked at.
 2. A tree of the forest is the sorted prefix trie of one part of the signatures.  In sorted order a label's longest
    prefix matches are its neighbours; the match is shortened level by level until the chance that a pair of the
-   wanted similarity shares a prefix of that length in some tree reaches `recall`.  Within a prefix group each text
-   is tied to its next ones in the trie's order and to the group's first; ties whose whole signatures rule
-   the similarity out are dropped.  That is a fixed number of ties for each text, not all pairs of a group.  A task does
-   this for a piece of its texts first and sends on one text for each set of tied ones.
+   wanted similarity shares a prefix of that length in some tree reaches `recall`.  Within a prefix group every pair
+   is a candidate: it is tied unless the whole signatures rule the similarity out.  Pairs that other ties join
+   already are skipped, and one tie for each text leaves.  A group of more than `group` texts meets as pairs of blocks.
 3. Tied texts form candidate sets.  The texts of a set meet, in blocks of at most `block`, and all their pairs are
    verified by the exact shingle sets with a matrix product.  Only a row for each text leaves: its number of links and
    the smallest text it is linked with.  A larger set meets as pairs of blocks, so no task gets it whole.
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import _LOWER, _WORD_BASE, mix, parts_for, plain, prefix_hash, slices, span_hash, starts_in_text, windows, with_key, word_hashes, word_spans, written
 from millrace.llm.components import components
-from millrace.llm.lm import _pieces, _rows, _split, _unpack
+from millrace.llm.lm import _added, _pieces, _rows, _split, _unpack
 from millrace.llm.substring_dedup import _spread
 
 _U = np.uint64
@@ -46,10 +45,11 @@ class Forest:
     trees: int = 16
     depth: int = 6
     recall: float = 0.999
-    next: int = 2  # ties to so many next ones in a trie's order
+    next: int = 2  # sets are joined after each of so many next ones in a trie's order, then ever more seldom
     slack: float = 0.16  # four standard deviations of the signatures' estimate
     piece: int = 20_000
     block: int = 512
+    group: int = 2048  # a larger prefix group meets as pairs of blocks of about so many texts
     bucket: int = 8 << 20
 
     @property
@@ -112,32 +112,53 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _ties(prefix: np.ndarray, rest: np.ndarray, small: np.ndarray, member: np.ndarray, f: Forest) -> tuple[np.ndarray, np.ndarray]:
-    """Ties within prefix groups: indices of both ends. small: a byte of each MinHash value, by member."""
+    """The sets that ties of all pairs within prefix groups make: each member of one but its smallest, and that smallest.
+    small: a byte of each MinHash value, by member. Pairs of one set already are not looked at again."""
     order = np.lexsort((member, rest, prefix))
     p, m = prefix[order], member[order]
-    n = len(p)
+    n, width = len(p), small.shape[1]
+    root = np.arange(len(small))
+    left, right = [], []
     if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return root[:0], root[:0]
+
+    def tie(a, b):
+        for at in range(0, len(a), 1 << 16):
+            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            share = (small[x] == small[y]).sum(1) / width
+            ok = (share - 1 / 256) / (1 - 1 / 256) >= f.similarity - f.slack
+            left.append(x[ok])
+            right.append(y[ok])
+
+    def joined():
+        if not left:
+            return root
+        new = _roots(len(small), np.concatenate([root_of[0], *left]), np.concatenate([root_of[1], *right]))
+        left.clear()
+        right.clear()
+        inner = np.flatnonzero(new != np.arange(len(new)))
+        root_of[:] = [inner, new[inner]]
+        return new
+
+    root_of = [root[:0], root[:0]]
     new = np.r_[True, p[1:] != p[:-1]]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    i = np.arange(n)
-    left, right = [first[i > first]], [i[i > first]]
-    for step in range(1, f.next + 1):
-        ok = np.flatnonzero(p[step:] == p[:-step])
-        left.append(ok)
-        right.append(ok + step)
-    a, b = m[np.concatenate(left)], m[np.concatenate(right)]
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    pair = np.unique(a.astype(np.int64) << 32 | b.astype(np.int64))
-    a, b = pair >> 32, pair & 0xFFFFFFFF
-    keep = np.zeros(len(a), bool)
-    width = small.shape[1]
-    for at in range(0, len(a), 1 << 16):
-        x = slice(at, at + (1 << 16))
-        share = (small[a[x]] == small[b[x]]).sum(1) / width
-        keep[x] = (share - 1 / 256) / (1 - 1 / 256) >= f.similarity - f.slack
-    keep &= a != b
-    return a[keep], b[keep]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], n][np.cumsum(new) - 1] - 1
+    first = first[np.cumsum(new) - 1]
+    # The group's first and the next ones, which make most sets; then every pair that these left apart.
+    i = np.flatnonzero(np.arange(n) > first)
+    tie(m[first[i]], m[i])
+    at, due = np.flatnonzero(np.arange(n) < last), 1
+    for step in range(1, int((last - first).max()) + 1):
+        at = at[at + step <= last[at]]
+        if step <= f.next or step >= due:
+            root, due = joined(), 2 * step
+        a, b = m[at], m[at + step]
+        apart = root[a] != root[b]
+        if apart.any():
+            tie(a[apart], b[apart])
+    joined()
+    return root_of[0], root_of[1]
 
 
 def sketch(texts: DataFrame, f: Forest) -> DataFrame:
@@ -163,85 +184,109 @@ def sketch(texts: DataFrame, f: Forest) -> DataFrame:
     return texts.select("_key", "text").mapInArrow(run, "_key long, n long, one long, two long, sig binary")
 
 
+def _labels(sig: np.ndarray, tree: int, f: Forest) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of each text in a tree, and the values after it, which order a group."""
+    own = sig[:, tree * f.depth : (tree + 1) * f.depth].astype(_U)
+    prefix = np.full(len(sig), tree + 1, _U)
+    for k in range(f.shortest):
+        prefix = mix(prefix * _U(0x9E3779B97F4A7C15) + own[:, k])
+    rest = np.zeros(len(sig), _U)
+    for k in range(f.shortest, min(f.depth, f.shortest + 2)):
+        rest = rest << _U(32) | own[:, k]
+    return prefix, rest
+
+
+def _held(batches, f: Forest):
+    """Pieces of (keys, signatures)."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, f.trees * f.depth)))
+            size += batch.num_rows
+        if size >= f.piece:
+            yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            held, size = [], 0
+    if size:
+        yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+
+
+def large_groups(sketched: DataFrame, f: Forest) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes, sorted, that more than `group` texts share, and the number of blocks for each: at most trees / group
+    of the texts. sketched: _key, sig."""
+    buckets = parts_for(sketched, f.bucket)
+
+    def count(batches):
+        for _, sig in _held(batches, f):
+            prefixes, n = np.unique(np.concatenate([_labels(sig, t, f)[0] for t in range(f.trees)]), return_counts=True)
+            yield _rows([(b, _pieces([prefixes[x], n[x].astype(np.uint32)])) for b, x in _split((prefixes % _U(buckets)).astype(np.int64))])
+
+    def add(key, table):
+        parts = [_unpack(p.as_py(), (_U, np.uint32)) for p in table.column("payload")]
+        prefixes, n = _added(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
+        large = n > f.group
+        return pa.table({"prefix": pa.array(prefixes[large].view(np.int64)), "blocks": pa.array(-(-n[large] // f.group))})
+
+    rows = sketched.select("_key", "sig").mapInArrow(count, "bucket long, payload binary").groupBy("bucket").applyInArrow(add, "prefix long, blocks long").collect()
+    prefixes, blocks = np.array([r["prefix"] for r in rows], np.int64).view(_U), np.array([r["blocks"] for r in rows], np.int64)
+    order = np.argsort(prefixes)
+    return prefixes[order], blocks[order]
+
+
 def candidate_ties(sketched: DataFrame, f: Forest) -> DataFrame:
-    """(a, b): tied texts. sketched: _key, sig of class representatives."""
+    """(a, b): texts of one set of tied ones, each with the smallest that its bucket knows. sketched: _key, sig of class
+    representatives."""
     buckets = parts_for(sketched, f.bucket)
-    width, short = f.trees * f.depth, f.shortest
-
-    def labels(sig: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
-        own = sig[:, tree * f.depth : (tree + 1) * f.depth].astype(_U)
-        prefix = np.full(len(sig), tree + 1, _U)
-        for k in range(short):
-            prefix = mix(prefix * _U(0x9E3779B97F4A7C15) + own[:, k])
-        rest = np.zeros(len(sig), _U)
-        for k in range(short, min(f.depth, short + 2)):
-            rest = rest << _U(32) | own[:, k]
-        return prefix, rest
-
-    def local(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def sent():
-            keys = np.concatenate([h[0] for h in held])
-            order = np.argsort(keys, kind="stable")
-            keys, sig = keys[order], np.concatenate([h[1] for h in held])[order]
+    width = f.trees * f.depth
+    large = sketched.sparkSession.sparkContext.broadcast(large_groups(sketched, f))
+
+    def meetings(prefix, keys):
+        """(index, label): a text of a large group goes to the meetings of its block with each other block."""
+        hot, blocks = large.value
+        at = np.minimum(np.searchsorted(hot, prefix), max(0, len(hot) - 1))
+        split = hot[at] == prefix if len(hot) else np.zeros(len(prefix), bool)
+        index, label = [np.flatnonzero(~split)], [prefix[~split]]
+        i = np.flatnonzero(split)
+        of = blocks[at[i]] if len(i) else at[i]
+        own = (mix(keys[i].view(_U)) % of.astype(_U)).astype(np.int64) if len(i) else i
+        for other in range(int(of.max()) if len(i) else 0):
+            x = np.flatnonzero((other < of) & (other != own))
+            low, high = np.minimum(own[x], other).astype(_U), np.maximum(own[x], other).astype(_U)
+            index.append(i[x])
+            label.append(mix(prefix[i[x]] ^ mix(low << _U(32) | high)))
+        return np.concatenate(index), np.concatenate(label)
+
+    def deal(batches):
+        for keys, sig in _held(batches, f):
             small = sig.astype(np.uint8)
-            member = np.arange(len(keys))
-            tied = [_ties(*labels(sig, t), small, member, f) for t in range(f.trees)]
-            root = _roots(len(keys), np.concatenate([t[0] for t in tied]), np.concatenate([t[1] for t in tied]))
-            inner = np.flatnonzero(root != member)
-            rows = []
-            if len(inner):
-                rows += [(b, b"\1" + _pieces([keys[inner[x]], keys[root[inner[x]]]])) for b, x in _split(keys[inner] % buckets)]
+            joined: dict[int, list[bytes]] = {}
             for t in range(f.trees):
-                prefix, rest = labels(sig, t)
-                # One text for each prefix and set of tied texts.
-                order = np.lexsort((member, root, prefix))
-                p, r = prefix[order], root[order]
-                one = order[np.r_[True, (p[1:] != p[:-1]) | (r[1:] != r[:-1])]]
-                rows += [(b, b"\0" + _pieces([prefix[one[x]], rest[one[x]], keys[one[x]], small[one[x]].ravel()])) for b, x in _split((prefix[one] % _U(buckets)).astype(np.int64))]
+                prefix, rest = _labels(sig, t, f)
+                index, label = meetings(prefix, keys)
+                for b, x in _split((label % _U(buckets)).astype(np.int64)):
+                    i = index[x]
+                    joined.setdefault(b, []).append(_pieces([label[x], rest[i], keys[i], small[i].ravel()]))
             # A bucket's pieces of all trees travel as one row.
-            joined: dict[int, list[bytes]] = {}
-            for b, payload in rows:
-                joined.setdefault(b, []).append(payload)
-            return _rows([(b, _pieces([np.frombuffer(x, np.uint8) for x in parts])) for b, parts in joined.items()])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            held.append((keys, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, width)))
-            size += len(keys)
-            if size >= f.piece:
-                yield sent()
-                held, size = [], 0
-        if size:
-            yield sent()
+            yield _rows([(b, _pieces([np.frombuffer(x, np.uint8) for x in parts])) for b, parts in joined.items()])
 
     def across(key, table):
-        a, b, parts = [], [], []
+        parts = []
         for p in table.column("payload"):
             raw = p.as_py()
             for one in _unpack(raw, (np.uint8,) * int(np.frombuffer(raw, np.int64, 1)[0])):
-                body = one[1:].tobytes()
-                if one[0]:
-                    x, y = _unpack(body, (np.int64, np.int64))
-                    a.append(x)
-                    b.append(y)
-                else:
-                    parts.append(_unpack(body, (_U, _U, np.int64, np.uint8)))
-        if parts:
-            prefix, rest, keys = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            small = np.concatenate([p[3].reshape(-1, width) for p in parts])
-            names, where, member = np.unique(keys, return_index=True, return_inverse=True)
-            x, y = _ties(prefix, rest, small[where], member, f)
-            a.append(names[x])
-            b.append(names[y])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return sketched.select("_key", "sig").mapInArrow(local, "bucket long, payload binary").groupBy("bucket").applyInArrow(across, "a long, b long")
+                parts.append(_unpack(one.tobytes(), (_U, _U, np.int64, np.uint8)))
+        label, rest, keys = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        # A label that one text has ties nothing.
+        order = np.argsort(label, kind="stable")
+        same = label[order][1:] == label[order][:-1]
+        order = order[np.r_[False, same] | np.r_[same, False]]
+        if not len(order):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        small = np.concatenate([p[3].reshape(-1, width) for p in parts])
+        names, where, member = np.unique(keys[order], return_index=True, return_inverse=True)
+        x, y = _ties(label[order], rest[order], small[order[where]], member, f)
+        return pa.table({"a": pa.array(names[x], pa.int64()), "b": pa.array(names[y], pa.int64())})
+
+    return sketched.select("_key", "sig").mapInArrow(deal, "bucket long, payload binary").groupBy("bucket").applyInArrow(across, "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray], most: int = 1 << 22) -> np.ndarray:

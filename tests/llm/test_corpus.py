@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,36 @@ def test_jaccard_join_in_blocks(spark):
     assert {i: (r["class_id"], r["n_links"]) for i, r in got.items()} == jaccard_join.brute(list(texts.items()))
 
 
+def passages(n=1500, seed=5):
+    """A passage in n texts that share no more (similarity 0.47), and two near copies that are little but it (0.82)."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=9))
+    passage = [word() for _ in range(104)]
+    texts = {2 * i: " ".join([*passage, *(word() for _ in range(102))]) for i in range(n)}
+    texts |= {k: " ".join([*passage, *(word() for _ in range(11))]) for k in (n // 2 + 1, 3 * n // 2 + 1)}
+    return texts
+
+
+def test_every_pair_of_a_prefix_group_is_a_candidate():
+    f = jaccard_join.Forest()
+    rng = np.random.default_rng(4)
+    small = rng.integers(0, 256, (1000, f.trees * f.depth)).astype(np.uint8)
+    small[700] = small[300]
+    small[700, :9] += 1
+    rest = np.arange(1000).astype(np.uint64)  # 399 others between the two
+    a, b = jaccard_join._ties(np.zeros(1000, np.uint64), rest, small, np.arange(1000), f)
+    assert {frozenset(p) for p in zip(a.tolist(), b.tolist())} == {frozenset((300, 700))}
+
+
+def test_jaccard_join_finds_near_copies_in_a_crowd_of_a_passage(spark):
+    texts = passages()
+    got = by_id(jaccard_join.jaccard_join(frame(spark, texts), f=jaccard_join.Forest(group=40, piece=700)))
+    pair = [i for i in texts if i % 2]
+    assert jaccard_join.brute([(i, texts[i]) for i in [*pair, 2002]]) == {pair[0]: (pair[0], 1), pair[1]: (pair[0], 1), 2002: (2002, 0)}
+    assert [(got[i]["class_id"], got[i]["n_links"]) for i in pair] == [(pair[0], 1), (pair[0], 1)]
+    assert sum(r["n_links"] for r in got.values()) == 2
+
+
 def test_forest_reaches_its_recall():
     f = jaccard_join.Forest()
     assert 1 - (1 - f.similarity**f.shortest) ** f.trees >= f.recall
