@@ -232,8 +232,7 @@ def event_periods(spark, d):
 
 @query
 def before_during_after(spark, d):
-    early = context(spark, d).where("event_timestamp >= '2024-01-10' and event_timestamp < '2024-01-14'")
-    return quality.around_periods(quality.event_periods(early), quality.batch_quality(stream(spark, d), _BATCH))
+    return quality.around_periods(quality.event_periods(context(spark, d)), quality.batch_quality(stream(spark, d), _BATCH))
 
 
 # ---------------------------------------------------------------- baselines and rules
