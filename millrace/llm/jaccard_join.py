@@ -1,13 +1,13 @@
-"""N-gram Jaccard join (operator 1): a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join (operator 1): MinHash prefixes of a fixed length, then exact verification.
 
 Words are `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased; shingles are five words (a text of one to four words is one
 shingle).  Two texts are linked if the Jaccard similarity of their shingle sets is at least `similarity`.
 
 1. Each text gets the hash of its shingle set and a signature of trees x depth MinHash values.  Texts with one and
    the same set are one class, named by its smallest key; from here on only class representatives are looked at.
-2. A tree of the forest is the sorted prefix trie of one part of the signatures.  In sorted order a label's longest
-   prefix matches are its neighbours; the match is shortened level by level until the chance that a pair of the
-   wanted similarity shares a prefix of that length in some tree reaches `recall`.  Within a prefix group every pair
+2. Each of the `trees` parts of a signature gives a text one prefix.  Its length is fixed by the settings: the longest
+   at which the chance that a pair of the wanted similarity shares a prefix in some part reaches `recall` (4 of 6
+   values).  The two values after it only order a group; no match is shortened level by level.  Within a prefix group every pair
    is a candidate: it is tied unless the whole signatures rule the similarity out.  Pairs that other ties join
    already are skipped, and one tie for each text leaves.  A group of more than `group` texts meets as pairs of blocks.
 3. Tied texts form candidate sets.  The texts of a set meet, in blocks of at most `block`, and all their pairs are
@@ -54,7 +54,7 @@ class Forest:
 
     @property
     def shortest(self) -> int:
-        """The longest prefix that reaches the recall; matches are shortened down to it."""
+        """The longest prefix that reaches the recall, the one length that is used."""
         reach = [k for k in range(1, self.depth + 1) if 1 - (1 - self.similarity**k) ** self.trees >= self.recall]
         return max(reach, default=1)
 
