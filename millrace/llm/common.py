@@ -1,8 +1,13 @@
 """Shared pieces of the corpus operators: scratch tables, row keys and vectorised word hashing.
 
-Row keys.  ``with_key`` gives every row a unique long ``_key``.  A unique, non-null integer id is used
-as it is; otherwise (null or repeated ids) the rows are numbered once, in the order of their ids with nulls last,
-and written to a scratch table, so repeated rows are separate documents everywhere and later scans agree.
+Row keys.  ``with_key`` gives every row a unique long key.  A unique, non-null integer id is used as it is;
+otherwise (null or repeated ids) the rows are numbered once, in the order of their ids with nulls last, and
+written to a scratch table, so repeated rows are separate documents everywhere and later scans agree.  Rows with
+one and the same id are told apart by their place in the written input, so that they sort into many tasks.
+
+Hashes.  Strings and runs of words are named by Rabin-Karp sums modulo the prime 2^61 - 1 to a random base: two
+different strings of n symbols share a name with a chance of n / 2^61 at most, whatever they look like (sums modulo
+2^64 collide on Thue-Morse strings for every base).
 """
 
 from __future__ import annotations
@@ -45,9 +50,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set."""
+    """The shared folder of the cluster; a folder of our own only where none is set and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/millrace-scratch"
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
@@ -113,46 +120,93 @@ def parts_for(df: DataFrame, each: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 22, size // each + 1))
 
 
-def with_key(df: DataFrame, id_col: str, name: str = "keyed") -> DataFrame:
-    """df with a unique long `_key`; see the module's text."""
+def free_name(taken, name: str) -> str:
+    """name, or name with underscores before it that no column has (names differ by more than case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
+def with_key(df: DataFrame, id_col: str, name: str = "keyed", key: str = "_key") -> DataFrame:
+    """df with a unique long column `key`, which df must not have; see the module's text."""
+    ids = F.col(f"`{id_col}`")
     kind = df.schema[id_col].dataType
     if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        odd = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1))
+        odd = df.groupBy(ids.alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("id").isNull() | (F.col("n") > 1))
         if odd.isEmpty():
-            return df.withColumn("_key", F.col(id_col).cast("long"))
-    return written(df.orderBy(F.col(id_col).asc_nulls_last()).withColumn("_key", F.monotonically_increasing_id()), name)
+            return df.withColumn(key, ids.cast("long"))
+    # Written before it is sorted, so that a row's place is the same for every later read.
+    placed = written(df.withColumn(key, F.monotonically_increasing_id()), f"{name}-placed")
+    out = written(placed.orderBy(ids.asc_nulls_last(), key).withColumn(key, F.monotonically_increasing_id()), name)
+    release(placed)
+    return out
+
+
+def even_ids(spark: SparkSession, n: int) -> np.ndarray:
+    """n numbers that Spark's hash partitioning deals evenly to the shuffle's tasks; at random, some tasks would get
+    several buckets and others none. Where there are many buckets for each task, chance is even enough."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n >= 32 * tasks:
+        return np.arange(n)
+    each = -(-n // tasks)
+    rows = spark.range(0, (each + 8) * tasks * 4, 1, 1).select("id", F.pmod(F.hash("id"), F.lit(tasks)).alias("task")).collect()
+    found: dict[int, list[int]] = {}
+    for r in rows:
+        found.setdefault(r["task"], []).append(r["id"])
+    ids = [found[t][i] for i in range(each) for t in sorted(found) if i < len(found[t])]
+    spare = (each + 8) * tasks * 4
+    return np.array((ids + list(range(spare, spare + n)))[:n], np.int64)
 
 
 # ---------------------------------------------------------------------------------------------------
 # Words and hashes of a slice of texts, without a Python loop over words.
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_WORD_BASE = _U(0xD6E8FEB86659FD93 | 1)
+#: The prime 2^61 - 1 and random bases below it.
+_P = _U((1 << 61) - 1)
+_BASE = 0x1A6B3F2C9D5E7081
+_SECOND = 0x0C3D91E57F2A6B4F
+_WORD_BASE = 0x15F7C2E80B94D36D
+_M31, _M30 = _U((1 << 31) - 1), _U((1 << 30) - 1)
+_S61, _S31, _S30, _1 = _U(61), _U(31), _U(30), _U(1)
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _inverse(x: np.uint64) -> np.uint64:
-    return _U(pow(int(x), -1, 1 << 64))
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for any x below 2^64."""
+    x = (x & _P) + (x >> _S61)
+    return np.minimum(x, x - _P)  # x - p wraps to a huge number where x is smaller
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, from products of halves; 2^61 counts as 1."""
+    a1, a0, b1, b0 = a >> _S31, a & _M31, b >> _S31, b & _M31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << _1) + (middle >> _S30) + ((middle & _M30) << _S31) + a0 * b0)
 
 
-def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
-    have = _POWERS.get(int(base))
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo the prime for i < n at least."""
+    have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
         size = max(n, SLICE + (SLICE >> 2))
-        up = np.full(size, base, dtype=_U)
-        up[0] = 1
-        down = np.full(size, _inverse(base), dtype=_U)
-        down[0] = 1
-        have = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        have = tuple(_powers(x, size) for x in (base, pow(base, -1, int(_P))))
         if size <= 4 * SLICE:
-            _POWERS[int(base)] = have
+            _POWERS[base] = have
     return have
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, _U)
+    done = 1
+    while done < n:
+        out[done : 2 * done] = mulmod(out[: min(done, n - done)], np.array([pow(base, done, int(_P))], _U))
+        done *= 2
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64 bits."""
     x = x ^ (x >> _U(30))
@@ -163,16 +217,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(values: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Rabin-Karp prefix sums: out[j] - out[i], times base**-i, names values[i:j]."""
-    out = np.empty(len(values) + 1, dtype=_U)
-    out[0] = 0
-    np.cumsum(values.astype(_U, copy=False) * powers(base, len(values))[0][: len(values)], out=out[1:])
-    return out
+def prefix_hash(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rabin-Karp prefix sums as low and high parts, for span_hash. values: bytes, or anything below 2^61."""
+    n = len(values)
+    up = powers(base, n)[0][:n]
+    low, high = np.zeros(n + 1, _U), np.zeros(n + 1, _U)
+    if values.dtype == np.uint8 and n < 1 << 22:  # products of halves of less than 2^40 add up to less than 2^62
+        wide = values.astype(_U) + _1
+        np.cumsum(wide * (up & _M31), out=low[1:])
+        np.cumsum(wide * (up >> _S31), out=high[1:])
+    else:
+        terms = mulmod(values.astype(_U) + _1 if values.dtype == np.uint8 else values, up)
+        np.cumsum(terms & _M31, out=low[1:])
+        np.cumsum(terms >> _S31, out=high[1:])
+    return low, high
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64) -> np.ndarray:
-    return (prefix[end] - prefix[start]) * powers(base, len(prefix))[1][start]
+def span_hash(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """The sum for values[start:end] alone, below 2^61."""
+    low, high = _reduced(prefix[0][end] - prefix[0][start]), _reduced(prefix[1][end] - prefix[1][start])
+    shifted = ((high & _M30) << _S31) + (high >> _S30)
+    return mulmod(_reduced(low + shifted), powers(base, len(prefix[0]))[1][start])
 
 
 def slices(texts: pa.Array):
@@ -231,7 +296,7 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of every n consecutive word hashes, by start; rows cross texts, the caller drops those."""
     if len(hashes) < n:
         return np.zeros(0, _U)
-    prefix = prefix_hash(hashes, _WORD_BASE)
+    prefix = prefix_hash(hashes >> _U(3), _WORD_BASE)
     at = np.arange(len(hashes) - n + 1)
     return mix(span_hash(prefix, at, at + n, _WORD_BASE))
 

@@ -70,7 +70,7 @@ def shingle_sets(texts: pa.Array, gram: int):
         doc = np.repeat(np.arange(last - row), np.maximum(n - gram + 1, 0))
         short = np.flatnonzero((n > 0) & (n < gram))
         if len(short):
-            single = mix(span_hash(prefix_hash(words, _WORD_BASE), first[short], first[short + 1], _WORD_BASE) + n[short].astype(_U))
+            single = mix(span_hash(prefix_hash(words >> _U(3), _WORD_BASE), first[short], first[short + 1], _WORD_BASE) + n[short].astype(_U))
             whole, doc = np.r_[whole, single], np.r_[doc, short]
         order = np.lexsort((whole, doc))
         whole, doc = whole[order], doc[order]

@@ -1,22 +1,25 @@
 """Suffix-array dedup (operator 10): maximal repeats of bytes from the interval tree of an enhanced suffix array.
 
-A byte goes if a string of `length` bytes that covers it starts anywhere else too.  Strings never cross texts.
+A byte goes if a string of `length` bytes that covers it starts anywhere else too.  Bytes that a shorter repeat of
+`least` bytes covers stay, but are counted (`n_repeated`).  Strings never cross texts.
 
 The suffix array is built where repeats can be, not over the whole corpus in one place:
 
-1. Every window of `length` bytes has a smallest inner hash (of `gram` bytes).  Neighbouring windows with the same
-   one, at up to `group` different distances from it, are a run.  All windows of a run hold the same core bytes, so
-   two windows can only be equal if their runs' cores are.  Each run sends its core's hash, the hash of all its
-   bytes and its place, packed by bucket of the core's hash; equal runs of a piece of texts are sent once.
-2. In its bucket a run whose core is nowhere else has no repeats, and a run that is elsewhere as a whole is all
-   repeats.  What is left, a core in different surroundings, needs the bytes.
-3. Those runs' bytes, one of each different run, meet in a bucket, where an enhanced suffix array is built over
-   them: suffixes sorted by their bytes, the lengths of common prefixes of neighbours, and a stack scan over these
-   that yields every interval of suffixes with a common prefix of `length` and more.  Intervals whose suffixes have
-   different left neighbours are the maximal repeats; each group carries all its occurrences.
-   A core in more than `crowd` different surroundings is dealt out by its windows' 128-bit hashes instead, so that
-   no task gets a group that grows with the corpus.
-4. The repeats of a text merge to maximal removed spans, which meet the text in one join on its key.
+1. Every window of `least` bytes has a smallest inner hash (of 32 bytes).  Neighbouring windows with the same one, at
+   up to `group` different distances from it, are a run.  All windows of a run hold the same core bytes, so two windows
+   can only be equal if their runs' cores are.  A run's content is all its windows' bytes and so many more that each
+   window's string of `length` bytes is in it.  Equal contents of a piece of texts are one leaf with a number.
+2. Cores meet in the bucket of their hash.  A core that is nowhere else holds no repeat.  Of equal contents one goes on,
+   as a leaf that occurs more than once; a copy has its leaf's answer, which is that all of it repeats.
+3. The different contents of a core, by their bytes, make an enhanced suffix array: suffixes in order, common prefixes
+   of neighbours, and a stack scan over these that yields every interval of suffixes with a common prefix of `least`
+   and more.  Intervals whose suffixes have different left neighbours are the maximal repeats, with all occurrences.
+   A core in more than `crowd` different contents is first split by the next bytes: its runs are cut to an eighth and
+   then to single windows, each with a longer core, for `least` and `length` apart.  So no task gets a group that grows
+   with the corpus, and what the split leaves takes the same way through a suffix array.
+4. The repeats of a text merge to maximal spans, which meet the text in one join on its key.
+
+Cores and contents are named by Rabin-Karp sums of 61 and 122 bits.
 
 Defined cases: null is the empty text.  Rows that repeat an id, or have none, are texts of their own.  Texts
 shorter than a window lose nothing.  Texts of any length are taken whole; hashing goes by overlapping chunks of a
@@ -26,29 +29,41 @@ few MB.  Further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import _BASE, mix, parts_for, plain, prefix_hash, slices, span_hash, with_key, written
+from millrace.llm.common import _BASE, _SECOND, even_ids, mix, parts_for, plain, prefix_hash, slices, span_hash, with_key, written
 from millrace.llm.lm import _pieces, _rows, _split, _unpack
-from millrace.llm.substring_dedup import _runs, _spread, merged, sliding_min
+from millrace.llm.substring_dedup import _runs, merged, sliding_min
 
 _U = np.uint64
-_SECOND = _U(0xC2B2AE3D27D4EB4F | 1)
 _POSITION = 24  # bits of a position within a chunk
 _CHUNK = 1 << 22
-_RUN = (_U, _U, np.int64, np.int64, np.uint8, bool)  # core, whole, key, start, windows, whether it repeats in its piece
+_GRAM = 32
+#: core, content, key, start, windows, distance to the inner hash, bytes of the content, whether its piece has it again
+_RUN = (_U, _U, np.int64, np.uint32, np.uint8, np.uint16, np.uint16, bool)
+FOUND = "_key long, start long, n int, off int, size int, core long, state int, again boolean"
+COPY, LEAF, CROWDED = 0, 1, 2
+
+
+class Level(NamedTuple):
+    """How runs are cut: bytes of a window, bytes that a content holds from each window's start, windows of a run."""
+
+    window: int
+    content: int
+    group: int
 
 
 # ------------------------------------------------------------------------- enhanced suffix array
 
 
-def suffix_array(parts: list[bytes], starts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def suffix_array(parts: list[bytes], starts: list[int], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes of all parts, part i's from positions below starts[i]: (part, position) in order, and the length of
-    the common prefix with the one before."""
+    the common prefix with the one before (0 if it is shorter than `least`)."""
     views, part, position = [], [], []
     for i, data in enumerate(parts):
         for at in range(starts[i]):
@@ -58,7 +73,9 @@ def suffix_array(parts: list[bytes], starts: list[int]) -> tuple[np.ndarray, np.
     order = sorted(range(len(views)), key=views.__getitem__)
     lcp = np.zeros(len(order), np.int64)
     for k in range(1, len(order)):
-        lcp[k] = _common(views[order[k - 1]], views[order[k]])
+        a, b = views[order[k - 1]], views[order[k]]
+        if a[:least] == b[:least] and len(a) >= least:
+            lcp[k] = _common(a, b)
     return np.array(part, np.int64)[order], np.array(position, np.int64)[order], lcp
 
 
@@ -94,14 +111,23 @@ def lcp_intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def maximal_repeats(parts: list[bytes], least: int, starts: list[int] | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Groups of equal strings that no byte more to either side keeps equal: (length, all (part, position))."""
+def maximal_repeats(parts: list[bytes], least: int, starts: list[int] | None = None, again: list[bool] | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Groups of equal strings that no byte more to either side keeps equal: (length, all (part, position)).
+    again: parts that occur more than once; their suffixes are intervals by themselves."""
     starts = [len(p) for p in parts] if starts is None else starts
-    part, position, lcp = suffix_array(parts, starts)
+    again = [False] * len(parts) if again is None else again
+    part, position, lcp = suffix_array(parts, starts, least)
+    intervals = lcp_intervals(lcp, least)
+    after = np.r_[lcp[1:], 0]
+    for k in range(len(part)):
+        size = len(parts[part[k]]) - int(position[k])
+        if again[part[k]] and size >= least and size > max(lcp[k], after[k]):
+            intervals.append((size, k, k))
     groups = []
-    for length, first, last in lcp_intervals(lcp, least):
+    for length, first, last in intervals:
+        # What is left of a part's beginning is not known, and may differ.
         left = {-1 - k if not position[k] else parts[part[k]][position[k] - 1] for k in range(first, last + 1)}
-        if len(left) > 1:
+        if len(left) > 1 or min(left) < 0:
             groups.append((length, [(int(part[k]), int(position[k])) for k in range(first, last + 1)]))
     return groups
 
@@ -109,43 +135,68 @@ def maximal_repeats(parts: list[bytes], least: int, starts: list[int] | None = N
 # ------------------------------------------------------------------------- runs of windows
 
 
-def _chunks(texts: pa.Array, length: int):
-    """(row, where the chunk begins in its text, bytes) of every text; long texts in overlapping chunks."""
+def _chunks(texts: pa.Array, reach: int):
+    """(row, where the chunk begins in its text, bytes, offsets, starts below which windows count) of every text; long
+    texts in chunks that overlap by `reach`."""
     for row, last, data, offsets in slices(texts):
         if last - row == 1 and len(data) > _CHUNK:
-            for at in range(0, len(data) - length + 1, _CHUNK - length + 1):
-                piece = data[at : at + _CHUNK]
-                yield row, row + 1, at, piece, np.array([0, len(piece)])
+            for at in range(0, len(data), _CHUNK):
+                piece = data[at : at + _CHUNK + reach]
+                yield row, at, piece, np.array([0, len(piece)]), _CHUNK
         else:
-            yield row, last, 0, data, offsets
-
-
-def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, group: int):
-    """(text, start in the chunk, windows, core hash, whole hash) of every run."""
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U, _U))
-    if len(data) < length:
-        return empty
-    values = data.astype(_U) + _U(1)
-    prefix = prefix_hash(values, _BASE)
-    at = np.arange(len(data) - gram + 1)
-    grams = mix(span_hash(prefix, at, at + gram, _BASE))
+            yield row, 0, data, offsets, len(data)
+
+
+def grams(data: np.ndarray) -> np.ndarray:
+    """A hash of every 32 bytes, from those of its four words."""
+    data = np.ascontiguousarray(data)
+    words = mix(np.ndarray(len(data) - 7, "<u8", data, strides=(1,)).astype(_U))
+    n = len(data) - _GRAM + 1
+    out = words[:n] * _U(0x9E3779B97F4A7C15)
+    for at, by in ((8, 0xC2B2AE3D27D4EB4F), (16, 0x9FB21C651E98DF25), (24, 0xD1B54A32D192ED03)):
+        out += words[at : at + n] * _U(by)
+    return mix(out)
+
+
+def _named(data: np.ndarray, s: np.ndarray, n: np.ndarray, off: np.ndarray, end: np.ndarray, level: Level):
+    """(content bytes, core hash, content hash) of runs. off: from a run's first window to its inner hash; end: of its text."""
+    place = s + off
+    step = off // level.group
+    a = place - level.group * step
+    one, two = prefix_hash(data, _BASE), prefix_hash(data, _SECOND)
+    core = mix(span_hash(one, a, a - level.group + 1 + level.window, _BASE) + step.astype(_U) * _U(0x9FB21C651E98DF25))
+    e = np.minimum(s + n - 1 + level.content, end)
+    content = mix(span_hash(two, s, e, _SECOND) + off.astype(_U) * _U(0xD1B54A32D192ED03) + (n << 16 | e - s).astype(_U))
+    return e - s, core, content
+
+
+def runs_of(data: np.ndarray, offsets: np.ndarray, limit: int, level: Level):
+    """(text, start in the chunk, windows, distance to the inner hash, content bytes, core hash, content hash) of every run."""
+    if len(data) < level.window:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64, _U, _U))
     # The position in the low bits gives the leftmost of equal hashes.
-    ranked = (grams >> _U(_POSITION) << _U(_POSITION)) | at.astype(_U)
-    place = (sliding_min(ranked, length - gram + 1) & _U((1 << _POSITION) - 1)).astype(np.int64)
+    hashed = grams(data)
+    ranked = (hashed >> _U(_POSITION) << _U(_POSITION)) | np.arange(len(hashed), dtype=_U)
+    place = (sliding_min(ranked, level.window - _GRAM + 1) & _U((1 << _POSITION) - 1)).astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(place)]
     start = np.arange(len(place))
-    ok = np.flatnonzero(start + length <= offsets[text + 1])
-    if not len(ok):
-        return empty
+    ok = np.flatnonzero((start + level.window <= offsets[text + 1]) & (start < limit))
     place, text, start = place[ok], text[ok], start[ok]
-    step = (place - start) // group
-    first, n = _runs(text, start, (place.astype(_U) << _U(20)) | step.astype(_U), 0)
-    s, p, j = start[first], place[first], step[first]
-    a = p - group * j
-    core = mix(span_hash(prefix, a, a - group + 1 + length, _BASE) + j.astype(_U) * _U(0x9FB21C651E98DF25))
-    second = prefix_hash(values, _SECOND)
-    whole = mix(span_hash(second, s, s + n - 1 + length, _SECOND) + (p - s).astype(_U) * _U(0xD1B54A32D192ED03) + n.astype(_U))
-    return text[first], s, n, core, whole
+    first, n = _runs(text, start, (place.astype(_U) << _U(20)) | ((place - start) // level.group).astype(_U), 0)
+    s, off, text = start[first], (place - start)[first], text[first]
+    return text, s, n, off, *_named(data, s, n, off, offsets[text + 1], level)
+
+
+def shorter_runs(data: np.ndarray, s: np.ndarray, n: np.ndarray, off: np.ndarray, level: Level):
+    """The runs of a text cut to those of a finer level: (start, windows, distance, content bytes, core, content)."""
+    at = np.concatenate([np.arange(x) for x in n])
+    run = np.repeat(np.arange(len(n)), n)
+    start, far = s[run] + at, off[run] - at
+    ok = np.flatnonzero(start + level.window <= len(data))
+    run, start, far = run[ok], start[ok], far[ok]
+    first, n = _runs(run, start, (far // level.group).astype(_U), 0)
+    s, off = start[first], far[first]
+    return s, n, off, *_named(data, s, n, off, np.full(len(s), len(data)), level)
 
 
 def _same(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,143 +207,169 @@ def _same(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return order, new_a, new_a | np.r_[True, y[1:] != y[:-1]]
 
 
-def find_runs(texts: DataFrame, length: int, gram: int, group: int, crowd: int, piece: int, bucket: int) -> DataFrame:
-    """Rows (_key, start, n, core, state): state 0 is a run of repeats; 1 and 2 need bytes, 1 as a partner only;
-    3 needs its windows' hashes (a crowded core)."""
-    buckets = parts_for(texts, bucket)
+def _sent(held: list[tuple], ids: np.ndarray) -> pa.RecordBatch:
+    """A piece's runs by bucket: one of equal contents, and where the others are, which need no bucket of their own."""
+    core, content, key, start, n, off, size = (np.concatenate(x) for x in zip(*held))
+    order, _, new = _same(core, content)
+    of, one = np.cumsum(new) - 1, order[new]
+    copies, rows = order[~new], []
+    if len(copies):
+        rows += [(ids[b], b"\1" + _pieces([key[x], start[x].astype(np.uint32), size[x].astype(np.uint16)])) for b, x in ((b, copies[i]) for b, i in _split(key[copies] % len(ids)))]
+    again = (np.bincount(of) > 1)[of[new]]
+    for b, x in _split((core[one] % _U(len(ids))).astype(np.int64)):
+        i = one[x]
+        rows.append((ids[b], b"\0" + _pieces([core[i], content[i], key[i], start[i].astype(np.uint32), n[i].astype(np.uint8), off[i].astype(np.uint16), size[i].astype(np.uint16), again[x]])))
+    return _rows(rows)
 
-    def hashed(batches):
-        held, size = [], 0
 
-        def sent():
-            key, start, n, core, whole = (np.concatenate(x) for x in zip(*held))
-            order, _, new = _same(core, whole)
-            of = np.cumsum(new) - 1
-            twice = (np.bincount(of) > 1)[of]
-            rows = [(b, b"\1" + _pieces([key[x], start[x], n[x].astype(np.uint8)])) for b, x in ((b, order[twice][i]) for b, i in _split((key[order[twice]] % buckets).astype(np.int64)))] if twice.any() else []
-            one = order[new]
-            again = twice[new]
-            for b, x in _split((core[one] % _U(buckets)).astype(np.int64)):
-                i = one[x]
-                rows.append((b, b"\0" + _pieces([core[i], whole[i], key[i], start[i], n[i].astype(np.uint8), again[x]])))
-            return _rows(rows)
-
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for row, _, at, data, offsets in _chunks(batch.column(1), length):
-                text, start, n, core, whole = runs_of(data, offsets, length, gram, group)
-                if len(text):
-                    held.append((keys[row + text], at + start - offsets[text], n, core, whole))
-                    size += len(text)
-                if size >= piece:
-                    yield sent()
-                    held, size = [], 0
-        if size:
-            yield sent()
+def _judged(rows: DataFrame, crowd: int, level: Level) -> DataFrame:
+    """FOUND of the packed runs: copies, leaves for a suffix array, and crowded cores' runs."""
 
     def judge(key, table):
         out, parts = [], []
         for p in table.column("payload"):
             raw = p.as_py()
             if raw[0]:
-                k, s, n = _unpack(raw[1:], (np.int64, np.int64, np.uint8))
-                out.append((k, s, n.astype(np.int64), np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)))
+                k, s, size = _unpack(raw[1:], (np.int64, np.uint32, np.uint16))
+                none = np.zeros(len(k), np.int64)
+                out.append((k, s, none, none, size, none, none, none > 0))
             else:
                 parts.append(_unpack(raw[1:], _RUN))
         if parts:
-            core, whole, k, s, n, again = (np.concatenate(x) for x in zip(*parts))
-            order, new_core, new = _same(core, whole)
+            core, content, k, s, n, off, size, again = (np.concatenate(x) for x in zip(*parts))
+            order, new_core, new = _same(core, content)
             of, of_core = np.cumsum(new) - 1, np.cumsum(new_core) - 1
-            repeats = (np.bincount(of) > 1) | (np.add.reduceat(again[order].astype(np.int64), np.flatnonzero(new)) > 0)
-            # Different runs of each core, if one of them is nowhere else as a whole.
-            kinds = np.bincount(of_core[new]) * (np.bincount(of_core[new], weights=~repeats) > 0)
-            # What its piece found twice has been passed on there already.
-            full = np.flatnonzero(repeats[of] & ~again[order])
-            i = order[full]
-            zero = np.zeros(len(i), np.int64)
-            out.append((k[i], s[i], n[i].astype(np.int64), zero, zero))
-            one = np.flatnonzero(new)
-            many = kinds[of_core[one]]
-            one, many = one[many > 1], many[many > 1]
-            i = order[one]
-            state = np.where(repeats[of[one]], 1, 2)
-            out.append((k[i], s[i], n[i].astype(np.int64), core[i].view(np.int64), np.where(many > crowd, state + 2, state)))
-        k, s, n, core, state = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*out)) or [[]] * 5))
-        return pa.table({"_key": pa.array(k, pa.int64()), "start": pa.array(s, pa.int64()), "n": pa.array(n.astype(np.int32)), "core": pa.array(core, pa.int64()), "state": pa.array(state.astype(np.int32))})
-
-    rows = texts.select("_key", "text").mapInArrow(hashed, "bucket long, payload binary")
-    return rows.groupBy("bucket").applyInArrow(judge, "_key long, start long, n int, core long, state int")
-
-
-def compare_runs(texts: DataFrame, asked: DataFrame, length: int, bucket: int) -> DataFrame:
-    """(_key, start, n) of repeats among the runs that need bytes. texts: _key, packed."""
-    buckets = parts_for(texts, bucket)
-    wanted = asked.groupBy("_key").agg(F.collect_list(F.struct("start", "n", "core", "state")).alias("runs"))
+            leaf = np.flatnonzero(new)
+            twice = (np.bincount(of) > 1) | np.logical_or.reduceat(again[order], leaf)
+            kinds = np.bincount(of_core[new])
+            repeated = (kinds > 1) | np.logical_or.reduceat(twice, np.flatnonzero(new_core[new]))
+            state = np.where(kinds > crowd, CROWDED if level.group > 1 else LEAF, LEAF)
+            i = order[~new]
+            none = np.zeros(len(i), np.int64)
+            out.append((k[i], s[i], none, none, size[i], none, none, none > 0))
+            ok = repeated[of_core[leaf]]
+            i, c = order[leaf][ok], of_core[leaf][ok]
+            out.append((k[i], s[i], n[i], off[i], size[i], core[i].view(np.int64), state[c], twice[ok]))
+            # A crowded content that occurs again repeats as a whole; its windows still are partners for others.
+            i = i[(state[c] == CROWDED) & twice[ok]]
+            none = np.zeros(len(i), np.int64)
+            out.append((k[i], s[i], none, none, size[i], none, none, none > 0))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
+        cols = [np.concatenate(x) for x in zip(*out)] if out else [[]] * len(kinds)
+        names = ("_key", "start", "n", "off", "size", "core", "state", "again")
+        return pa.table({name: pa.array(c, pa.bool_()) if t == pa.bool_() else pa.array(np.asarray(c, np.int64)).cast(t) for name, c, t in zip(names, cols, kinds)})
+
+    return rows.groupBy("bucket").applyInArrow(judge, FOUND)
+
+
+def find_runs(texts: DataFrame, level: Level, crowd: int, piece: int, bucket: int) -> DataFrame:
+    """FOUND of all texts' runs that can hold repeats. texts: _key, text."""
+    ids = even_ids(texts.sparkSession, parts_for(texts, bucket))
+
+    def hashed(batches):
+        held, size = [], 0
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for row, at, data, offsets, limit in _chunks(batch.column(1), level.content):
+                text, start, n, off, content_size, core, content = runs_of(data, offsets, limit, level)
+                if len(text):
+                    held.append((core, content, keys[row + text], at + start - offsets[text], n, off, content_size))
+                    size += len(text)
+                if size >= piece:
+                    yield _sent(held, ids)
+                    held, size = [], 0
+        if size:
+            yield _sent(held, ids)
+
+    return _judged(texts.select("_key", "text").mapInArrow(hashed, "bucket long, payload binary"), crowd, level)
+
+
+def split_runs(packed: DataFrame, crowded: DataFrame, level: Level, crowd: int, piece: int, bucket: int) -> DataFrame:
+    """FOUND of the crowded runs, cut to a finer level. packed: _key, packed; crowded: FOUND."""
+    ids = even_ids(packed.sparkSession, parts_for(packed, bucket))
+    wanted = crowded.groupBy("_key").agg(F.collect_list(F.struct("start", "n", "off")).alias("runs"))
+
+    def hashed(batches):
+        import zstandard
+
+        unzip = zstandard.ZstdDecompressor()
+        held, size = [], 0
+        for batch in batches:
+            for key, data, runs in zip(batch.column(0), batch.column(1), batch.column(2)):
+                data = np.frombuffer(unzip.decompress(data.as_py()), np.uint8)
+                s, n, off = (runs.values.field(f).to_numpy().astype(np.int64) for f in ("start", "n", "off"))
+                s, n, off, content_size, core, content = shorter_runs(data, s, n, off, level)
+                if len(s):
+                    held.append((core, content, np.full(len(s), key.as_py(), np.int64), s, n, off, content_size))
+                    size += len(s)
+                if size >= piece:
+                    yield _sent(held, ids)
+                    held, size = [], 0
+        if size:
+            yield _sent(held, ids)
+
+    rows = packed.join(wanted, "_key").select("_key", "packed", "runs").mapInArrow(hashed, "bucket long, payload binary")
+    return _judged(rows, crowd, level)
+
+
+def array_repeats(packed: DataFrame, leaves: DataFrame, least: int, bucket: int, groups: bool = False) -> DataFrame:
+    """(_key, start, size) of the repeats that the suffix arrays of the leaves' cores give, longest first at each start;
+    with groups, (repeat, size, _key, start) of every maximal repeat and all the leaves' occurrences.
+    packed: _key, packed; leaves: FOUND."""
+    ids = even_ids(packed.sparkSession, parts_for(packed, bucket))
+    wanted = leaves.groupBy("_key").agg(F.collect_list(F.struct("start", "n", "size", "core", "again")).alias("runs"))
 
     def fetch(batches):
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows, windows = [], []
-            for key, packed, runs in zip(batch.column(0), batch.column(1), batch.column(2)):
-                data = unzip.decompress(packed.as_py())
-                key, flat = key.as_py(), runs.values
-                crowded = []
-                for s, n, core, state in zip(*(flat.field(f).to_pylist() for f in ("start", "n", "core", "state"))):
-                    if state < 3:
-                        at = np.array([key, s, n, core, state], np.int64)
-                        rows.append(((core & 0x7FFFFFFFFFFFFFFF) % buckets, b"\0" + at.tobytes() + data[s : s + n - 1 + length]))
-                    else:
-                        crowded.append((s, n, state))
-                if crowded:
-                    values = np.frombuffer(data, np.uint8).astype(_U) + _U(1)
-                    p, q = prefix_hash(values, _BASE), prefix_hash(values, _SECOND)
-                    s = np.concatenate([np.arange(a, a + n) for a, n, _ in crowded])
-                    settled = np.concatenate([np.full(n, state == 3) for _, n, state in crowded])
-                    windows.append((mix(span_hash(p, s, s + length, _BASE)), mix(span_hash(q, s, s + length, _SECOND)), np.full(len(s), key, np.int64), s, settled))
-            if windows:
-                a, b, key, s, settled = (np.concatenate(x) for x in zip(*windows))
-                rows += [(x, b"\1" + _pieces([a[i], b[i], key[i], s[i], settled[i]])) for x, i in _split((a % _U(buckets)).astype(np.int64))]
+            by_bucket: dict[int, list] = {}
+            for key, data, runs in zip(batch.column(0), batch.column(1), batch.column(2)):
+                data, key, flat = unzip.decompress(data.as_py()), key.as_py(), runs.values
+                for s, n, size, core, again in zip(*(flat.field(f).to_pylist() for f in ("start", "n", "size", "core", "again"))):
+                    by_bucket.setdefault((core & 0x7FFFFFFFFFFFFFFF) % len(ids), []).append((key, s, n, size, core, again, data[s : s + size]))
+            rows = []
+            for b, own in by_bucket.items():
+                about = np.array([x[:6] for x in own], np.int64)
+                rows.append((ids[b], _pieces([about.ravel(), np.frombuffer(b"".join(x[6] for x in own), np.uint8)])))
             yield _rows(rows)
 
     def array(key, table):
-        keys, starts, sizes = [], [], []
-        places, parts, counts, hashed = [], [], [], []
+        places, parts = [], []
         for p in table.column("payload"):
-            raw = p.as_py()
-            if raw[0]:
-                hashed.append(_unpack(raw[1:], (_U, _U, np.int64, np.int64, bool)))
+            about, body = _unpack(p.as_py(), (np.int64, np.uint8))
+            about, body = about.reshape(-1, 6), body.tobytes()
+            ends = np.cumsum(about[:, 3])
+            parts += [body[e - n : e] for e, n in zip(ends.tolist(), about[:, 3].tolist())]
+            places.append(about)
+        places = np.concatenate(places)
+        out: tuple[list, ...] = ([], [], [], [])
+        # One array for each core: equal windows have equal cores.
+        for core, own in _split(places[:, 4]):
+            longest: dict[tuple[int, int], int] = {}
+            if len(own) == 1 and not groups:
+                longest[0, 0] = len(parts[own[0]])  # the tree of one leaf that occurs again
+                found = []
             else:
-                at = np.frombuffer(raw, np.int64, 5, 1)
-                places.append(at)
-                parts.append(raw[41:])
-                counts.append(int(at[2]))
-        if parts:
-            # One array for each core keeps the sorting short; equal windows have equal cores.
-            core = np.array([p[3] for p in places])
-            for _, own in _split(core):
-                for size, where in maximal_repeats([parts[i] for i in own], length, [counts[i] for i in own]):
-                    for part, position in where:
-                        place = places[own[part]]
-                        if place[4] == 2:
-                            keys.append(int(place[0]))
-                            starts.append(int(place[1]) + position)
-                            sizes.append(size - length + 1)
-        if hashed:
-            a, b, k, s, settled = (np.concatenate(x) for x in zip(*hashed))
-            order, _, new = _same(a, b)
-            of = np.cumsum(new) - 1
-            hit = order[(np.bincount(of) > 1)[of] & ~settled[order]]
-            hit = hit[np.lexsort((s[hit], k[hit]))]
-            first, n = _runs(k[hit], s[hit], None, 0)
-            keys += k[hit][first].tolist()
-            starts += s[hit][first].tolist()
-            sizes += n.tolist()
-        return pa.table({"_key": pa.array(keys, pa.int64()), "start": pa.array(starts, pa.int64()), "n": pa.array(sizes, pa.int32())})
-
-    rows = texts.join(wanted, "_key").select("_key", "packed", "runs").mapInArrow(fetch, "bucket long, payload binary")
-    return rows.groupBy("bucket").applyInArrow(array, "_key long, start long, n int")
+                found = maximal_repeats([parts[i] for i in own], least, places[own, 2].tolist(), (places[own, 5] > 0).tolist())
+            for number, (size, where) in enumerate(found):
+                for part, position in where:
+                    if groups:
+                        k, s = places[own[part], :2].tolist()
+                        for column, v in zip(out, (k, s + position, size, f"{core & 0xFFFFFFFFFFFFFFFF:016x}-{number}")):
+                            column.append(v)
+                    elif size > longest.get((part, position), 0):
+                        longest[part, position] = size
+            for (part, position), size in longest.items():
+                k, s = places[own[part], :2].tolist()
+                for column, v in zip(out, (k, s + position, size)):
+                    column.append(v)
+        cols = {"_key": pa.array(out[0], pa.int64()), "start": pa.array(out[1], pa.int64()), "size": pa.array(out[2], pa.int32())}
+        return pa.table(cols | ({"repeat": pa.array(out[3], pa.string())} if groups else {}))
+
+    rows = packed.join(wanted, "_key").select("_key", "packed", "runs").mapInArrow(fetch, "bucket long, payload binary")
+    return rows.groupBy("bucket").applyInArrow(array, "_key long, start long, size int" + ", repeat string" * groups)
 
 
 def packed_texts(texts: DataFrame) -> DataFrame:
@@ -310,15 +387,52 @@ def packed_texts(texts: DataFrame) -> DataFrame:
     return texts.select("_key", "doc_id", "text").mapInArrow(run, f"_key long, doc_id {kind}, packed binary")
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 32, group: int = 64, crowd: int = 2000, piece: int = 400_000, bucket: int = 8 << 20) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    keyed = with_key(plain(docs, id_col, text_col), id_col, "suffix-dedup")
-    texts = keyed.select("_key", F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = written(find_runs(texts, length, gram, group, crowd, piece, bucket), "suffix-runs")
+def _found(texts: DataFrame, length: int, least: int, group: int, crowd: int, piece: int, bucket: int) -> list[DataFrame]:
+    """Written FOUND tables of all levels, without crowded runs."""
+    tables = [written(find_runs(texts, Level(least, length, group), crowd, piece, bucket), "suffix-runs")]
+    todo = [(tables[0], w) for w in sorted({least, length})]
+    while todo:
+        group = max(1, group // 8)
+        again = []
+        for table, window in todo:
+            crowded = table.where(f"state = {CROWDED}")
+            if not crowded.isEmpty():
+                tables.append(written(split_runs(packed_texts(texts), crowded, Level(window, window, group), crowd, piece, bucket), "suffix-runs"))
+                again.append((tables[-1], window))
+        todo = again
+    return tables
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    keyed = with_key(plain(docs, id_col, text_col).toDF("doc_id", "text"), "doc_id", "suffix-dedup")
+    return keyed.select("_key", "doc_id", F.col("text").cast("string").alias("text"))
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, group: int = 64, crowd: int = 2000, piece: int = 400_000, bucket: int = 8 << 20) -> DataFrame:
+    """Maximal repeats with their occurrences: repeat (a name), size, doc_id, start.  A repeat is as long as the contents
+    it is found in reach, so a longer one is several that overlap.  Copies of a content count for its leaf: the leaf
+    is listed, with `again`."""
+    texts = _texts(docs, id_col, text_col)
+    leaves = _union(_found(texts, length, length, group, crowd, piece, bucket)).where(f"state = {LEAF}")
+    found = array_repeats(packed_texts(texts), leaves, length, bucket, groups=True)
+    return found.join(texts.select("_key", "doc_id"), "_key").select("repeat", "size", "doc_id", "start")
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, least: int = 200, group: int = 64, crowd: int = 2000, piece: int = 400_000, bucket: int = 8 << 20) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated."""
+    texts = _texts(docs, id_col, text_col)
+    found = _union(_found(texts, length, min(least, length), group, crowd, piece, bucket))
     packed = packed_texts(texts)
-    more = compare_runs(packed, found.where("state > 0"), length, bucket)
-    repeats = found.where("state = 0").select("_key", "start", "n").unionByName(more)
-    spans = repeats.groupBy("_key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    more = array_repeats(packed, found.where(f"state = {LEAF}"), min(least, length), bucket)
+    repeats = found.where(f"state = {COPY}").select("_key", "start", "size").unionByName(more)
+    spans = repeats.groupBy("_key").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
@@ -326,15 +440,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
-            n_bytes, gone, n_spans, digest = [], [], [], []
+            n_bytes, gone, n_spans, digest, repeated = [], [], [], [], []
             for packed, runs in zip(batch.column(1), batch.column(2)):
                 data = unzip.decompress(packed.as_py())
-                kept, last, count = hashlib.sha256(), 0, 0
+                kept, last, count, seen = hashlib.sha256(), 0, 0, 0
                 left = 0
                 if runs.is_valid:
                     flat = runs.values
-                    s = flat.field("start").to_numpy().astype(np.int64)
-                    s, e = merged(s, s + flat.field("n").to_numpy() + (length - 1))
+                    s, size = flat.field("start").to_numpy().astype(np.int64), flat.field("size").to_numpy().astype(np.int64)
+                    a, b = merged(s, s + size)
+                    seen = int((b - a).sum())
+                    long = size >= length
+                    s, e = merged(s[long], (s + size)[long])
                     count = len(s)
                     for a, b in zip(s.tolist(), e.tolist()):
                         kept.update(data[last:a])
@@ -346,24 +463,31 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 gone.append(len(data) - left)
                 n_spans.append(count)
                 digest.append(kept.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(gone, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                repeated.append(seen)
+            cols = [pa.array(x, pa.int64()) for x in (n_bytes, gone, n_spans)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array(digest, pa.string()), pa.array(repeated, pa.int64())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"])
 
-    return packed.join(spans, "_key", "left").select("doc_id", "packed", "runs").mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return packed.join(spans, "_key", "left").select("doc_id", "packed", "runs").mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long")
 
 
-def brute(rows: list[tuple[int, str | None]], length: int = 400) -> dict[int, tuple[int, int, int, str]]:
-    """The definition, for small inputs: id to (bytes, removed bytes, spans, digest of the rest)."""
+def brute(rows: list[tuple[int, str | None]], length: int = 400, least: int = 200) -> dict[int, tuple[int, int, int, str, int]]:
+    """The definition, for small inputs: id to (bytes, removed bytes, spans, digest of the rest, bytes in shorter repeats)."""
     from collections import Counter
 
     texts = [(i, (t or "").encode()) for i, t in rows]
-    seen = Counter(t[a : a + length] for _, t in texts for a in range(len(t) - length + 1))
+
+    def kept(n):
+        seen = Counter(t[a : a + n] for _, t in texts for a in range(len(t) - n + 1))
+        for i, t in texts:
+            keep = np.ones(len(t), bool)
+            for a in range(len(t) - n + 1):
+                if seen[t[a : a + n]] > 1:
+                    keep[a : a + n] = False
+            yield i, t, keep
+
     out = {}
-    for i, t in texts:
-        keep = np.ones(len(t), bool)
-        for a in range(len(t) - length + 1):
-            if seen[t[a : a + length]] > 1:
-                keep[a : a + length] = False
+    for (i, t, keep), (_, _, short) in zip(kept(length), kept(least)):
         gone = ~keep
         spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(t) else 0
-        out[i] = (len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[keep].tobytes()).hexdigest())
+        out[i] = (len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[keep].tobytes()).hexdigest(), int((~short).sum()))
     return out

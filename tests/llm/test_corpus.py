@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,10 +114,49 @@ def test_suffix_dedup(spark, crowd):
     texts = sample(2)
     texts[200] = "ab" * 700
     texts[201] = "x" * 399
+    texts[202], texts[203] = texts[104][:1300] + "one end", "two " + texts[104][1000:1300] + " three " + texts[104][1200:1500]
     want = suffix_dedup.brute(list(texts.items()))
     got = by_id(suffix_dedup.suffix_dedup(frame(spark, texts, extra=True), crowd=crowd, piece=300, bucket=1 << 12))
-    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
-    assert any(w[1] for w in want.values())
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_repeated"]) for i, r in got.items()} == want
+    assert any(w[1] for w in want.values()) and any(w[4] > w[1] for w in want.values())
+
+
+def test_suffix_dedup_of_texts_over_the_chunk(spark, monkeypatch):
+    rng = random.Random(11)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(30_000))
+    texts = {1: text, 2: text[14_000:19_000], 3: "x" + text[:420], 4: text[-410:] + "y"}
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", 4096)
+    monkeypatch.setattr("millrace.llm.common.SLICE", 2048)
+    rows = pa.array([texts[i] for i in texts])
+    level = suffix_dedup.Level(200, 400, 64)
+    windows = {i: 0 for i in texts}
+    for row, at, data, offsets, limit in suffix_dedup._chunks(rows, level.content):
+        part, start, n, off, size, _, _ = suffix_dedup.runs_of(data, offsets, limit, level)
+        for t, s, k, z in zip(part, start, n, size):
+            i = list(texts)[row + t]
+            windows[i] += int(k)
+            assert z == min(len(texts[i]), at + s - offsets[t] + k - 1 + 400) - (at + s - offsets[t])
+    assert windows == {i: len(t) - 199 for i, t in texts.items()}
+    want = suffix_dedup.brute(list(texts.items()))
+    got = by_id(suffix_dedup.suffix_dedup(frame(spark, texts)))
+    assert {i: (r["n_removed"], r["n_repeated"]) for i, r in got.items()} == {i: (w[1], w[4]) for i, w in want.items()}
+
+
+def test_repeat_groups_hold_all_occurrences(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(90)
+    texts = {i: f"{word(50)}{i}{passage}{i}{word(40)}" for i in range(5)}
+    got = suffix_dedup.repeat_groups(frame(spark, texts), length=60, group=4).collect()
+    covered = {i: set() for i in texts}
+    for r in got:
+        assert texts[r["doc_id"]][r["start"] : r["start"] + r["size"]] in passage
+        covered[r["doc_id"]] |= set(range(r["start"], r["start"] + r["size"]))
+    assert all(covered[i] == set(range(51, 141)) for i in texts)
+    by_repeat = {}
+    for r in got:
+        by_repeat.setdefault(r["repeat"], set()).add((r["doc_id"], texts[r["doc_id"]][r["start"] : r["start"] + r["size"]]))
+    assert all(len({t for _, t in x}) == 1 for x in by_repeat.values())
 
 
 def test_maximal_repeats():
