@@ -13,19 +13,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: every node hands its smallest neighbour to its larger ones, then
     all smaller ones to its smallest.  The number of rounds is about the logarithm of the longest path.  Smallest
-    neighbours are pre-aggregated; a node with very many edges is one hot join key, which adaptive execution splits.
+    neighbours are pre-aggregated and written before they are joined back, so that the join has an exchange of its own
+    on either side and adaptive execution can split a node with very many edges.
     """
     now = written(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct(), "edges")
     last = None
     while True:
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        least = written(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
         large = written(large, "large-star")
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        release(least)
+        least = written(large.groupBy("v").agg(F.min("u").alias("m")), "least")
         small = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         small = written(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct(), "small-star")
-        release(large)
+        release(large, least)
         state = tuple(small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         release(now)
         now = small

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import plain, with_key, written
+from millrace.llm.common import free_name, plain, with_key, written
 
 GRAM = 5
 
@@ -74,6 +74,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     shingled = texts.select("_key", F.explode(hashes("words")).alias("h")).where(F.col("h") <= F.lit(largest if largest is not None else -(1 << 63)))
     candidates = written(shingled.join(sketch, (shingled["h"] == sketch["h"]) & (shingled["h"] <= sketch["bound"])).select("_key", "_item").distinct(), "candidates")
     by_doc = candidates.join(known, "_item").select("_key", "item_id", "shingles")
+    # Few documents are candidates: their keys go to the texts, as a broadcast or a Bloom filter where Spark finds them small.
+    asked = written(candidates.select("_key").distinct(), "candidate-keys")
+    texts = keyed.join(asked, "_key", "left_semi").select("_key", F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words"))
     pairs = by_doc.join(texts, "_key").select("_key", "doc_id", "item_id", "shingles", strings("words").alias("own"))
     counted = pairs.select("_key", "doc_id", "item_id", F.size("shingles").alias("n_shingles"), F.size(F.array_intersect("shingles", "own")).alias("n_shared"))
     return counted.where(F.col("n_shared") >= F.lit(containment - 1e-9) * F.col("n_shingles")).select(
@@ -83,11 +86,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """docs without contaminated rows; all its columns stay."""
-    cols = docs.columns
-    keyed = with_key(docs, id_col, "decontamination-rows")
-    inner = keyed.select(F.col("_key").alias("_row"), F.col(text_col).alias("_text"))
-    found = contamination(inner, items, "_row", "_text", **settings).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(found, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in cols])
+    key = free_name(docs.columns, "_key")
+    keyed = with_key(docs, id_col, "decontamination-rows", key)
+    inner = keyed.select(F.col(key).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    found = contamination(inner, items, "_row", "_text", **settings).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(found, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

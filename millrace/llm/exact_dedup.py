@@ -5,13 +5,13 @@ into fixed-size blocks; the distinct blocks are sorted and numbered, and adjacen
 numbered again in the same way, level by level, until one number is left.  Two texts get the same
 (block count, number) exactly if they are equal: numbers stand for strings one to one, nothing is hashed.
 
-Before the long blocks are sorted, the first level is applied to three short sample blocks (head, middle,
-tail) together with the length.  A text that is alone in its (length, samples) class differs from every
-other text, so that class is its identity, and its other blocks need no numbers.
+Every text is named by its blocks.  What is shuffled as a string is each distinct block, once, to be sorted; the
+names come back by two 64-bit hashes of the block.  That is exact, as it is checked that no two distinct blocks have
+the same pair of hashes; if two had, names would come back by the blocks themselves.
 
-Scale.  Every grouping pre-aggregates, so a text held by a third of all rows is one row per task; the
-joins that hand the numbers back are plain equi joins that adaptive execution splits when a key is hot.
-Each level is written to the shared folder.  The number of levels is the logarithm of the longest text.
+Scale.  Every grouping pre-aggregates, so a text held by a third of all rows is one row per task; the joins that
+hand names and group sizes back read written tables, so adaptive execution can split a hot key.  The levels after the
+first are numbers only.  Their number is the logarithm of the longest text.
 
 Defined cases.  Null text counts as empty; empty texts are equal to each other.  Of equal texts the row
 with the most code points stays, then the smallest id (null ids last).  Rows that repeat an id, or have
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import plain, release, with_key, written
+from millrace.llm.common import free_name, plain, release, with_key, written
 
 #: The white space that does not count, as SQL's translate() takes it.
 WHITE = " \t\n\x0b\x0c\r"
@@ -33,81 +33,71 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), WHITE, "")
 
 
-def named(items: DataFrame, cols: list[str], label: str) -> DataFrame:
-    """The distinct values of cols with `name`: sorted over the cluster and numbered in that order.
-
-    Strings are ordered by their first characters, then a hash, then in full.  The order is as fixed as any, but what
-    the driver samples to cut the ranges is short, and blocks that begin alike still spread over several ranges."""
-    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = dict(items.dtypes)
-    order = [k for c in cols for k in ((F.substring(c, 1, 32), F.xxhash64(c)) if kinds[c] == "string" else (F.col(c),))]
-    ranked = items.select(*cols).distinct().repartitionByRange(n, *order).sortWithinPartitions(*order, *cols)
-    return written(ranked.withColumn("name", F.monotonically_increasing_id()), label)
-
-
-PROBE = ["n_norm", "head", "middle", "tail"]
-
-
-def probed(text: Column, sample: int = 48) -> list[Column]:
-    """The length of the normalised text and its sample blocks."""
-    norm = normalised(text)
-    return [
-        F.length(norm).alias("n_norm"),
-        F.substring(norm, 1, sample).alias("head"),
-        norm.substr(F.floor(F.length(norm) / 2).cast("int"), F.lit(sample)).alias("middle"),
-        F.right(norm, F.lit(sample)).alias("tail"),
-    ]
-
-
-def identities(texts: DataFrame, probes: DataFrame, block: int = 2048) -> DataFrame:
-    """probes with n_blocks and name. texts: _key, text; probes: _key and the columns of probed()."""
-    sizes = written(probes.groupBy(*PROBE).agg(F.count(F.lit(1)).alias("alike")).where("alike > 1").select(*PROBE), "classes")
-    several = written(probes.select("_key", *PROBE).join(sizes, PROBE).select("_key"), "alike")
-    texts = texts.join(several, "_key").select("_key", normalised(F.col("text")).alias("norm"))
-    cut = (
-        texts.select("_key", F.expr(f"greatest(1, cast(ceil(length(norm) / {block}D) as int))").alias("n_blocks"), "norm")
-        .select("_key", "n_blocks", F.posexplode(F.expr(f"transform(sequence(0, n_blocks - 1), i -> substring(norm, i * {block} + 1, {block}))")).alias("at", "block"))
-    )
-    cut = written(cut, "blocks")
-    names = named(cut, ["block"], "block-names")
-    level = written(cut.join(names, "block").select("_key", "n_blocks", "at", "name"), "level")
-    release(cut, names)
-    longest = level.agg(F.max("n_blocks")).first()[0] or 1
-    done, width = [level.where("n_blocks = 1").select("_key", "n_blocks", "name")], 1
+def named(items: DataFrame, cols: list[str], **keep: Column) -> DataFrame:
+    """The distinct values of cols, sorted where their hash deals them and numbered in that order: `keep` and `name`."""
+    ranked = items.select(*cols).distinct().sortWithinPartitions(*cols)
+    return ranked.select(*[c.alias(n) for n, c in keep.items()], F.monotonically_increasing_id().alias("name"))
+
+
+def blocks_of(norm: Column, block: int) -> Column:
+    """The blocks of a normalised text; the empty text is one empty block."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(norm) / F.lit(float(block))).cast("int") - 1)), lambda i: F.substring(norm, i * block + 1, F.lit(block)))
+
+
+def _pair(block: Column) -> dict[str, Column]:
+    return {"one": F.xxhash64(block), "two": F.xxhash64(F.lit(1), block)}
+
+
+def identities(texts: DataFrame, block: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """(_key, n_blocks and name: equal for two rows exactly if their texts are; the other columns of texts, and _key).
+    texts: _key, text and further columns."""
+    blocks = blocks_of(normalised(F.col("text")), block)
+    about = texts.select(*[c for c in texts.columns if c != "text"], F.transform(blocks, lambda b: F.struct(*[c.alias(n) for n, c in _pair(b).items()])).alias("pairs"))
+    about = written(about, "about")
+    each = texts.select("_key", F.posexplode(blocks).alias("at", "block"))
+    names = written(named(each, ["block"], **_pair(F.col("block"))), "block-names")
+    if names.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        level = about.select("_key", F.posexplode("pairs").alias("at", "pair")).select("_key", "at", "pair.*").join(names, ["one", "two"])
+    else:
+        release(names)
+        names = written(named(each, ["block"], block=F.col("block")), "block-names")
+        level = each.join(names, "block")
+    level = written(level.select("_key", "at", "name"), "level")
+    release(names)
+    return folded(level), about.drop("pairs")
+
+
+def folded(level: DataFrame) -> DataFrame:
+    """_key, n_blocks and name of every text, from the names of its blocks (_key, at, name)."""
+    # A text of one block is done; for the others adjacent pairs are named, as long as any has more than one name left.
+    counts = level.groupBy("_key").agg(F.count(F.lit(1)).alias("n_blocks"), F.max("name").alias("name"))
+    counts = written(counts, "block-counts")
+    done = counts.where("n_blocks = 1")
+    level = written(level.join(counts.where("n_blocks > 1").select("_key", "n_blocks"), "_key"), "level")
+    longest, width = counts.agg(F.max("n_blocks")).first()[0] or 1, 1
     while width < longest:
-        # One row for each pair; a last number without a partner is paired with -1.
-        here = level.where(F.col("n_blocks") > width)
-        pairs = here.groupBy("_key", "n_blocks", F.expr("at div 2").alias("at")).agg(
+        # One row for each pair; a last name without a partner is paired with -1.
+        pairs = level.groupBy("_key", "n_blocks", F.expr("at div 2").alias("at")).agg(
             F.max(F.when(F.col("at") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("at") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right")
         )
         pairs = written(pairs, "pairs")
-        names = named(pairs, ["left", "right"], "pair-names")
-        level = written(pairs.join(names, ["left", "right"]).select("_key", "n_blocks", "at", "name"), "level")
-        release(pairs, names)
+        names = written(named(pairs, ["left", "right"], left=F.col("left"), right=F.col("right")), "pair-names")
+        after = written(pairs.join(names, ["left", "right"]).select("_key", "n_blocks", "at", "name"), "level")
+        release(level, pairs, names)
         width *= 2
-        done.append(level.where((F.col("n_blocks") <= width) & (F.col("n_blocks") > width // 2)).select("_key", "n_blocks", "name"))
-    full = done[0]
-    for x in done[1:]:
-        full = full.unionByName(x)
-    # A text that is alone in its class has no blocks named; its class is its identity.
-    return probes.join(full, "_key", "left").withColumns({"n_blocks": F.coalesce("n_blocks", F.lit(0)), "name": F.coalesce("name", F.lit(-1).cast("long"))})
+        done = done.unionByName(after.where(F.col("n_blocks") <= width).select("_key", "n_blocks", "name"))
+        level = after.where(F.col("n_blocks") > width)
+    return done
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_code_points, _key."""
-    keyed = with_key(plain(docs, id_col, text_col), id_col, "exact-dedup")
-    text = F.col(text_col).cast("string")
-    about = keyed.select(
-        "_key",
-        F.col(id_col).alias("doc_id"),
-        F.length(F.coalesce(text, F.lit(""))).alias("n_code_points"),
-        F.sha2(normalised(text).cast("binary"), 256).alias("text_sha256"),
-        *probed(text),
-    )
-    about = written(about, "probes")
-    rows = written(identities(keyed.select("_key", text.alias("text")), about), "identities")
-    release(about)
-    same = [*PROBE, "n_blocks", "name"]
+    keyed = with_key(plain(docs, id_col, text_col).toDF("doc_id", "text"), "doc_id", "exact-dedup")
+    text = F.col("text").cast("string")
+    about = {"n_code_points": F.length(F.coalesce(text, F.lit(""))), "text_sha256": F.sha2(normalised(text).cast("binary"), 256)}
+    names, about = identities(keyed.select("_key", "doc_id", text.alias("text"), *[c.alias(n) for n, c in about.items()]))
+    rows = written(about.join(names, "_key"), "identities")
+    same = ["n_blocks", "name"]
     # The most code points stay, then the smallest key, which is in the order of the ids.
     best = F.max(F.struct(F.col("n_code_points").alias("n"), (-F.col("_key")).alias("k"), F.col("doc_id").alias("id")))
     # Written, so that the join has an exchange of its own on either side and a hot group can be split.
@@ -126,11 +116,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops; all its columns stay."""
-    cols = docs.columns
-    keyed = with_key(docs, id_col, "exact-dedup-rows")
-    found = exact_dedup(keyed.select(F.col("_key").alias("_row"), F.col(text_col).alias("_text")), "_row", "_text")
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_key"))
-    return keyed.join(dropped, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in cols])
+    key = free_name(docs.columns, "_key")
+    keyed = with_key(docs, id_col, "exact-dedup-rows", key)
+    found = exact_dedup(keyed.select(F.col(key).alias("_row"), F.col(f"`{text_col}`").alias("_text")), "_row", "_text")
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias(key))
+    return keyed.join(dropped, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = """

@@ -1,15 +1,18 @@
-"""N-gram Jaccard join (operator 1): MinHash prefixes of a fixed length, then exact verification.
+"""N-gram Jaccard join (operator 1): a MinHash LSH forest with adaptive prefixes, then exact verification.
 
 Words are `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased; shingles are five words (a text of one to four words is one
 shingle).  Two texts are linked if the Jaccard similarity of their shingle sets is at least `similarity`.
 
 1. Each text gets the hash of its shingle set and a signature of trees x depth MinHash values.  Texts with one and
    the same set are one class, named by its smallest key; from here on only class representatives are looked at.
-2. Each of the `trees` parts of a signature gives a text one prefix.  Its length is fixed by the settings: the longest
-   at which the chance that a pair of the wanted similarity shares a prefix in some part reaches `recall` (4 of 6
-   values).  The two values after it only order a group; no match is shortened level by level.  Within a prefix group every pair
-   is a candidate: it is tied unless the whole signatures rule the similarity out.  Pairs that other ties join
-   already are skipped, and one tie for each text leaves.  A group of more than `group` texts meets as pairs of blocks.
+2. Each of the `trees` parts of a signature is a way down a prefix trie of `depth` levels.  A text's prefixes are
+   shortened from the full depth, tree by tree, until the wanted recall is reached: down to the length at which all
+   trees together find a pair of the wanted similarity with a chance well over `recall`, but less far in the trees
+   where the text's next shorter prefix is crowded (more than `group` texts), the most crowded first, as long as the
+   chance stays at least `recall` for every pair (each of two texts may spend half of what is to spare).  Within a
+   prefix group every pair is a candidate: it is tied unless the whole signatures rule the similarity out.  Pairs that
+   other ties join already are skipped, and one tie for each text leaves.  A group of more than `group` texts meets as
+   pairs of blocks.
 3. Tied texts form candidate sets.  The texts of a set meet, in blocks of at most `block`, and all their pairs are
    verified by the exact shingle sets with a matrix product.  Only a row for each text leaves: its number of links and
    the smallest text it is linked with.  A larger set meets as pairs of blocks, so no task gets it whole.
@@ -23,14 +26,16 @@ that repeat an id, or have none, are texts of their own.  Empty tables give no r
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import _LOWER, _WORD_BASE, mix, parts_for, plain, prefix_hash, slices, span_hash, starts_in_text, windows, with_key, word_hashes, word_spans, written
+from millrace.llm.common import _LOWER, _WORD_BASE, even_ids, free_name, mix, parts_for, plain, prefix_hash, release, slices, span_hash, starts_in_text, windows, with_key, word_hashes, word_spans, written
 from millrace.llm.components import components
 from millrace.llm.lm import _added, _pieces, _rows, _split, _unpack
 from millrace.llm.substring_dedup import _spread
@@ -45,19 +50,29 @@ class Forest:
     trees: int = 16
     depth: int = 6
     recall: float = 0.999
-    next: int = 2  # sets are joined after each of so many next ones in a trie's order, then ever more seldom
+    next: int = 2  # sets are joined after each of so many next ones in a trie's order, then ever more seldom (work only)
     slack: float = 0.16  # four standard deviations of the signatures' estimate
     piece: int = 20_000
     block: int = 512
     group: int = 2048  # a larger prefix group meets as pairs of blocks of about so many texts
     bucket: int = 8 << 20
+    most: int = 1_000_000  # crowded prefixes of a level that the driver and every task may hold
 
     @property
     def shortest(self) -> int:
-        """The longest prefix that reaches the recall, the one length that is used."""
+        """The longest prefix that reaches the recall, if used in all trees."""
         reach = [k for k in range(1, self.depth + 1) if 1 - (1 - self.similarity**k) ** self.trees >= self.recall]
         return max(reach, default=1)
 
+    def missed(self, k: int) -> float:
+        """The logarithm of the chance that a pair of the wanted similarity shares no prefix of k values in one tree."""
+        return math.log1p(-(self.similarity**k))
+
+    @property
+    def spare(self) -> float:
+        """What one text may give away: half of what its shortest prefixes reach beyond the recall."""
+        return max(0.0, (math.log1p(-self.recall) - self.trees * self.missed(self.shortest)) / 2)
+
 
 def shingle_sets(texts: pa.Array, gram: int):
     """(first row, sorted distinct shingle hashes of each text, one after the other, number of each) by slice."""
@@ -184,14 +199,14 @@ def sketch(texts: DataFrame, f: Forest) -> DataFrame:
     return texts.select("_key", "text").mapInArrow(run, "_key long, n long, one long, two long, sig binary")
 
 
-def _labels(sig: np.ndarray, tree: int, f: Forest) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix of each text in a tree, and the values after it, which order a group."""
+def _labels(sig: np.ndarray, tree: int, level: int, f: Forest) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of `level` values of each text in a tree, and the values after it, which order a group."""
     own = sig[:, tree * f.depth : (tree + 1) * f.depth].astype(_U)
-    prefix = np.full(len(sig), tree + 1, _U)
-    for k in range(f.shortest):
+    prefix = np.full(len(sig), (level << 32) + tree + 1, _U)
+    for k in range(level):
         prefix = mix(prefix * _U(0x9E3779B97F4A7C15) + own[:, k])
     rest = np.zeros(len(sig), _U)
-    for k in range(f.shortest, min(f.depth, f.shortest + 2)):
+    for k in range(level, min(f.depth, level + 2)):
         rest = rest << _U(32) | own[:, k]
     return prefix, rest
 
@@ -210,63 +225,127 @@ def _held(batches, f: Forest):
         yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
 
 
-def large_groups(sketched: DataFrame, f: Forest) -> tuple[np.ndarray, np.ndarray]:
-    """The prefixes, sorted, that more than `group` texts share, and the number of blocks for each: at most trees / group
-    of the texts. sketched: _key, sig."""
-    buckets = parts_for(sketched, f.bucket)
+class Crowds(NamedTuple):
+    """Prefixes, sorted, that more than `group` texts share, and how many."""
+
+    prefix: np.ndarray
+    size: np.ndarray
+    group: int
+
+    def sizes(self, prefix: np.ndarray) -> np.ndarray:
+        """The number of texts that share each prefix, 0 if it is not crowded."""
+        if not len(self.prefix):
+            return np.zeros(len(prefix), np.int64)
+        at = np.minimum(np.searchsorted(self.prefix, prefix), len(self.prefix) - 1)
+        return np.where(self.prefix[at] == prefix, self.size[at], 0)
+
+
+def crowds(sketched: DataFrame, f: Forest, level: int, within: Crowds | None) -> Crowds:
+    """The crowded prefixes of a level; only those under `within`'s are looked at. What the driver gets is bounded: if
+    there are more than `most`, `group` is doubled, and the groups it no longer splits are met by one task.
+    sketched: _key, sig."""
+    ids = even_ids(sketched.sparkSession, parts_for(sketched, f.bucket))
 
     def count(batches):
         for _, sig in _held(batches, f):
-            prefixes, n = np.unique(np.concatenate([_labels(sig, t, f)[0] for t in range(f.trees)]), return_counts=True)
-            yield _rows([(b, _pieces([prefixes[x], n[x].astype(np.uint32)])) for b, x in _split((prefixes % _U(buckets)).astype(np.int64))])
+            held = []
+            for t in range(f.trees):
+                own = sig if within is None else sig[within.sizes(_labels(sig, t, level - 1, f)[0]) > 0]
+                held.append(_labels(own, t, level, f)[0])
+            prefixes, n = np.unique(np.concatenate(held), return_counts=True)
+            yield _rows([(ids[b], _pieces([prefixes[x], n[x].astype(np.uint32)])) for b, x in _split((prefixes % _U(len(ids))).astype(np.int64))])
 
     def add(key, table):
         parts = [_unpack(p.as_py(), (_U, np.uint32)) for p in table.column("payload")]
         prefixes, n = _added(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
         large = n > f.group
-        return pa.table({"prefix": pa.array(prefixes[large].view(np.int64)), "blocks": pa.array(-(-n[large] // f.group))})
-
-    rows = sketched.select("_key", "sig").mapInArrow(count, "bucket long, payload binary").groupBy("bucket").applyInArrow(add, "prefix long, blocks long").collect()
-    prefixes, blocks = np.array([r["prefix"] for r in rows], np.int64).view(_U), np.array([r["blocks"] for r in rows], np.int64)
+        return pa.table({"prefix": pa.array(prefixes[large].view(np.int64)), "n": pa.array(n[large])})
+
+    if within is not None and not len(within.prefix):
+        return Crowds(np.zeros(0, _U), np.zeros(0, np.int64), f.group)
+    found = written(sketched.select("_key", "sig").mapInArrow(count, "bucket long, payload binary").groupBy("bucket").applyInArrow(add, "prefix long, n long"), "crowds")
+    group = f.group
+    while found.where(F.col("n") > group).count() > f.most:
+        group *= 2
+    rows = found.where(F.col("n") > group).collect()
+    release(found)
+    prefixes, n = np.array([r["prefix"] for r in rows], np.int64).view(_U), np.array([r["n"] for r in rows], np.int64)
     order = np.argsort(prefixes)
-    return prefixes[order], blocks[order]
+    return Crowds(prefixes[order], n[order], group)
+
+
+def levels(sig: np.ndarray, crowded: list[Crowds], f: Forest) -> np.ndarray:
+    """The prefix length of each text in each tree. crowded: by level, from the shortest."""
+    n = len(sig)
+    out, spare = np.full((n, f.trees), f.shortest), np.full(n, f.spare)
+    if not crowded or not len(crowded[0].prefix):
+        return out
+    sizes = np.stack([crowded[0].sizes(_labels(sig, t, f.shortest, f)[0]) for t in range(f.trees)], axis=1)
+    # How far down each tree stays crowded is how long the text wants its prefix there.
+    wish = (sizes > 0).astype(np.int64)
+    for step, crowd in enumerate(crowded[1:], 1):
+        for t in np.flatnonzero((wish == step).any(0)):
+            wish[:, t] += (wish[:, t] == step) & (crowd.sizes(_labels(sig, t, f.shortest + step, f)[0]) > 0)
+    cost = np.array([f.missed(f.shortest + k) - f.missed(f.shortest) for k in range(f.depth - f.shortest + 1)])
+    order = np.argsort(-sizes, axis=1, kind="stable")
+    row = np.arange(n)
+    for rank in range(f.trees):
+        t = order[:, rank]
+        want = np.minimum(wish[row, t], f.depth - f.shortest)
+        while (over := (cost[want] > spare) & (want > 0)).any():
+            want = want - over
+        spare -= cost[want]
+        out[row, t] = f.shortest + want
+    return out
 
 
 def candidate_ties(sketched: DataFrame, f: Forest) -> DataFrame:
     """(a, b): texts of one set of tied ones, each with the smallest that its bucket knows. sketched: _key, sig of class
     representatives."""
-    buckets = parts_for(sketched, f.bucket)
+    ids = even_ids(sketched.sparkSession, parts_for(sketched, f.bucket))
+    buckets = len(ids)
     width = f.trees * f.depth
-    large = sketched.sparkSession.sparkContext.broadcast(large_groups(sketched, f))
+    crowded: list[Crowds] = []
+    for level in range(f.shortest, f.depth + 1):
+        crowded.append(crowds(sketched, f, level, crowded[-1] if crowded else None))
+    shared = sketched.sparkSession.sparkContext.broadcast(crowded)
 
-    def meetings(prefix, keys):
+    def meetings(prefix, keys, crowd):
         """(index, label): a text of a large group goes to the meetings of its block with each other block."""
-        hot, blocks = large.value
-        at = np.minimum(np.searchsorted(hot, prefix), max(0, len(hot) - 1))
-        split = hot[at] == prefix if len(hot) else np.zeros(len(prefix), bool)
-        index, label = [np.flatnonzero(~split)], [prefix[~split]]
-        i = np.flatnonzero(split)
-        of = blocks[at[i]] if len(i) else at[i]
+        blocks = -(-crowd.sizes(prefix) // crowd.group)
+        i = np.flatnonzero(blocks)
+        index, label = [np.flatnonzero(blocks == 0)], [prefix[blocks == 0]]
+        of = blocks[i]
         own = (mix(keys[i].view(_U)) % of.astype(_U)).astype(np.int64) if len(i) else i
         for other in range(int(of.max()) if len(i) else 0):
-            x = np.flatnonzero((other < of) & (other != own))
+            x = np.flatnonzero((other < of) & ((other != own) | (of == 1)))
             low, high = np.minimum(own[x], other).astype(_U), np.maximum(own[x], other).astype(_U)
             index.append(i[x])
             label.append(mix(prefix[i[x]] ^ mix(low << _U(32) | high)))
         return np.concatenate(index), np.concatenate(label)
 
     def deal(batches):
+        crowded = shared.value
         for keys, sig in _held(batches, f):
             small = sig.astype(np.uint8)
             joined: dict[int, list[bytes]] = {}
+            stops = levels(sig, crowded, f)
             for t in range(f.trees):
-                prefix, rest = _labels(sig, t, f)
-                index, label = meetings(prefix, keys)
-                for b, x in _split((label % _U(buckets)).astype(np.int64)):
-                    i = index[x]
-                    joined.setdefault(b, []).append(_pieces([label[x], rest[i], keys[i], small[i].ravel()]))
+                # A text that stays at a crowded prefix also meets those there that went for a longer one.
+                above = crowded[0].sizes(_labels(sig, t, f.shortest, f)[0]) > 0
+                for level in range(f.shortest, f.depth + 1):
+                    member = np.flatnonzero((stops[:, t] == level) | (above & (stops[:, t] < level)))
+                    if not len(member):
+                        continue
+                    prefix, rest = _labels(sig[member], t, level, f)
+                    index, label = meetings(prefix, keys[member], crowded[level - f.shortest])
+                    if level < f.depth:
+                        above[member] &= crowded[level - f.shortest].sizes(prefix) > 0
+                    for b, x in _split((label % _U(buckets)).astype(np.int64)):
+                        i = member[index[x]]
+                        joined.setdefault(b, []).append(_pieces([label[x], rest[index[x]], keys[i], small[i].ravel()]))
             # A bucket's pieces of all trees travel as one row.
-            yield _rows([(b, _pieces([np.frombuffer(x, np.uint8) for x in parts])) for b, parts in joined.items()])
+            yield _rows([(ids[b], _pieces([np.frombuffer(x, np.uint8) for x in parts])) for b, parts in joined.items()])
 
     def across(key, table):
         parts = []
@@ -371,8 +450,8 @@ def verify(texts: DataFrame, sets_of: DataFrame, f: Forest) -> DataFrame:
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f: Forest = Forest()) -> DataFrame:
     """Per row: doc_id, class_id (the group's smallest id), copy_id (the smallest id with the same shingles), n_copies,
     n_links, kept, _key."""
-    keyed = with_key(plain(docs, id_col, text_col), id_col, "jaccard")
-    texts = keyed.select("_key", F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    keyed = with_key(plain(docs, id_col, text_col).toDF("doc_id", "text"), "doc_id", "jaccard")
+    texts = keyed.select("_key", "doc_id", F.col("text").cast("string").alias("text"))
     sketched = written(sketch(texts, f), "sketches")
     same = ["n", "one", "two"]
     # Written, so that the join has an exchange of its own on either side and a hot class can be split.
@@ -382,7 +461,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = classes.where("rep = _key").select("_key")
     ties = written(candidate_ties(sketched.where("n > 0").join(first, "_key", "left_semi"), f).distinct(), "ties")
     sets_of = components(ties).select(F.col("node").alias("_key"), "component")
-    sizes = sets_of.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    # Written before it is joined back, so that a large set can be split.
+    sets_of = written(sets_of, "members")
+    sizes = written(sets_of.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "set-sizes")
     sets_of = written(sets_of.join(sizes, "component"), "candidate-sets")
     checked = written(verify(texts, sets_of, f), "verified")
     links = checked.groupBy("_key").agg(F.sum("links").alias("n_links"))
@@ -400,11 +481,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f: Forest = Forest()) -> DataFrame:
     """docs with one row of each group of linked texts; all its columns stay."""
-    cols = docs.columns
-    keyed = with_key(docs, id_col, "jaccard-rows")
-    inner = keyed.select(F.col("_key").alias("_row"), F.col(text_col).alias("_text"))
-    gone = jaccard_join(inner, "_row", "_text", f).where("not kept").select(F.col("doc_id").alias("_key"))
-    return keyed.join(gone, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in cols])
+    key = free_name(docs.columns, "_key")
+    keyed = with_key(docs, id_col, "jaccard-rows", key)
+    inner = keyed.select(F.col(key).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    gone = jaccard_join(inner, "_row", "_text", f).where("not kept").select(F.col("doc_id").alias(key))
+    return keyed.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def brute(rows: list[tuple[int, str | None]], similarity: float = 0.8, gram: int = 5) -> dict[int, tuple[int, int]]:

@@ -3,12 +3,12 @@
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged.  A word goes if a window of `length` words that covers it starts
 earlier too, in a text of smaller id or earlier in the same one; windows are judged on the input.
 
-1. A task hashes all windows of a bounded piece of its texts (Rabin-Karp prefix sums modulo 2^64 over mixed word
-   hashes).  Of equal windows in a piece all but the first are known to repeat; only the first is sent on.  So a
+1. A task hashes all windows of a bounded piece of its texts (Rabin-Karp prefix sums modulo 2^61 - 1 over word
+   hashes, which are such sums over bytes themselves).  Of equal windows in a piece all but the first are known to repeat; only the first is sent on.  So a
    passage that a third of all rows share is one window per piece, however many texts hold it.
 2. Windows go to the bucket of their smallest inner hash of `gram` words, which neighbouring windows mostly share.
-   Neighbours travel as one run: id, start, count, and 48 bits of hash per window, packed by bucket.  Windows are
-   equal when bucket, 16 bits of the inner hash and these 48 bits are: over 70 bits in all.
+   Neighbours travel as one run: id, start, count, inner hash, and a hash of 61 bits per window, packed by bucket.
+   Windows count as equal when both hashes are: two sums to different bases over different words, 122 bits in all.
 3. Each bucket counts its windows and returns the runs of windows that are not the first of their kind.
 4. The runs of a text merge to maximal removal intervals, which meet the text in one join on its key.
 
@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import parts_for, plain, slices, starts_in_text, windows, with_key, word_hashes, word_spans
+from millrace.llm.common import even_ids, parts_for, plain, slices, starts_in_text, windows, with_key, word_hashes, word_spans
 from millrace.llm.lm import _pieces, _rows, _split, _unpack
 
 _U = np.uint64
-_RUN = (np.int64, np.uint32, np.uint8, np.uint16, np.uint8)  # key, first window, windows, inner hash, 6 bytes a window
+_RUN = (np.int64, np.uint32, np.uint8, _U, _U)  # key, first window, windows, inner hash, each window's hash
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -47,12 +47,17 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(right[:m], left[n - 1 : n - 1 + m])
 
 
-def _later(hashes: np.ndarray) -> np.ndarray:
-    """Of equal hashes, all but the first, as a mask."""
+def _later(hashes: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Of windows with equal hashes, all but the first, as a mask."""
     order = np.argsort(hashes, kind="stable")
+    s, t = hashes[order], inner[order]
+    equal = s[1:] == s[:-1]
+    if (equal & (t[1:] != t[:-1])).any():  # so rare that a second sort does not matter
+        order = np.lexsort((inner, hashes))
+        s, t = hashes[order], inner[order]
+        equal = (s[1:] == s[:-1]) & (t[1:] == t[:-1])
     same = np.zeros(len(hashes), bool)
-    s = hashes[order]
-    same[order[1:]] = s[1:] == s[:-1]
+    same[order[1:]] = equal
     return same
 
 
@@ -82,7 +87,8 @@ def _spread(first: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def removal_runs(texts: DataFrame, length: int = 20, gram: int = 6, piece: int = 1_000_000, bucket: int = 8 << 20) -> DataFrame:
     """(_key, payload) with packed runs of repeated windows: first window and their number. texts: _key, text."""
-    buckets = parts_for(texts, bucket)
+    ids = even_ids(texts.sparkSession, parts_for(texts, bucket))
+    buckets = len(ids)
 
     def hashed(batches):
         held, size = [], 0
@@ -92,19 +98,18 @@ def removal_runs(texts: DataFrame, length: int = 20, gram: int = 6, piece: int =
             if (key[1:] < key[:-1]).any():  # the earliest text comes first
                 order = np.argsort(key, kind="stable")
                 key, start, window, inner = key[order], start[order], window[order], inner[order]
-            repeated = _later(window)
+            repeated = _later(window, inner)
             rows = []
             first, n = _runs(key[repeated], start[repeated], None, 0)
             if len(first):
                 # Known already; they only pass, spread over the buckets by their key.
                 k, s = key[repeated][first], start[repeated][first]
-                rows += [(b, b"\1" + _pieces([k[x], s[x].astype(np.uint32), n[x].astype(np.uint32)])) for b, x in _split((k % buckets).astype(np.int64))]
+                rows += [(ids[b], b"\1" + _pieces([k[x], s[x].astype(np.uint32), n[x].astype(np.uint32)])) for b, x in _split((k % buckets).astype(np.int64))]
             key, start, window, inner = key[~repeated], start[~repeated], window[~repeated], inner[~repeated]
             first, n = _runs(key, start, inner)
-            packed = (window >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             for b, x in _split((inner[first] % _U(buckets)).astype(np.int64)):
-                body = packed[_spread(first[x], n[x])].ravel()
-                rows.append((b, b"\0" + _pieces([key[first[x]], start[first[x]].astype(np.uint32), n[x].astype(np.uint8), (inner[first[x]] >> _U(48)).astype(np.uint16), body])))
+                body = window[_spread(first[x], n[x])]
+                rows.append((ids[b], b"\0" + _pieces([key[first[x]], start[first[x]].astype(np.uint32), n[x].astype(np.uint8), inner[first[x]], body])))
             return _rows(rows)
 
         for batch in batches:
@@ -141,10 +146,7 @@ def removal_runs(texts: DataFrame, length: int = 20, gram: int = 6, piece: int =
             n = n.astype(np.int64)
             at = np.r_[0, np.cumsum(n)[:-1]]
             order = np.lexsort((s, k))  # the earliest window of a kind comes first
-            wide = np.zeros((len(body) // 6, 8), np.uint8)
-            wide[:, 2:] = body.reshape(-1, 6)
-            window = wide.view("<u8").ravel()[_spread(at[order], n[order])] | np.repeat(inner[order], n[order]).astype(np.uint64)
-            repeated = _later(window)
+            repeated = _later(body[_spread(at[order], n[order])], np.repeat(inner[order], n[order]))
             key_of, start_of = np.repeat(k[order], n[order])[repeated], (np.repeat(s[order].astype(np.int64), n[order]) + _spread(np.zeros(len(order), np.int64), n[order]))[repeated]
             first, n = _runs(key_of, start_of, None, 0)
             out_key.append(key_of[first])
@@ -170,8 +172,8 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, kept_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, n_intervals, and kept_text if asked for."""
-    keyed = with_key(plain(docs, id_col, text_col), id_col, "substring-dedup")
-    texts = keyed.select("_key", F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    keyed = with_key(plain(docs, id_col, text_col).toDF("doc_id", "text"), "doc_id", "substring-dedup")
+    texts = keyed.select("_key", "doc_id", F.col("text").cast("string").alias("text"))
     # A text has no more runs than words, so its list is bounded by the text.
     runs = removal_runs(texts, length).groupBy("_key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     kind = texts.schema["doc_id"].dataType.simpleString()

@@ -14,12 +14,13 @@ The suffix array is built where repeats can be, not over the whole corpus in one
 3. The different contents of a core, by their bytes, make an enhanced suffix array: suffixes in order, common prefixes
    of neighbours, and a stack scan over these that yields every interval of suffixes with a common prefix of `least`
    and more.  Intervals whose suffixes have different left neighbours are the maximal repeats, with all occurrences.
+   Suffixes at a distance from the inner hash at which all contents have the same left neighbour begin none.
    A core in more than `crowd` different contents is first split by the next bytes: its runs are cut to an eighth and
    then to single windows, each with a longer core, for `least` and `length` apart.  So no task gets a group that grows
    with the corpus, and what the split leaves takes the same way through a suffix array.
 4. The repeats of a text merge to maximal spans, which meet the text in one join on its key.
 
-Cores and contents are named by Rabin-Karp sums of 61 and 122 bits.
+Cores, and the contents of each core, are named by Rabin-Karp sums of 61 bits.
 
 Defined cases: null is the empty text.  Rows that repeat an id, or have none, are texts of their own.  Texts
 shorter than a window lose nothing.  Texts of any length are taken whole; hashing goes by overlapping chunks of a
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import _BASE, _SECOND, even_ids, mix, parts_for, plain, prefix_hash, slices, span_hash, with_key, written
+from millrace.llm.common import _BASE, even_ids, mix, parts_for, plain, prefix_hash, slices, span_hash, with_key, written
 from millrace.llm.lm import _pieces, _rows, _split, _unpack
 from millrace.llm.substring_dedup import _runs, merged, sliding_min
 
@@ -44,9 +45,9 @@ _U = np.uint64
 _POSITION = 24  # bits of a position within a chunk
 _CHUNK = 1 << 22
 _GRAM = 32
-#: core, content, key, start, windows, distance to the inner hash, bytes of the content, whether its piece has it again
-_RUN = (_U, _U, np.int64, np.uint32, np.uint8, np.uint16, np.uint16, bool)
-FOUND = "_key long, start long, n int, off int, size int, core long, state int, again boolean"
+#: core, content, key, start, windows, distance to the inner hash, bytes of the content, window, whether its piece has it again
+_RUN = (_U, _U, np.int64, np.uint32, np.uint8, np.uint16, np.uint16, np.uint16, bool)
+FOUND = "_key long, start long, n int, off int, size int, core long, state int, again boolean, window int"
 COPY, LEAF, CROWDED = 0, 1, 2
 
 
@@ -61,12 +62,12 @@ class Level(NamedTuple):
 # ------------------------------------------------------------------------- enhanced suffix array
 
 
-def suffix_array(parts: list[bytes], starts: list[int], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes of all parts, part i's from positions below starts[i]: (part, position) in order, and the length of
-    the common prefix with the one before (0 if it is shorter than `least`)."""
+def suffix_array(parts: list[bytes], starts: list, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes of all parts, part i's from the positions starts[i]: (part, position) in order, and the length of the
+    common prefix with the one before (0 if it is shorter than `least`)."""
     views, part, position = [], [], []
     for i, data in enumerate(parts):
-        for at in range(starts[i]):
+        for at in starts[i]:
             views.append(data[at:])
             part.append(i)
             position.append(at)
@@ -111,10 +112,24 @@ def lcp_intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def maximal_repeats(parts: list[bytes], least: int, starts: list[int] | None = None, again: list[bool] | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
+def beginnings(parts: list[bytes], n: np.ndarray, off: np.ndarray) -> list:
+    """The positions of each part, of the first n, where a maximal repeat can begin: at a distance from the inner hash
+    (off - position) at which some part begins, or the parts' left neighbours differ."""
+    size = int(off.max()) + 1
+    low, high, need = np.full(size, 255, np.uint8), np.zeros(size, np.uint8), np.zeros(size, bool)
+    need[off] = True
+    left = np.frombuffer(b"".join([p[: k - 1] for p, k in zip(parts, n.tolist())]), np.uint8)
+    far = np.concatenate([np.arange(o - 1, o - k, -1) for o, k in zip(off.tolist(), n.tolist())])
+    np.minimum.at(low, far, left)
+    np.maximum.at(high, far, left)
+    need |= low < high
+    return [np.flatnonzero(need[o - k + 1 : o + 1][::-1]).tolist() for o, k in zip(off.tolist(), n.tolist())]
+
+
+def maximal_repeats(parts: list[bytes], least: int, starts: list | None = None, again: list[bool] | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
     """Groups of equal strings that no byte more to either side keeps equal: (length, all (part, position)).
     again: parts that occur more than once; their suffixes are intervals by themselves."""
-    starts = [len(p) for p in parts] if starts is None else starts
+    starts = [range(len(p)) for p in parts] if starts is None else starts
     again = [False] * len(parts) if again is None else again
     part, position, lcp = suffix_array(parts, starts, least)
     intervals = lcp_intervals(lcp, least)
@@ -150,23 +165,25 @@ def _chunks(texts: pa.Array, reach: int):
 def grams(data: np.ndarray) -> np.ndarray:
     """A hash of every 32 bytes, from those of its four words."""
     data = np.ascontiguousarray(data)
-    words = mix(np.ndarray(len(data) - 7, "<u8", data, strides=(1,)).astype(_U))
+    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)) * _U(0xFF51AFD7ED558CCD)
+    words ^= words >> _U(32)
     n = len(data) - _GRAM + 1
     out = words[:n] * _U(0x9E3779B97F4A7C15)
     for at, by in ((8, 0xC2B2AE3D27D4EB4F), (16, 0x9FB21C651E98DF25), (24, 0xD1B54A32D192ED03)):
         out += words[at : at + n] * _U(by)
-    return mix(out)
+    out ^= out >> _U(29)
+    out *= _U(0xBF58476D1CE4E5B9)
+    return out
 
 
-def _named(data: np.ndarray, s: np.ndarray, n: np.ndarray, off: np.ndarray, end: np.ndarray, level: Level):
+def _named(data: np.ndarray, s: np.ndarray, n: np.ndarray, off: np.ndarray, end: np.ndarray, level: Level, prefix=None):
     """(content bytes, core hash, content hash) of runs. off: from a run's first window to its inner hash; end: of its text."""
-    place = s + off
     step = off // level.group
-    a = place - level.group * step
-    one, two = prefix_hash(data, _BASE), prefix_hash(data, _SECOND)
-    core = mix(span_hash(one, a, a - level.group + 1 + level.window, _BASE) + step.astype(_U) * _U(0x9FB21C651E98DF25))
+    a = s + off - level.group * step
+    prefix = prefix_hash(data, _BASE) if prefix is None else prefix
+    core = mix(span_hash(prefix, a, a - level.group + 1 + level.window, _BASE) + (step << 20 | level.window).astype(_U) * _U(0x9FB21C651E98DF25))
     e = np.minimum(s + n - 1 + level.content, end)
-    content = mix(span_hash(two, s, e, _SECOND) + off.astype(_U) * _U(0xD1B54A32D192ED03) + (n << 16 | e - s).astype(_U))
+    content = mix(span_hash(prefix, s, e, _BASE) + off.astype(_U) * _U(0xD1B54A32D192ED03) + (n << 16 | e - s).astype(_U))
     return e - s, core, content
 
 
@@ -187,7 +204,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, limit: int, level: Level):
     return text, s, n, off, *_named(data, s, n, off, offsets[text + 1], level)
 
 
-def shorter_runs(data: np.ndarray, s: np.ndarray, n: np.ndarray, off: np.ndarray, level: Level):
+def shorter_runs(data: np.ndarray, s: np.ndarray, n: np.ndarray, off: np.ndarray, level: Level, prefix):
     """The runs of a text cut to those of a finer level: (start, windows, distance, content bytes, core, content)."""
     at = np.concatenate([np.arange(x) for x in n])
     run = np.repeat(np.arange(len(n)), n)
@@ -196,7 +213,7 @@ def shorter_runs(data: np.ndarray, s: np.ndarray, n: np.ndarray, off: np.ndarray
     run, start, far = run[ok], start[ok], far[ok]
     first, n = _runs(run, start, (far // level.group).astype(_U), 0)
     s, off = start[first], far[first]
-    return s, n, off, *_named(data, s, n, off, np.full(len(s), len(data)), level)
+    return s, n, off, *_named(data, s, n, off, np.full(len(s), len(data)), level, prefix)
 
 
 def _same(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,7 +226,7 @@ def _same(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _sent(held: list[tuple], ids: np.ndarray) -> pa.RecordBatch:
     """A piece's runs by bucket: one of equal contents, and where the others are, which need no bucket of their own."""
-    core, content, key, start, n, off, size = (np.concatenate(x) for x in zip(*held))
+    core, content, key, start, n, off, size, window = (np.concatenate(x) for x in zip(*held))
     order, _, new = _same(core, content)
     of, one = np.cumsum(new) - 1, order[new]
     copies, rows = order[~new], []
@@ -218,11 +235,11 @@ def _sent(held: list[tuple], ids: np.ndarray) -> pa.RecordBatch:
     again = (np.bincount(of) > 1)[of[new]]
     for b, x in _split((core[one] % _U(len(ids))).astype(np.int64)):
         i = one[x]
-        rows.append((ids[b], b"\0" + _pieces([core[i], content[i], key[i], start[i].astype(np.uint32), n[i].astype(np.uint8), off[i].astype(np.uint16), size[i].astype(np.uint16), again[x]])))
+        rows.append((ids[b], b"\0" + _pieces([core[i], content[i], key[i], start[i].astype(np.uint32), n[i].astype(np.uint8), off[i].astype(np.uint16), size[i].astype(np.uint16), window[i].astype(np.uint16), again[x]])))
     return _rows(rows)
 
 
-def _judged(rows: DataFrame, crowd: int, level: Level) -> DataFrame:
+def _judged(rows: DataFrame, crowd: int, group: int) -> DataFrame:
     """FOUND of the packed runs: copies, leaves for a suffix array, and crowded cores' runs."""
 
     def judge(key, table):
@@ -232,31 +249,31 @@ def _judged(rows: DataFrame, crowd: int, level: Level) -> DataFrame:
             if raw[0]:
                 k, s, size = _unpack(raw[1:], (np.int64, np.uint32, np.uint16))
                 none = np.zeros(len(k), np.int64)
-                out.append((k, s, none, none, size, none, none, none > 0))
+                out.append((k, s, none, none, size, none, none, none > 0, none))
             else:
                 parts.append(_unpack(raw[1:], _RUN))
         if parts:
-            core, content, k, s, n, off, size, again = (np.concatenate(x) for x in zip(*parts))
+            core, content, k, s, n, off, size, window, again = (np.concatenate(x) for x in zip(*parts))
             order, new_core, new = _same(core, content)
             of, of_core = np.cumsum(new) - 1, np.cumsum(new_core) - 1
             leaf = np.flatnonzero(new)
             twice = (np.bincount(of) > 1) | np.logical_or.reduceat(again[order], leaf)
             kinds = np.bincount(of_core[new])
             repeated = (kinds > 1) | np.logical_or.reduceat(twice, np.flatnonzero(new_core[new]))
-            state = np.where(kinds > crowd, CROWDED if level.group > 1 else LEAF, LEAF)
+            state = np.where(kinds > crowd, CROWDED if group > 1 else LEAF, LEAF)
             i = order[~new]
             none = np.zeros(len(i), np.int64)
-            out.append((k[i], s[i], none, none, size[i], none, none, none > 0))
+            out.append((k[i], s[i], none, none, size[i], none, none, none > 0, none))
             ok = repeated[of_core[leaf]]
             i, c = order[leaf][ok], of_core[leaf][ok]
-            out.append((k[i], s[i], n[i], off[i], size[i], core[i].view(np.int64), state[c], twice[ok]))
+            out.append((k[i], s[i], n[i], off[i], size[i], core[i].view(np.int64), state[c], twice[ok], window[i]))
             # A crowded content that occurs again repeats as a whole; its windows still are partners for others.
             i = i[(state[c] == CROWDED) & twice[ok]]
             none = np.zeros(len(i), np.int64)
-            out.append((k[i], s[i], none, none, size[i], none, none, none > 0))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
+            out.append((k[i], s[i], none, none, size[i], none, none, none > 0, none))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int32())
         cols = [np.concatenate(x) for x in zip(*out)] if out else [[]] * len(kinds)
-        names = ("_key", "start", "n", "off", "size", "core", "state", "again")
+        names = ("_key", "start", "n", "off", "size", "core", "state", "again", "window")
         return pa.table({name: pa.array(c, pa.bool_()) if t == pa.bool_() else pa.array(np.asarray(c, np.int64)).cast(t) for name, c, t in zip(names, cols, kinds)})
 
     return rows.groupBy("bucket").applyInArrow(judge, FOUND)
@@ -273,7 +290,7 @@ def find_runs(texts: DataFrame, level: Level, crowd: int, piece: int, bucket: in
             for row, at, data, offsets, limit in _chunks(batch.column(1), level.content):
                 text, start, n, off, content_size, core, content = runs_of(data, offsets, limit, level)
                 if len(text):
-                    held.append((core, content, keys[row + text], at + start - offsets[text], n, off, content_size))
+                    held.append((core, content, keys[row + text], at + start - offsets[text], n, off, content_size, np.zeros(len(text), np.int64)))
                     size += len(text)
                 if size >= piece:
                     yield _sent(held, ids)
@@ -281,13 +298,14 @@ def find_runs(texts: DataFrame, level: Level, crowd: int, piece: int, bucket: in
         if size:
             yield _sent(held, ids)
 
-    return _judged(texts.select("_key", "text").mapInArrow(hashed, "bucket long, payload binary"), crowd, level)
+    return _judged(texts.select("_key", "text").mapInArrow(hashed, "bucket long, payload binary"), crowd, level.group)
 
 
-def split_runs(packed: DataFrame, crowded: DataFrame, level: Level, crowd: int, piece: int, bucket: int) -> DataFrame:
-    """FOUND of the crowded runs, cut to a finer level. packed: _key, packed; crowded: FOUND."""
+def split_runs(packed: DataFrame, crowded: DataFrame, windows: list[int], group: int, crowd: int, piece: int, bucket: int) -> DataFrame:
+    """FOUND of the crowded runs, cut to a finer level, of each window or the one that they are of already.
+    packed: _key, packed; crowded: FOUND."""
     ids = even_ids(packed.sparkSession, parts_for(packed, bucket))
-    wanted = crowded.groupBy("_key").agg(F.collect_list(F.struct("start", "n", "off")).alias("runs"))
+    wanted = crowded.groupBy("_key").agg(F.collect_list(F.struct("start", "n", "off", "window")).alias("runs"))
 
     def hashed(batches):
         import zstandard
@@ -297,11 +315,16 @@ def split_runs(packed: DataFrame, crowded: DataFrame, level: Level, crowd: int,
         for batch in batches:
             for key, data, runs in zip(batch.column(0), batch.column(1), batch.column(2)):
                 data = np.frombuffer(unzip.decompress(data.as_py()), np.uint8)
-                s, n, off = (runs.values.field(f).to_numpy().astype(np.int64) for f in ("start", "n", "off"))
-                s, n, off, content_size, core, content = shorter_runs(data, s, n, off, level)
-                if len(s):
-                    held.append((core, content, np.full(len(s), key.as_py(), np.int64), s, n, off, content_size))
-                    size += len(s)
+                s, n, off, window = (runs.values.field(f).to_numpy().astype(np.int64) for f in ("start", "n", "off", "window"))
+                prefix = prefix_hash(data, _BASE)
+                for w in windows:
+                    x = np.flatnonzero((window == 0) | (window == w))
+                    if not len(x):
+                        continue
+                    start, many, far, content_size, core, content = shorter_runs(data, s[x], n[x], off[x], Level(w, w, group), prefix)
+                    if len(start):
+                        held.append((core, content, np.full(len(start), key.as_py(), np.int64), start, many, far, content_size, np.full(len(start), w)))
+                        size += len(start)
                 if size >= piece:
                     yield _sent(held, ids)
                     held, size = [], 0
@@ -309,7 +332,7 @@ def split_runs(packed: DataFrame, crowded: DataFrame, level: Level, crowd: int,
             yield _sent(held, ids)
 
     rows = packed.join(wanted, "_key").select("_key", "packed", "runs").mapInArrow(hashed, "bucket long, payload binary")
-    return _judged(rows, crowd, level)
+    return _judged(rows, crowd, group)
 
 
 def array_repeats(packed: DataFrame, leaves: DataFrame, least: int, bucket: int, groups: bool = False) -> DataFrame:
@@ -317,7 +340,7 @@ def array_repeats(packed: DataFrame, leaves: DataFrame, least: int, bucket: int,
     with groups, (repeat, size, _key, start) of every maximal repeat and all the leaves' occurrences.
     packed: _key, packed; leaves: FOUND."""
     ids = even_ids(packed.sparkSession, parts_for(packed, bucket))
-    wanted = leaves.groupBy("_key").agg(F.collect_list(F.struct("start", "n", "size", "core", "again")).alias("runs"))
+    wanted = leaves.groupBy("_key").agg(F.collect_list(F.struct("start", "n", "size", "core", "again", "off")).alias("runs"))
 
     def fetch(batches):
         import zstandard
@@ -327,19 +350,19 @@ def array_repeats(packed: DataFrame, leaves: DataFrame, least: int, bucket: int,
             by_bucket: dict[int, list] = {}
             for key, data, runs in zip(batch.column(0), batch.column(1), batch.column(2)):
                 data, key, flat = unzip.decompress(data.as_py()), key.as_py(), runs.values
-                for s, n, size, core, again in zip(*(flat.field(f).to_pylist() for f in ("start", "n", "size", "core", "again"))):
-                    by_bucket.setdefault((core & 0x7FFFFFFFFFFFFFFF) % len(ids), []).append((key, s, n, size, core, again, data[s : s + size]))
+                for s, n, size, core, again, off in zip(*(flat.field(f).to_pylist() for f in ("start", "n", "size", "core", "again", "off"))):
+                    by_bucket.setdefault((core & 0x7FFFFFFFFFFFFFFF) % len(ids), []).append((key, s, n, size, core, again, off, data[s : s + size]))
             rows = []
             for b, own in by_bucket.items():
-                about = np.array([x[:6] for x in own], np.int64)
-                rows.append((ids[b], _pieces([about.ravel(), np.frombuffer(b"".join(x[6] for x in own), np.uint8)])))
+                about = np.array([x[:7] for x in own], np.int64)
+                rows.append((ids[b], _pieces([about.ravel(), np.frombuffer(b"".join(x[7] for x in own), np.uint8)])))
             yield _rows(rows)
 
     def array(key, table):
         places, parts = [], []
         for p in table.column("payload"):
             about, body = _unpack(p.as_py(), (np.int64, np.uint8))
-            about, body = about.reshape(-1, 6), body.tobytes()
+            about, body = about.reshape(-1, 7), body.tobytes()
             ends = np.cumsum(about[:, 3])
             parts += [body[e - n : e] for e, n in zip(ends.tolist(), about[:, 3].tolist())]
             places.append(about)
@@ -352,7 +375,8 @@ def array_repeats(packed: DataFrame, leaves: DataFrame, least: int, bucket: int,
                 longest[0, 0] = len(parts[own[0]])  # the tree of one leaf that occurs again
                 found = []
             else:
-                found = maximal_repeats([parts[i] for i in own], least, places[own, 2].tolist(), (places[own, 5] > 0).tolist())
+                contents = [parts[i] for i in own]
+                found = maximal_repeats(contents, least, beginnings(contents, places[own, 2], places[own, 6]), (places[own, 5] > 0).tolist())
             for number, (size, where) in enumerate(found):
                 for part, position in where:
                     if groups:
@@ -390,16 +414,9 @@ def packed_texts(texts: DataFrame) -> DataFrame:
 def _found(texts: DataFrame, length: int, least: int, group: int, crowd: int, piece: int, bucket: int) -> list[DataFrame]:
     """Written FOUND tables of all levels, without crowded runs."""
     tables = [written(find_runs(texts, Level(least, length, group), crowd, piece, bucket), "suffix-runs")]
-    todo = [(tables[0], w) for w in sorted({least, length})]
-    while todo:
+    while group > 1 and not (crowded := tables[-1].where(f"state = {CROWDED}")).isEmpty():
         group = max(1, group // 8)
-        again = []
-        for table, window in todo:
-            crowded = table.where(f"state = {CROWDED}")
-            if not crowded.isEmpty():
-                tables.append(written(split_runs(packed_texts(texts), crowded, Level(window, window, group), crowd, piece, bucket), "suffix-runs"))
-                again.append((tables[-1], window))
-        todo = again
+        tables.append(written(split_runs(packed_texts(texts), crowded, sorted({least, length}), group, crowd, piece, bucket), "suffix-runs"))
     return tables
 
 

@@ -3,18 +3,22 @@
 ``spark.read.format("millrace_warc").load(folder)`` plans partitions from the archives' files, takes pushed
 predicates on the record type and on header columns, parses each record's header block first and skips the
 payload of records that no predicate lets through, or whose payload is not asked for, without decoding it.
-``df.write.format("millrace_warc")`` writes one archive per task; only files that a successful commit lists in
-the folder's manifest belong to the archive, so retried and speculative tasks leave no doubled records.
+``df.write.format("millrace_warc")`` writes archives of about `file_bytes` (256 MB) at most, so that reading them
+parts well; each commit adds a manifest, and only files that a manifest lists belong to the archive, so retried and
+speculative tasks leave no doubled records.  Appending keeps what is there, overwriting replaces it.
 
-Files are reached through pyarrow's file systems (file, hdfs, s3, gs by URI).  Every record is a gzip member of
-its own.  Its header carries the member's length in an extra field, so a skipped record's payload is not even
-inflated; members without that field (other writers' archives) are inflated in small pieces and dropped.
+Files are reached through pyarrow's file systems (file, hdfs, s3, gs by URI).  Every record written here is a gzip
+member of its own.  Its header carries the member's length in an extra field, so a skipped record's payload is not
+even inflated.  In folders without a manifest all `.warc.gz` and `.warc` files are read: members without that field
+may hold any number of records and are inflated in small pieces, plain files are skipped over by seeking.  Such a
+file is read by one task, whatever its size: gzip has no other place to begin.
 
 Identical payloads.  ``with_revisits`` names, by SHA-1 of the payload, the smallest id that holds each payload of
 at least `least` bytes as its response, the others as revisits that refer to it.  Grouping pre-aggregates, so a
 payload shared by a third of all rows is one row per task, and adaptive execution splits the join's hot key.
 
-Defined cases: null html is the empty payload; null url is an empty target.  Null ids sort after all others.
+Defined cases: a file that ends inside a record, or has no gzip member where one must begin, is an error that names
+it; null html is the empty payload; null url is an empty target.  Null ids sort after all others.
 Rows that repeat the smallest id of a payload are all responses.  An empty table gives an empty archive.
 """
 
@@ -33,8 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
+from millrace.llm.common import written
+
 SCHEMA = "page_id long, record_type string, target_uri string, record_id string, refers_to long, payload_digest string, payload_bytes long, payload binary, file string, offset long"
-MANIFEST = "manifest.json"
+MANIFEST = "manifest-"
 #: The columns whose predicates are decided from the header block.
 HEADER_COLUMNS = ("record_type", "target_uri", "record_id", "payload_digest", "page_id")
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -94,12 +100,12 @@ def member(data: bytes, level: int = 1) -> bytes:
 
 
 class _Stream:
-    """Reads a file of gzip members, each in pieces, with a seek past what nobody wants."""
+    """Reads a file of gzip members, or a plain one as a single member, in pieces, past what nobody wants."""
 
     PIECE = 1 << 14
 
-    def __init__(self, handle, start: int, size: int):
-        self.handle, self.at, self.size = handle, start, size
+    def __init__(self, handle, size: int, packed: bool):
+        self.handle, self.size, self.packed, self.at = handle, size, packed, 0
 
     def open(self) -> bool:
         """Begins the member at self.at; False at the end of the file."""
@@ -107,45 +113,83 @@ class _Stream:
             return False
         self.handle.seek(self.at)
         raw = self.handle.read(self.PIECE)
-        self.length = None
-        if raw[3] & 4 and raw[12:14] == b"sl":
-            self.length = struct.unpack_from("<Q", raw, 16)[0]
-        self.read = len(raw)
-        self.z = zlib.decompressobj(31)
-        self.buffer = bytearray(self.z.decompress(raw))
+        self.read, self.length = len(raw), None
+        if self.packed:
+            if raw[:2] != b"\x1f\x8b":
+                raise ValueError(f"no gzip member at byte {self.at}")
+            if raw[3] & 4 and raw[12:16] == b"sl\x10\0":
+                self.length = struct.unpack_from("<Q", raw, 16)[0]
+            self.z = zlib.decompressobj(31)
+            raw = self.z.decompress(raw)
+        self.buffer = bytearray(raw)
         return True
 
+    @property
+    def place(self) -> int:
+        """Where the next record begins in a plain file, its member in others."""
+        return self.at if self.packed else self.at + self.read - len(self.buffer)
+
     def _more(self) -> bool:
-        if self.z.eof:
+        if self.packed and self.z.eof:
             return False
         raw = self.handle.read(self.PIECE * 16)
         if not raw:
-            raise ValueError("the archive ends inside a record")
+            if self.packed:
+                raise ValueError("the archive ends inside a gzip member")
+            return False
         self.read += len(raw)
-        self.buffer += self.z.decompress(raw)
+        self.buffer += self.z.decompress(raw) if self.packed else raw
         return True
 
-    def until(self, mark: bytes) -> bytes:
-        while (i := self.buffer.find(mark)) < 0:
+    def another(self) -> bool:
+        """Whether the member holds a further record; passes the line ends between two."""
+        while True:
+            n = len(self.buffer) - len(self.buffer.lstrip(b"\r\n"))
+            del self.buffer[:n]
+            if self.buffer:
+                return True
+            if not self._more():
+                return False
+
+    def until(self, mark: bytes, most: int | None = None) -> bytes | None:
+        """What is before the mark, which is passed; None, and nothing passed, if it does not end within `most` bytes."""
+        while (i := self.buffer.find(mark)) < 0 and (most is None or len(self.buffer) < most):
             if not self._more():
+                break
+        if i < 0 or (most is not None and i + len(mark) > most):
+            if most is None:
                 raise ValueError("a record's header has no end")
+            return None
         out = bytes(self.buffer[:i])
         del self.buffer[: i + len(mark)]
         return out
 
     def take(self, n: int) -> bytes:
-        while len(self.buffer) < n and self._more():
-            pass
+        while len(self.buffer) < n:
+            if not self._more():
+                raise ValueError("the archive ends inside a record")
         out = bytes(self.buffer[:n])
         del self.buffer[:n]
         return out
 
+    def skip(self, n: int) -> None:
+        while n > len(self.buffer):
+            n -= len(self.buffer)
+            self.buffer.clear()
+            if not self.packed:
+                if self.at + self.read + n > self.size:
+                    raise ValueError("the archive ends inside a record")
+                self.handle.seek(self.at + self.read + n)
+                self.read += n
+                n = 0
+            elif not self._more():
+                raise ValueError("the archive ends inside a record")
+        del self.buffer[:n]
+
     def close(self) -> None:
-        """Moves to the next member; inflates the rest only if the length is not known."""
+        """Moves to the next member."""
         if self.length is None:
-            while self._more():
-                self.buffer.clear()
-            self.length = self.read - len(self.z.unused_data)
+            self.length = self.read - len(self.z.unused_data) if self.packed else self.size
         self.at += self.length
 
 
@@ -154,6 +198,20 @@ def headers(block: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
+def _manifests(at, root: str) -> list[tuple[str, int]] | None:
+    """The files that the folder's manifests list; None if there is no manifest."""
+    from pyarrow import fs
+
+    if at.get_file_info(root).type != fs.FileType.Directory:
+        return None
+    found = sorted(x.path for x in at.get_file_info(fs.FileSelector(root)) if x.base_name.startswith(MANIFEST) and x.base_name.endswith(".json"))
+    files = []
+    for path in found:
+        with at.open_input_stream(path) as f:
+            files += [(name, size) for name, size in json.loads(f.read())]
+    return sorted(files) if found else None
+
+
 class _Part(InputPartition):
     def __init__(self, files: list[tuple[str, int]]):
         self.files = files
@@ -181,10 +239,9 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         at, root = file_system(self.path)
-        info = at.get_file_info(f"{root}/{MANIFEST}")
-        if info.type == fs.FileType.File:
-            with at.open_input_stream(f"{root}/{MANIFEST}") as f:
-                files = [(f"{root}/{name}", size) for name, size in json.loads(f.read())]
+        listed = _manifests(at, root)
+        if listed is not None:
+            files = [(f"{root}/{name}", size) for name, size in listed]
         else:
             found = at.get_file_info(fs.FileSelector(root, recursive=True)) if at.get_file_info(root).type == fs.FileType.Directory else [at.get_file_info(root)]
             files = sorted((x.path, x.size) for x in found if x.path.endswith((".warc.gz", ".warc")))
@@ -204,38 +261,48 @@ class WarcReader(DataSourceReader):
         at, _ = file_system(self.path)
         for name, size in partition.files:
             with at.open_input_file(name) as handle:
-                stream = _Stream(handle, 0, size)
-                while True:
-                    offset = stream.at
-                    if not stream.open():
-                        break
-                    got = self._record(stream, name, offset)
-                    stream.close()
-                    if got is not None:
-                        rows.append(got)
-                        held += len(got[7] or b"")
-                    if len(rows) >= 2000 or held > 8 << 20:
-                        yield self._batch(rows, names)
-                        rows, held = [], 0
+                stream = _Stream(handle, size, name.endswith(".gz"))
+                try:
+                    while stream.open():
+                        while stream.another():
+                            got = self._record(stream, name)
+                            if got is not None:
+                                rows.append(got)
+                                held += len(got[7] or b"")
+                            if len(rows) >= 2000 or held > 8 << 20:
+                                yield self._batch(rows, names)
+                                rows, held = [], 0
+                            if stream.length is not None:
+                                break  # one record a member, whose rest need not be inflated
+                        stream.close()
+                except (ValueError, zlib.error) as error:
+                    raise ValueError(f"{name}: {error}") from error
         if rows:
             yield self._batch(rows, names)
 
-    def _record(self, stream: _Stream, file: str, offset: int) -> tuple | None:
+    def _record(self, stream: _Stream, file: str) -> tuple | None:
+        offset = stream.place
         h = headers(stream.until(b"\r\n\r\n"))
         kind, digest = h.get("warc-type", ""), h.get("warc-payload-digest", "").removeprefix("sha1:")
-        record_id = h.get("warc-record-id", "")
+        record_id, length = h.get("warc-record-id", ""), int(h.get("content-length", 0))
         row = {"record_type": kind, "target_uri": h.get("warc-target-uri", ""), "record_id": record_id, "payload_digest": digest, "page_id": _page_of(record_id)}
         if any(row[k] not in v for k, v in self.wanted.items()):
+            if stream.length is None:
+                stream.skip(length)
             return None
-        length, payload, n = int(h.get("content-length", 0)), None, None
+        payload, http = None, None
         if h.get("content-type", "").startswith("application/http"):
-            http = stream.until(b"\r\n\r\n")
-            n = int(headers(http).get("content-length", length - len(http) - 4))
-            length -= len(http) + 4
+            http = stream.until(b"\r\n\r\n", length)
+            length -= 0 if http is None else len(http) + 4
+        n = length
+        if kind == "revisit" and http is not None:  # the payload is elsewhere, its length is told
+            told = headers(http).get("content-length", "")
+            n = int(told) if told.isdigit() else length
         if kind != "revisit" and self.payload:
             payload = stream.take(length)
-            n = len(payload)
-        return (row["page_id"], kind, row["target_uri"], record_id, _page_of(h.get("warc-refers-to")), digest, length if n is None else n, payload, file, offset)
+        elif stream.length is None:
+            stream.skip(length)
+        return (row["page_id"], kind, row["target_uri"], record_id, _page_of(h.get("warc-refers-to")), digest, n, payload, file, offset)
 
     _ORDER = ("page_id", "record_type", "target_uri", "record_id", "refers_to", "payload_digest", "payload_bytes", "payload", "file", "offset")
     _KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64())
@@ -255,30 +322,44 @@ class WarcWriter(DataSourceArrowWriter):
 
     def __init__(self, options, overwrite: bool):
         self.path, self.level, self.overwrite = options["path"], int(options.get("level", 1)), overwrite
+        self.most = int(options.get("file_bytes", 256 << 20))
 
     def write(self, batches) -> _Written:
         at, root = file_system(self.path)
         at.create_dir(root, recursive=True)
-        name, size = f"part-{uuid.uuid4().hex}.warc.gz", 0
-        out = None
+        files: list[tuple[str, int]] = []
+        out, name, size = None, "", 0
         for batch in batches:
             cols = {n: batch.column(batch.schema.get_field_index(n)) for n in ("page_id", "url", "payload", "digest", "refers_to", "revisit")}
             for i in range(batch.num_rows):
                 row = {k: c[i].as_py() for k, c in cols.items()}
                 data = member(record(row["page_id"], row["url"], row["payload"] or b"", row["digest"], row["refers_to"], row["revisit"]), self.level)
-                out = out or at.open_output_stream(f"{root}/{name}", compression=None)
+                if out is None:
+                    name, size = f"part-{uuid.uuid4().hex}.warc.gz", 0
+                    out = at.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(data)
                 size += len(data)
-        if out:
+                if size >= self.most:
+                    out.close()
+                    files.append((name, size))
+                    out = None
+        if out is not None:
             out.close()
-        return _Written([(name, size)] if out else [])
+            files.append((name, size))
+        return _Written(files)
 
     def commit(self, messages) -> None:
+        from pyarrow import fs
+
         at, root = file_system(self.path)
         at.create_dir(root, recursive=True)
+        before = [x.path for x in at.get_file_info(fs.FileSelector(root)) if x.base_name.startswith(MANIFEST)]
+        old = _manifests(at, root) or [] if self.overwrite else []
         files = sorted(x for m in messages if m for x in m.files)
-        with at.open_output_stream(f"{root}/{MANIFEST}") as f:
+        with at.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(files).encode())
+        for path in [*before, *(f"{root}/{name}" for name, _ in old)] if self.overwrite else []:
+            at.delete_file(path)
 
     def abort(self, messages) -> None:
         at, root = file_system(self.path)
@@ -313,13 +394,15 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         F.col(url_col).cast("string").alias("url"),
         F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("sha", F.unhex(F.sha1("payload")))
-    # The first holder of each payload that several rows have.
-    first = (
+    # The first holder of each payload that several rows have; written, so that the join has an exchange of its own on
+    # either side and a payload that very many rows hold can be split.
+    first = written(
         rows.where(F.octet_length("payload") >= least)
         .groupBy("sha")
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("sha", "first", F.lit(True).alias("shared"))
+        .select("sha", "first", F.lit(True).alias("shared")),
+        "first-holders",
     )
     joined = rows.join(first, "sha", "left")
     revisit = F.coalesce(F.col("shared") & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)) & (F.octet_length("payload") >= least)
@@ -340,10 +423,10 @@ def base32(sha):
     return F.concat(*digits)
 
 
-def write_archive(pages: DataFrame, path: str, least: int = 0, **names: str) -> None:
+def write_archive(pages: DataFrame, path: str, least: int = 0, overwrite: bool = False, **names: str) -> None:
     register(pages.sparkSession)
     rows = with_revisits(pages, least=least, **names)
-    rows.select("page_id", "url", "payload", base32(F.col("sha")).alias("digest"), "refers_to", "revisit").write.format("millrace_warc").mode("append").save(path)
+    rows.select("page_id", "url", "payload", base32(F.col("sha")).alias("digest"), "refers_to", "revisit").write.format("millrace_warc").mode("overwrite" if overwrite else "append").save(path)
 
 
 def read_archive(spark, path: str, payload: bool = True) -> DataFrame:

@@ -68,11 +68,8 @@ def test_exact_dedup_long_blocks_and_near_misses(spark):
     base = "ab" * 5000
     texts = {1: base, 2: base, 3: base[:5000] + "c" + base[5001:], 4: base + "c", 5: base[:5000] + "c" + base[5001:]}
     df = frame(spark, texts)
-    texts = df.select(F.col("doc_id").alias("_key"), "text")
-    probes = texts.select("_key", *exact_dedup.probed(F.col("text"), sample=8))
-    names = {}
-    for r in exact_dedup.identities(texts, probes, block=64).collect():
-        names[r["_key"]] = (r["n_norm"], r["head"], r["middle"], r["tail"], r["n_blocks"], r["name"])
+    found = exact_dedup.identities(df.select(F.col("doc_id").alias("_key"), "text"), block=64)[0].collect()
+    names = {r["_key"]: (r["n_blocks"], r["name"]) for r in found}
     assert names[1] == names[2] and names[3] == names[5] and len(set(names.values())) == 3
 
 
@@ -159,6 +156,40 @@ def test_repeat_groups_hold_all_occurrences(spark):
     assert all(len({t for _, t in x}) == 1 for x in by_repeat.values())
 
 
+def test_beginnings_lose_no_maximal_repeat():
+    rng = random.Random(13)
+    for _ in range(200):
+        base = bytes(rng.choice(b"ab") for _ in range(60))
+        parts, n, off = [], [], []
+        for _ in range(rng.randrange(2, 6)):
+            at = rng.randrange(0, 8)
+            own = bytearray(base)
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(60)] = rng.choice(b"abc")
+            parts.append(bytes(own[at:]))
+            off.append(20 - at)
+            n.append(rng.randrange(1, 20 - at))
+        n, off, parts = np.array(n), np.array(off), [p[: k + 19] for p, k in zip(parts, n)]
+
+        def spans(starts):
+            out = {}
+            for size, where in suffix_dedup.maximal_repeats(parts, 12, starts):
+                for part, position in where:
+                    out.setdefault(part, set()).update(range(position, position + size))
+            return out
+
+        # Only repeats at the same distance from the inner hash count, as equal windows have equal cores.
+        got = spans(suffix_dedup.beginnings(parts, n, off))
+        want = {}
+        for i, p in enumerate(parts):
+            for j, q in enumerate(parts):
+                for a in range(n[i]):
+                    b = off[j] - off[i] + a
+                    if i != j and 0 <= b < n[j] and p[a : a + 12] == q[b : b + 12] and len(p) >= a + 12:
+                        want.setdefault(i, set()).update(range(a, a + 12))
+        assert all(want[i] <= got.get(i, set()) for i in want)
+
+
 def test_maximal_repeats():
     parts = [b"xabcdeyabcdez", b"qabcder"]
     got = {(n, tuple(sorted(where))) for n, where in suffix_dedup.maximal_repeats(parts, 3)}
@@ -402,6 +433,45 @@ def test_warc_reads_members_without_lengths(spark, tmp_path):
     assert [(r["page_id"], r["payload_bytes"]) for r in got] == [(i, i) for i in range(4)]
 
 
+def test_warc_appends_and_overwrites(spark, tmp_path):
+    path, page = str(tmp_path / "archive"), lambda *ids: spark.createDataFrame([(i, f"u{i}", "x" * i) for i in ids], "page_id long, url string, html string")
+    read = lambda: sorted(r["page_id"] for r in warc.read_archive(spark, path).select("page_id").collect())
+    warc.write_archive(page(1, 2), path)
+    warc.write_archive(page(3), path)
+    assert read() == [1, 2, 3]
+    warc.write_archive(page(4), path, overwrite=True)
+    assert read() == [4] and len(list((tmp_path / "archive").iterdir())) == 2
+
+
+def test_warc_reads_other_writers_archives(spark, tmp_path):
+    import gzip
+
+    raw = [warc.record(i, f"u{i}", b"p" * (i * 50_000), warc.sha1_base32(b"p" * (i * 50_000)), None, False) for i in range(8)]
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 5\r\n\r\na: b\n\r\n\r\n"
+    headless = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <x:9>\r\nContent-Type: application/http\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(info + raw[0] + raw[1]) + gzip.compress(raw[2]))
+    (tmp_path / "b.warc").write_bytes(raw[3] + info + raw[4] + headless + raw[5])
+    (tmp_path / "c.warc.gz").write_bytes(warc.member(raw[6]) + gzip.compress(raw[7]))
+    for payload in (True, False):
+        got = warc.read_archive(spark, str(tmp_path), payload).where("record_type = 'response'").collect()
+        assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == [*((i, i * 50_000) for i in range(8)), (9, 3)]
+        assert not payload or all(r["payload"] == (b"abc" if r["page_id"] == 9 else b"p" * r["payload_bytes"]) for r in got)
+    some = warc.read_archive(spark, str(tmp_path)).where(F.col("page_id").isin(1, 5)).select("page_id").collect()
+    assert sorted(r["page_id"] for r in some) == [1, 5]
+    (tmp_path / "d.warc.gz").write_bytes(gzip.compress(raw[7])[:-200])
+    with pytest.raises(Exception, match="d.warc.gz"):
+        warc.read_archive(spark, str(tmp_path)).count()
+
+
+def test_warc_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "a", "x"), (None, "b", "x"), (2, "c", "x"), (2, "d", "x"), (5, "e", None), (None, "f", "only")]
+    df = spark.createDataFrame([(*r, "k", 1) for r in rows], "page_id long, url string, html string, sha string, shared int")
+    path = str(tmp_path / "archive")
+    warc.write_archive(df, path)
+    got = sorted(((r["target_uri"], r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archive(spark, path).collect()))
+    assert got == [("a", None, "revisit", 2), ("b", None, "revisit", 2), ("c", 2, "response", None), ("d", 2, "response", None), ("e", 5, "response", None), ("f", None, "response", None)]
+
+
 def test_base32(spark):
     import base64
 
