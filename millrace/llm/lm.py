@@ -1,16 +1,17 @@
 """Language-model scores (operator 6): a log-bilinear model trained by noise-contrastive estimation.
 
 Tokens are the words `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased, then one end token per text.  Each is named
-by a 64-bit hash of its bytes.
+by 58 bits of a hash of its bytes and 6 bits of its shape, a group of word endings and lengths.
 
 1. Every token of every training text is counted.  A task counts a bounded piece of its texts at a time and
    sends each bucket of the hash space one packed row; a bucket's counts are summed by one task.
-2. The commonest `classes` tokens and the end token are the model's own classes, all others share one class.
-   All training texts' class trigrams are counted (at most (classes + 4)^3 cells, whatever the corpus's size) and
-   are all that training needs: the context vector is c1 * R[w-1] + c2 * R[w-2], a class scores r . Q[w] + b[w],
-   and minibatches of trigrams drawn by their counts are told from noise classes in numpy.
+2. Every word has a class: the commonest `classes` tokens and the end token are classes of their own, each other word
+   is in the class of its shape, of which there are 64.  All training texts' class trigrams are counted (at most
+   (classes + 66)^3 cells, whatever the corpus's size) and are all that training needs: the context vector is
+   c1 * R[w-1] + c2 * R[w-2], a class scores r . Q[w] + b[w], and minibatches of trigrams drawn by their counts are told
+   from noise classes in numpy.  The number of minibatches grows with the root of the number of training tokens.
 3. Batched matrix products turn the model into normalised log-probabilities for every context.  A text's score
-   adds those up; a token of the shared class also takes its share of that class, (c + 1/2) over the class's sum,
+   adds those up; a word of a shape's class also takes its share of that class, (c + 1/2) over the class's sum,
    in which one more type stands for all unseen ones.  So the probabilities of all tokens add up to one.
 
 Counts for scoring: the commonest `common` tokens go with the task; other tokens are sent, packed, to the bucket
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import _LOWER, parts_for, plain, release, slices, word_hashes, word_spans, written
+from millrace.llm.common import _LOWER, mix, parts_for, plain, release, slices, word_hashes, word_spans, written
 
 #: The end token's name: no word's hash can be relied on to differ, so words never get it (see _tokens).
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -41,24 +42,38 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    classes: int = 160
+    classes: int = 128
     size: int = 24
     common: int = 20_000
     piece: int = 1_000_000  # tokens that a task holds before it sends
     bucket: int = 8 << 20  # scanned bytes for each bucket of the hash space
     noise: int = 64
     batch: int = 4096
-    steps: int = 600
+    steps: int | None = None  # minibatches; by default a fifth of the root of the training tokens, in these bounds
+    least_steps: int = 400
+    most_steps: int = 20_000
     seed: int = 1
 
 
+SHAPES = 64
+
+
+def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The shape of each word: its last two bytes and the rough length, dealt to 64 groups."""
+    n = ends - starts
+    two = data[ends - 1].astype(_U) << _U(8) | np.where(n > 1, data[np.maximum(ends - 2, 0)], 0).astype(_U)
+    return mix(two << _U(8) | np.minimum(n // 4, 4).astype(_U)) % _U(SHAPES)
+
+
 def _tokens(texts: pa.Array):
     """(first row, last row, hashes with an end token after each text, first token of each text and the total)."""
     for row, last, data, offsets in slices(texts):
         data = _LOWER[data]
         starts, ends, first = word_spans(data, offsets)
         words = word_hashes(data, starts, ends)
-        words[words == END] = END - _U(1)
+        if len(words):
+            words = words & ~_U(SHAPES - 1) | _shapes(data, starts, ends)
+            words[words == END] = END - _U(SHAPES)
         yield row, last, np.insert(words, first[1:], END), first + np.arange(len(first))
 
 
@@ -145,13 +160,33 @@ def commonest(counted: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["token"] for r in best], np.int64).view(_U), np.array([r["n"] for r in best], np.int64)
 
 
+def shape_sums(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of tokens and of types of each shape."""
+
+    def sums(batches):
+        for batch in batches:
+            for p in batch.column(0):
+                keys, n = _unpack(p.as_py(), (_U, np.uint64))
+                shape = (keys % _U(SHAPES)).astype(np.int64)
+                tokens, types = np.bincount(shape, weights=n, minlength=SHAPES), np.bincount(shape, minlength=SHAPES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHAPES)), pa.array(tokens.astype(np.int64)), pa.array(types)], ["shape", "tokens", "types"])
+
+    rows = counted.select("payload").mapInArrow(sums, "shape long, tokens long, types long").groupBy("shape").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).collect()
+    tokens, types = np.zeros(SHAPES), np.zeros(SHAPES)
+    for r in rows:
+        tokens[r["shape"]], types[r["shape"]] = r["tokens"], r["types"]
+    return tokens, types
+
+
 def _classes(tokens: np.ndarray, sorted_known: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """The class of each token; 1 is the shared class. sorted_known, number: the classes' hashes and numbers."""
+    """The class of each token: its shape's, from 1 on, or its own. sorted_known, number: the own classes' hashes and
+    numbers."""
+    shape = (tokens % _U(SHAPES)).astype(np.int64) + 1
     if not len(sorted_known):
-        return np.ones(len(tokens), np.int64)
+        return shape
     at = np.searchsorted(sorted_known, tokens)
     at[at == len(sorted_known)] = 0
-    return np.where(sorted_known[at] == tokens, number[at], 1)
+    return np.where(sorted_known[at] == tokens, number[at], shape)
 
 
 def _trigrams(classes: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
@@ -199,6 +234,12 @@ def count_trigrams(texts: DataFrame, known: np.ndarray, number: np.ndarray, widt
     return np.concatenate([p[0] for p in parts]).astype(np.int64), np.concatenate([p[1] for p in parts]).astype(np.int64)
 
 
+def _one_hot(at: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(at), width))
+    out[np.arange(len(at)), at] = 1
+    return out
+
+
 def train(trigrams: np.ndarray, counts: np.ndarray, width: int, s: Settings = Settings()) -> np.ndarray:
     """Normalised log10 probabilities by context: an array of width**2 rows (two before, before) and width columns."""
     rng = np.random.default_rng(s.seed)
@@ -212,7 +253,9 @@ def train(trigrams: np.ndarray, counts: np.ndarray, width: int, s: Settings = Se
     params = [R, Q, C, b]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     total = counts.cumsum() if len(counts) else np.zeros(0)
-    for step in range(1, (s.steps if len(counts) else 0) + 1):
+    steps = s.steps or min(s.most_steps, max(s.least_steps, int(math.sqrt(counts.sum()) / 5)))
+    spread = lambda at, x: _one_hot(at, width).T @ x
+    for step in range(1, (steps if len(counts) else 0) + 1):
         drawn = np.searchsorted(total, rng.integers(0, total[-1], s.batch), side="right")
         code = trigrams[drawn]
         w, one, two = code % width, code // width % width, code // width**2
@@ -225,14 +268,11 @@ def train(trigrams: np.ndarray, counts: np.ndarray, width: int, s: Settings = Se
         dpos = (1 / (1 + np.exp(-np.clip(pos, -30, 30))) - 1) / s.batch
         dneg = 1 / (1 + np.exp(-np.clip(neg, -30, 30))) / s.batch
         dcontext = dpos[:, None] * Q[w] + dneg @ Q[negative]
-        gQ, gb, gR = np.zeros_like(Q), np.zeros_like(b), np.zeros_like(R)
-        np.add.at(gQ, w, dpos[:, None] * context)
-        np.add.at(gQ, negative, dneg.T @ context)
-        gb += np.bincount(w, weights=dpos, minlength=width) + np.bincount(negative, weights=dneg.sum(0), minlength=width)
-        np.add.at(gR, one, dcontext * C[0])
-        np.add.at(gR, two, dcontext * C[1])
+        gQ = spread(w, dpos[:, None] * context) + spread(negative, dneg.T @ context)
+        gb = np.bincount(w, weights=dpos, minlength=width) + np.bincount(negative, weights=dneg.sum(0), minlength=width)
+        gR = spread(one, dcontext * C[0]) + spread(two, dcontext * C[1])
         grads = [gR, gQ, np.stack([(dcontext * r1).sum(0), (dcontext * r2).sum(0)]), gb]
-        rate = 0.02 * (1 - 0.9 * step / s.steps)
+        rate = 0.02 * (1 - 0.9 * step / steps)
         for i, g in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
@@ -260,19 +300,23 @@ def lm_scores(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_
 
     own = common[: s.classes]
     own = own if END in own else np.r_[own[: max(0, s.classes - 1)], END]
-    width = len(own) + 2  # the start, the shared class and the own ones
+    width = len(own) + 1 + SHAPES  # the start, the shapes and the own ones
     order = np.argsort(own)
-    known, number = own[order], order.astype(np.int64) + 2
+    known, number = own[order], order.astype(np.int64) + 1 + SHAPES
     table = train(*count_trigrams(learned, known, number, width, s.piece), width, s)
 
+    # What is left of each shape's class without the tokens that have their own, and one unseen type.
+    shape_tokens, shape_types = shape_sums(counted)
+    mine = np.isin(common, own)
+    shape_tokens -= np.bincount((common[mine] % _U(SHAPES)).astype(np.int64), weights=common_n[mine], minlength=SHAPES)
+    shape_types -= np.bincount((common[mine] % _U(SHAPES)).astype(np.int64), minlength=SHAPES)
+    shape_norm = np.log10(shape_tokens + 0.5 * shape_types + 0.5)
     by_hash = np.argsort(common)
     common, common_n = common[by_hash], common_n[by_hash]
-    own_tokens, own_types = int(common_n[np.isin(common, own)].sum()), int(np.isin(common, own).sum())
-    shared_sum = (total - own_tokens) + 0.5 * (types - own_types) + 0.5
-    model = docs.sparkSession.sparkContext.broadcast((table, common, common_n, known, number))
+    model = docs.sparkSession.sparkContext.broadcast((table, common, common_n, known, number, shape_norm))
 
     def ask(batches):
-        table, common, common_n, known, number = model.value
+        table, common, common_n, known, number, shape_norm = model.value
         task = TaskContext.get()
         part, pieces = (task.partitionId() if task else 0) << 24, 0
         ids, none, held_out, hashes, firsts, size = [], [], [], [], [0], 0
@@ -280,12 +324,14 @@ def lm_scores(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_
         def sent():
             tokens, first = np.concatenate(hashes), np.array(firsts, np.int64)
             classes = _classes(tokens, known, number)
-            own_sum = np.add.reduceat(table.ravel()[_trigrams(classes, first, width)].astype(np.float64), first[:-1])
+            shared = classes <= SHAPES
+            neural = table.ravel()[_trigrams(classes, first, width)] - np.where(shared, shape_norm[np.where(shared, classes - 1, 0)], 0.0)
+            own_sum = np.add.reduceat(neural, first[:-1])
             at = np.searchsorted(common, tokens)
             at[at == len(common)] = 0
             is_common = common[at] == tokens if len(common) else np.zeros(len(tokens), bool)
             logs = np.where(is_common, np.log10((common_n[at] if len(common) else 0) + 0.5), 0.0)
-            sums = [np.add.reduceat(x, first[:-1]) for x in (logs, np.where(classes == 1, logs, 0.0), is_common.astype(np.int64), (classes == 1).astype(np.int64))]
+            sums = [np.add.reduceat(x, first[:-1]) for x in (logs, np.where(shared, logs, 0.0), is_common.astype(np.int64))]
             rest = np.flatnonzero(~is_common)
             doc = np.repeat(np.arange(len(first) - 1, dtype=np.uint32), np.diff(first))[rest]
             piece = part + pieces
@@ -330,12 +376,11 @@ def lm_scores(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_
         return pa.table({"piece": pa.array([x[0] for x in out], pa.int64()), "payload": pa.array([x[1] for x in out], pa.binary())})
 
     norm = math.log10(total + 0.5 * (types + 1))
-    shared_norm = math.log10(shared_sum)
 
     def finish(key, rows):
         payloads = [p.as_py() for p in rows.column("payload")]
         about = next(p for p in payloads if p[0] == 0)
-        _, ids, none, held, n, own_sum, logs, shared_logs, n_known, n_shared = _unpack(about[1:], (np.int64, np.int64, bool, bool, np.int64, np.float64, np.float64, np.float64, np.int64, np.int64))
+        _, ids, none, held, n, own_sum, logs, shared_logs, n_known = _unpack(about[1:], (np.int64, np.int64, bool, bool, np.int64, np.float64, np.float64, np.float64, np.int64))
         more, known_more = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
         for p in payloads:
             if p[0] == 1:
@@ -350,8 +395,8 @@ def lm_scores(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_
                 "n_known": pa.array(n_known + known_more),
                 "train_tokens": pa.array(np.full(len(ids), total, np.int64)),
                 "base_score": pa.array(logs + more - n * norm),
-                # Every token that is not common belongs to the shared class.
-                "score": pa.array(own_sum + shared_logs + more - n_shared * shared_norm),
+                # Every token that is not common belongs to a shape's class.
+                "score": pa.array(own_sum + shared_logs + more),
             }
         )
 

@@ -7,12 +7,14 @@ deterministic as texts need them, so a word costs one table step a character and
 Whole words of five letters and more match with up to one edit, stems match exactly.  Misspellings that clean
 labelled documents hold are words of their own and do not count.
 
-Each hit gets a context window: inside quotation marks, or near a reporting or talking-about word, it is a
-quotation and counts a fraction.  A logistic model over the hits' scores, their density and the share of quoted
-ones gives the score.
+Each hit gets a context window: inside a pair of quotation marks, however far apart, or near a word that reports what
+others said, it is a quotation.  Reporting words are a fixed few and those that labelled clean documents hold near
+hits far more often than toxic ones.  A logistic model over the direct hits, the misspelt ones, the quoted ones and
+the density of the direct ones learns what each is worth, and gives the score.
 
-Bounds.  Lexicon and model are fitted on at most `sample` labelled rows, those with the smallest hash of their
-id; the lexicon has at most `lexicon` terms.  Scoring is one pass over whole texts without a shuffle.
+Bounds.  Lexicon and model are fitted on at most `sample` labelled rows, those with the smallest hash of their id;
+all terms of these rows are judged, and every term that passes and finds a toxic document that no other taken term
+finds is taken.  Scoring is one pass over whole texts without a shuffle.
 
 Defined cases: null text is empty; empty texts get the score of no hit.  Without toxic and clean labelled rows
 every score is the model's prior (0.1).  A document that has several labels counts as toxic if one says so; null
@@ -24,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,11 @@ from pyspark.sql import functions as F
 from millrace.llm.common import release, written
 
 WORD = re.compile(r"\w+")
-#: Words that report or mention what others said.
+#: Words that report or mention what others said; more are learned.
 REPORTING = frozenset("said says say saying quote quoted quotes called calls wrote writes word words term phrase shouted reported".split())
-_QUOTES = re.compile(r"\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”|«[^»\n]{0,200}»|„[^“”\n]{0,200}[“”]|'[^'\n]{2,200}'(?!\w)")
+#: Quotation marks: single ones count at the edge of words only; an empty line ends what is open.
+_MARKS = re.compile(r"[\"“”«»„‚‘]|(?<!\w)'(?=\w)|(?<=[^\s])['’](?!\w)|\n\s*\n")
+_CLOSES = {'"': '"', "”": "“„", "“": "„", "»": "«", "'": "'", "’": "‘‚", "‘": "‚"}
 _DEAD, _START = 0, 1
 
 
@@ -44,6 +49,7 @@ class Lexicon:
     words: list[str]
     stems: list[str]
     ignored: frozenset[str] = frozenset()
+    reporting: frozenset[str] = REPORTING
     edits: int = 1
     fuzzy_from: int = 5
 
@@ -138,6 +144,27 @@ class Matcher:
         return out
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """The spans between paired quotation marks, in one pass over the marks; marks without a partner are none."""
+    out, opened = [], {}
+    for m in _MARKS.finditer(text):
+        mark = m.group()
+        if mark[0] == "\n":
+            opened.clear()
+            continue
+        if mark == "'" and text[m.end() : m.end() + 1].isalnum():  # before a word it can only open
+            opened[mark] = m.start()
+            continue
+        starts = [opened[o] for o in _CLOSES.get(mark, "") if o in opened]
+        if starts:
+            out.append((max(starts), m.end()))
+            for o in _CLOSES[mark]:
+                opened.pop(o, None)
+        elif mark not in "”»’'":
+            opened[mark] = m.start()
+    return out
+
+
 def hits(text: str, matcher: Matcher, window: int = 6) -> list[tuple[int, int, bool]]:
     """(word number, edits, quoted) of every hit."""
     lower = text.lower()
@@ -145,34 +172,38 @@ def hits(text: str, matcher: Matcher, window: int = 6) -> list[tuple[int, int, b
     lookup = matcher.lookup
     if not any(lookup(w) is not None for w in set(words)):
         return []
-    quotes = [m.span() for m in _QUOTES.finditer(lower)]
+    spans = quotations(lower)
+    reporting = matcher.lexicon.reporting
     out = []
     for i, m in enumerate(WORD.finditer(lower)):
         edits = lookup(m.group())
         if edits is None:
             continue
-        inside = any(a < m.start() and m.end() <= b for a, b in quotes)
-        near = not REPORTING.isdisjoint(words[max(0, i - window) : i + window + 1])
+        inside = any(a < m.start() and m.end() <= b for a, b in spans)
+        near = not reporting.isdisjoint(words[max(0, i - window) : i + window + 1])
         out.append((i, edits, inside or near))
     return out
 
 
-QUOTED, MISSPELT = 0.2, 0.8
+FEATURES = 4
+
+
+def features(found: list[tuple[int, int, bool]], n_words: int) -> tuple[float, ...]:
+    """The logarithms of the numbers of direct, misspelt direct and quoted hits, and the direct ones' density."""
+    direct = sum(not q for _, _, q in found)
+    misspelt = sum(bool(e) and not q for _, e, q in found)
+    return math.log1p(direct), math.log1p(misspelt), math.log1p(len(found) - direct), min(1.0, 10 * direct / max(1, n_words))
 
 
-def features(text: str, matcher: Matcher) -> tuple[float, float, float]:
-    """Whether anything was hit directly, the logarithm of the hits' scores, their density in the text."""
+def measure(text: str, matcher: Matcher) -> tuple[list[tuple[int, int, bool]], tuple[float, ...]]:
     found = hits(text, matcher)
-    if not found:
-        return 0.0, 0.0, 0.0
-    score = sum((MISSPELT if e else 1.0) * (QUOTED if q else 1.0) for _, e, q in found)
-    return min(1.0, score), math.log1p(score), min(1.0, 10 * score / max(1, len(WORD.findall(text))))
+    return found, features(found, len(WORD.findall(text))) if found else (0.0,) * FEATURES
 
 
 @dataclass
 class Model:
     lexicon: Lexicon = field(default_factory=lambda: Lexicon([], []))
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (0.0,) * FEATURES
     bias: float = math.log(0.1 / 0.9)
 
     def score(self, x) -> float:
@@ -224,34 +255,59 @@ def choose(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, n_terms
     return sorted(w for w in words if not any(w.startswith(s) for s in stems)), sorted(stems)
 
 
-def cover(lists: list[list[str]], most: int, gain: int = 3) -> tuple[list[str], list[str]]:
+def cover(lists: list[list[str]]) -> tuple[list[str], list[str]]:
     """The terms that a greedy cover of the toxic documents takes: a term that only goes with others, such as a rare
     word of a much copied document, finds no document of its own and is left out."""
     docs_of: dict[str, set[int]] = {}
+    terms_of: dict[int, list[str]] = {}
     for i, terms in enumerate(lists):
+        terms_of[i] = terms
         for t in terms:
             docs_of.setdefault(t, set()).add(i)
     taken: list[str] = []
-    while docs_of and len(taken) < most:
-        best = max(docs_of, key=lambda t: (len(docs_of[t]), t))
-        hit = docs_of.pop(best)
-        if len(hit) < gain:
-            break
-        taken.append(best)
-        for t in docs_of:
-            docs_of[t] = docs_of[t] - hit
+    heap = [(-len(d), t) for t, d in docs_of.items()]
+    heapify(heap)
+    while heap:
+        n, t = heappop(heap)
+        left = docs_of[t]
+        if len(left) < -n:  # some have been found by others since
+            if left:
+                heappush(heap, (-len(left), t))
+            continue
+        taken.append(t)
+        for i in list(left):
+            for other in terms_of.pop(i):
+                docs_of[other].discard(i)
     return sorted(t for t in taken if not t.endswith("*")), sorted(t[:-1] for t in taken if t.endswith("*"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, lexicon: int = 400, least: int = 5) -> Model:
-    """train: which ids may be learned from, a condition on labels' id_col."""
+def _counted(rows: DataFrame, terms_in) -> DataFrame:
+    """(term, toxic, clean): the documents that hold each of the terms that terms_in() finds in a text."""
+
+    def count(batches):
+        find = terms_in()
+        for batch in batches:
+            seen: dict[str, list[int]] = {}
+            for text, toxic in zip(batch.column(0), batch.column(1)):
+                for t in find((text.as_py() or "").lower()):
+                    seen.setdefault(t, [0, 0])[0 if toxic.as_py() else 1] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], ["term", "toxic", "clean"])
+
+    return rows.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, least: int = 5) -> Model:
+    """train: which ids may be learned from, a condition on labels' id_col. sample: labelled ids that are learned from;
+    least: toxic documents that a term must be in (fewer where there are few)."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     if train is not None:
         marked = marked.where(train)
     marked = marked.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_toxic"))
     marked = marked.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    # At most `sample` pairs of numbers, so they can be sent to every task.
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(marked), "_id").select("_text", (F.col("_toxic") > 0).alias("_toxic"))
+    # At most `sample` pairs of numbers, so they can be sent to every task; of rows that repeat an id one is learned from.
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(marked), "_id")
+    rows = rows.groupBy("_id").agg(F.max("_text").alias("_text"), F.max("_toxic").alias("_toxic")).select("_text", (F.col("_toxic") > 0).alias("_toxic"))
+    rows = written(rows, "labelled-texts")
     sizes = {r["_toxic"]: r["n"] for r in rows.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_clean:
@@ -259,8 +315,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     counted = rows.mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = written(counted, "term-counts")
     n_terms = counted.count()
-    lift = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5)
-    top = counted.where(F.col("toxic") >= min(least, max(1, n_toxic // 10))).orderBy((F.log(lift) * F.sqrt("toxic")).desc(), "term").limit(8 * lexicon).collect()
+    # Whatever could pass in choose(): a term held by as many clean documents as toxic ones, in share, cannot.
+    top = counted.where((F.col("toxic") >= min(least, max(1, n_toxic // 10))) & (F.col("toxic") * n_clean > 10 * F.col("clean") * n_toxic)).collect()
     release(counted)
     words, stems = choose([(r["term"], r["toxic"], r["clean"]) for r in top], n_toxic, n_clean, n_terms)
     known_words, known_stems = frozenset(words), frozenset(stems)
@@ -275,35 +331,45 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
 
     # At most `sample` short lists.
     lists = [r["terms"] for r in rows.where("_toxic").mapInArrow(held, "terms array<string>").collect()]
-    words, stems = cover(lists, lexicon)
+    words, stems = cover(lists)
     found = Lexicon(words, stems)
 
     # Words one edit away that clean documents hold are no misspellings.
-    def near(batches):
+    def near():
         matcher = Matcher(found)
-        for batch in batches:
-            seen: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column(0), batch.column(1)):
-                for w in set(WORD.findall((text.as_py() or "").lower())):
-                    if matcher.lookup(w):
-                        seen.setdefault(w, [0, 0])[0 if toxic.as_py() else 1] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], ["term", "toxic", "clean"])
+        return lambda text: {w for w in set(WORD.findall(text)) if matcher.lookup(w)}
 
-    around = rows.mapInArrow(near, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("clean > 0 and toxic * 4 < clean * 5").collect()
-    found.ignored = frozenset(r["term"] for r in around)
+    found.ignored = frozenset(r["term"] for r in _counted(rows, near).where("clean > 0 and toxic * 4 < clean * 5").collect())
+
+    # Words near hits that clean documents hold far more often than toxic ones say that the hit is a quotation.
+    def around():
+        matcher = Matcher(found)
+
+        def find(text):
+            own = WORD.findall(text)
+            return {w for i, _, _ in hits(text, matcher) for w in own[max(0, i - 6) : i + 7] if matcher.lookup(w) is None}
+
+        return find
+
+    beside = _counted(rows, around).where("clean >= 5 and clean > 10 * toxic").collect()
+    found.reporting = REPORTING | {r["term"] for r in beside}
 
     def measured(batches):
         matcher = Matcher(found)
         for batch in batches:
-            xs = [features(t.as_py() or "", matcher) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in xs], pa.float64()) for i in range(3)), batch.column(1)], ["a", "b", "c", "y"])
+            xs = [measure(t.as_py() or "", matcher)[1] for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in xs], pa.float64()) for i in range(FEATURES)), batch.column(1)], [*_NAMES, "y"])
 
     # Equal feature rows count once with their number; what is collected is bounded by `sample`.
-    data = rows.mapInArrow(measured, "a double, b double, c double, y boolean").groupBy("a", "b", "c", "y").agg(F.count(F.lit(1)).alias("n")).collect()
-    x = np.array([[r["a"], r["b"], r["c"]] for r in data])
+    data = rows.mapInArrow(measured, ", ".join(f"{n} double" for n in _NAMES) + ", y boolean").groupBy(*_NAMES, "y").agg(F.count(F.lit(1)).alias("n")).collect()
+    release(rows)
+    x = np.array([[r[n] for n in _NAMES] for r in data])
     return Model(found, *logistic(x, np.array([float(r["y"]) for r in data]), np.array([float(r["n"]) for r in data])))
 
 
+_NAMES = [f"x{i}" for i in range(FEATURES)]
+
+
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[tuple[float, ...], float]:
     """Newton steps on weighted rows; a ridge keeps separable data finite."""
     z = np.hstack([x, np.ones((len(x), 1))])
@@ -328,13 +394,13 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             scores, n, quoted = [], [], []
             for t in batch.column(2):
                 text = t.as_py() or ""
-                found = hits(text, matcher)
-                scores.append(model.score(features(text, matcher) if found else (0.0, 0.0, 0.0)))
+                found, x = measure(text, matcher)
+                scores.append(model.score(x))
                 n.append(len(found))
                 quoted.append(sum(q for _, _, q in found))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= cutoff) for s in scores], pa.int32()), pa.array(n, pa.int64()), pa.array(quoted, pa.int64())], ["doc_id", "held_out", "score", "predicted", "n_hits", "n_quoted"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), (remainder(F.col(id_col)) == 0).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(
+    return docs.select(F.col(id_col).alias("doc_id"), (remainder(F.col(id_col)) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"doc_id {kind}, held_out boolean, score double, predicted int, n_hits long, n_quoted long"
     )
 
@@ -345,7 +411,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", cutoff: fl
     @F.pandas_udf("double")
     def scored(texts):
         matcher = _matcher(model.lexicon)
-        return texts.map(lambda t: model.score(features(t or "", matcher))).astype("float64")
+        return texts.map(lambda t: model.score(measure(t or "", matcher)[1])).astype("float64")
 
     return docs.where(scored(F.col(text_col)) < cutoff)
 
@@ -354,7 +420,7 @@ _matchers: dict[tuple, Matcher] = {}
 
 
 def _matcher(lexicon: Lexicon) -> Matcher:
-    key = (tuple(lexicon.words), tuple(lexicon.stems), lexicon.ignored)
+    key = (tuple(lexicon.words), tuple(lexicon.stems), lexicon.ignored, lexicon.reporting)
     if key not in _matchers:
         _matchers.clear()
         _matchers[key] = Matcher(lexicon)
