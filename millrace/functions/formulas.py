@@ -52,6 +52,37 @@ def shift_instance(batch_start="batch_start", start="shift_start", end="shift_en
     return F.when(overnight, begins - F.expr("INTERVAL '1' DAY")).otherwise(begins)
 
 
+def instant(local: str | Column, zone: str) -> Column:
+    """The instant of a wall time in a zone, whatever the session's zone is."""
+    c = col(local)
+    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c), F.extract(F.lit("SECOND"), c), F.lit(zone))
+
+
+# Coefficients of Acklam's rational approximation of the normal quantile (relative error below 1.2e-9).
+_QA = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239)
+_QB = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+_QC = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+_QD = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+_Q_LOW = 0.02425
+
+
+def _polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p: str | Column) -> Column:
+    """The standard normal quantile of a probability; NULL outside (0, 1)."""
+    p = col(p)
+    tail = lambda q: _polynomial(q, _QC) / _polynomial(q, _QD)
+    q = p - 0.5
+    middle = _polynomial(q * q, _QA) * q / _polynomial(q * q, _QB)
+    low, high = tail(F.sqrt(-2 * F.log(p))), -tail(F.sqrt(-2 * F.log(1 - p)))
+    return F.when((p > 0) & (p < _Q_LOW), low).when((p > 1 - _Q_LOW) & (p < 1), high).when((p > 0) & (p < 1), middle)
+
+
 def month(day: str | Column) -> Column:
     return F.trunc(col(day).cast("date"), "MM")
 

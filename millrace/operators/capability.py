@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.formulas import D2, count_if, rate
+from millrace.functions.formulas import D2, count_if, normal_quantile, rate
 
 
 def _sigma_status(sigma: Column, n: Column, within: bool, near_zero: float) -> Column:
@@ -94,8 +94,15 @@ def groups(measurements: DataFrame, *keys: str) -> DataFrame:
 
 
 def plotting_positions(measurements: DataFrame, *keys: str) -> DataFrame:
-    """Ordered values of a group with their plotting positions (i - 1/2) / n."""
+    """Ordered values of a group with their plotting positions (i - 1/2) / n and the normal quantiles of these.
+
+    Only the distinct values of a group, with their counts, are ordered as a whole; rows are numbered among equal ones."""
+    rows = measurements.select(*keys, "measurement_id", F.col("measured_value").cast("double").alias("value"))
     w = W.partitionBy(*keys)
-    x = F.col("measured_value").cast("double")
-    place = F.row_number().over(w.orderBy(x, "measurement_id"))
-    return measurements.select(*keys, "measurement_id", x.alias("value"), ((place - 0.5) / F.count(F.lit(1)).over(w)).alias("plotting_position"))
+    values = rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    values = values.select(*keys, "value", before.alias("_before"), F.sum("_n").over(w).alias("_all"))
+    number = F.row_number().over(W.partitionBy(*keys, "value").orderBy("measurement_id"))
+    placed = rows.withColumn("_number", number).join(values, [*keys, "value"])
+    placed = placed.withColumn("plotting_position", (F.col("_before") + F.col("_number") - 0.5) / F.col("_all"))
+    return placed.select(*keys, "measurement_id", "value", "plotting_position", normal_quantile("plotting_position").alias("theoretical_quantile"))

@@ -64,6 +64,35 @@ def report(found: DataFrame) -> DataFrame:
     return out.withColumn("verdict", F.when(F.col("compared") == F.col("matched"), "PASS").otherwise("FAIL"))
 
 
+def checked_report(source: DataFrame, target: DataFrame, key: list[str], columns: list[str] | None = None) -> DataFrame:
+    """The report with `complete` and `error`: keys that are null or repeated, or numbers that are not finite, make a
+    comparison incomplete, and an incomplete one fails."""
+    if columns is not None:
+        source, target = source.select(*columns), target.select(*columns)
+    bad = key_violations(source, key).withColumn("side", F.lit("source")).unionByName(key_violations(target, key).withColumn("side", F.lit("target")))
+    errors = bad.where("violations > 0").agg(F.concat_ws(", ", F.array_sort(F.collect_list(F.concat_ws(" ", "side", "check")))).alias("error"))
+    out = report(differences(source, target, key)).crossJoin(F.broadcast(errors))
+    return out.withColumns({"complete": F.col("error") == "", "verdict": F.when(F.col("error") == "", F.col("verdict")).otherwise("FAIL"), "error": F.nullif(F.col("error"), F.lit(""))})
+
+
+def for_each_difference(found: DataFrame, key: list[str], f) -> int:
+    """Calls f with each difference, in key order, a partition at a time; an error of f ends the comparison.  The number
+    of calls."""
+    n = 0
+    for row in found.where("state <> 'MATCHED'").orderBy(*key).toLocalIterator():
+        f(row.asDict())
+        n += 1
+    return n
+
+
+def in_utc(df: DataFrame) -> DataFrame:
+    """Instants as wall time in UTC, so that both sides of a comparison show them alike; local times stay what they are
+    and differ from instants by their type."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)]
+    return df.withColumns({c: epoch + F.make_dt_interval(secs=(F.unix_micros(c) / 1_000_000).cast("decimal(18,6)")) for c in cols}) if cols else df
+
+
 def samples(found: DataFrame, key: list[str], n: int = 10) -> DataFrame:
     """The first n differences in key order; a sample report, so a limit is its meaning."""
     return found.where("state <> 'MATCHED'").orderBy(*key).limit(n)

@@ -170,3 +170,33 @@ def evidence(results: DataFrame, capability: DataFrame, keys: list[str] = STREAM
     for c in ok.values():
         every = every & F.coalesce(c, F.lit(False))
     return all_.select(*keys, *[F.coalesce(c, F.lit(False)).alias(n) for n, c in ok.items()], every.alias("consistent_with_drift"))
+
+
+def coerced(raw: DataFrame, numbers: tuple[str, ...] = ("measured_value", "target"), times: tuple[str, ...] = ("measurement_timestamp", "production_month", "shift_instance")) -> DataFrame:
+    """Text columns as numbers and local times; what does not parse becomes NULL."""
+    parsed = {c: F.expr(f"try_cast(`{c}` as double)") for c in numbers}
+    parsed |= {c: F.expr(f"try_cast(`{c}` as timestamp_ntz)") for c in times}
+    return raw.withColumns(parsed)
+
+
+def input_violations(measurements: DataFrame) -> DataFrame:
+    """(check, violations) for what a drift study's input must not have; all counts are 0 for a valid input."""
+    from millrace.operators.checks import counted, duplicates, union
+
+    need = {"measurement_id", "measurement_timestamp", "production_month", "shift_instance", "shift_id", "shift_name", "measured_value", "target"}
+    if missing := sorted(need - set(measurements.columns)):
+        raise ValueError(f"columns are missing: {missing}")
+    odd = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
+    shifts = measurements.groupBy("shift_instance").agg(F.countDistinct("shift_id").alias("ids"), F.countDistinct("shift_name").alias("names"))
+    return union(
+        [
+            counted("no_rows", measurements.agg(F.count(F.lit(1)).alias("n")).where("n = 0")),
+            counted("missing_id", measurements.where("measurement_id is null")),
+            counted("repeated_id", duplicates(measurements.where("measurement_id is not null"), "measurement_id")),
+            counted("missing_time", measurements.where("measurement_timestamp is null or production_month is null or shift_instance is null")),
+            counted("missing_shift", measurements.where("shift_id is null or shift_name is null")),
+            counted("instance_of_several_shifts", shifts.where("ids <> 1 or names <> 1")),
+            counted("value_missing_or_not_finite", measurements.where(odd("measured_value"))),
+            counted("target_missing_or_not_finite", measurements.where(odd("target"))),
+        ]
+    )

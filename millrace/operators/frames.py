@@ -45,22 +45,34 @@ def masked(results: DataFrame) -> DataFrame:
 
 
 def positions(results: DataFrame, keys: list[str] = _STREAM) -> DataFrame:
-    """Each row's position in its whole stream, from 0."""
-    w = W.partitionBy(*keys).orderBy("measurement_timestamp", "measurement_id")
-    return results.withColumn("position", F.row_number().over(w) - 1)
+    """Each row's position in its whole stream, from 0.  Rows are numbered by day; only the days' counts are added up over
+    the stream, so a long stream is as many tasks as it has days."""
+    day = F.col("measurement_timestamp").cast("date")
+    days = results.groupBy(*keys, day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_day").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    w = W.partitionBy(*keys, "_day").orderBy("measurement_timestamp", "measurement_id")
+    numbered = results.withColumn("_day", day).withColumn("_number", F.row_number().over(w))
+    placed = numbered.join(days.select(*keys, "_day", before.alias("_before")), [*keys, "_day"])
+    return placed.withColumn("position", F.col("_before") + F.col("_number") - 1).select(*results.columns, "position")
 
 
 def with_breaks(rows: DataFrame, keys: list[str] = _STREAM) -> DataFrame:
     """Chart rows with an empty row wherever filtering left a gap or the baseline changed.  rows: with position.
 
-    A break precedes its row: both have its position, and is_break sorts first."""
-    w = W.partitionBy(*keys).orderBy("position")
-    before, last = F.lag("position").over(w), F.lag("baseline_id").over(w)
+    A break precedes its row: both have its position, and is_break sorts first.  Rows are taken in stretches of the stream;
+    the row before a stretch's first is the last one of the stretch before."""
+    rows = rows.withColumn("_stretch", F.floor(F.col("position") / 10_000))
+    w = W.partitionBy(*keys, "_stretch").orderBy("position")
+    ends = rows.groupBy(*keys, "_stretch").agg(F.max(F.struct("position", "baseline_id")).alias("_end"))
+    ends = ends.select(*keys, "_stretch", F.lag("_end").over(W.partitionBy(*keys).orderBy("_stretch")).alias("_end"))
+    rows = rows.withColumn("_last", F.lag(F.struct("position", "baseline_id")).over(w)).join(ends, [*keys, "_stretch"])
+    rows = rows.withColumn("_last", F.coalesce("_last", "_end")).drop("_stretch", "_end")
+    before, last = F.col("_last.position"), F.col("_last.baseline_id")
     cut = before.isNotNull() & ((F.col("position") - before > 1) | ~F.col("baseline_id").eqNullSafe(last))
     marked = rows.withColumns({"is_break": F.lit(False), "_cut": F.coalesce(cut, F.lit(False))})
     keep = {*keys, "position"}
-    breaks = marked.where("_cut").select(*[F.col(c) if c in keep else F.lit(None).cast(t).alias(c) for c, t in marked.dtypes if c not in ("is_break", "_cut")], F.lit(True).alias("is_break"))
-    return marked.drop("_cut").unionByName(breaks)
+    breaks = marked.where("_cut").select(*[F.col(c) if c in keep else F.lit(None).cast(t).alias(c) for c, t in marked.dtypes if c not in ("is_break", "_cut", "_last")], F.lit(True).alias("is_break"))
+    return marked.drop("_cut", "_last").unionByName(breaks)
 
 
 def in_chart_order(rows: DataFrame, keys: list[str] = _STREAM) -> DataFrame:
@@ -101,6 +113,29 @@ def active_as_json(baselines: DataFrame) -> DataFrame:
     return baselines.where("status = 'ACTIVE'").select("booth_id", "measurement_point_id", "specification_id", body.alias("active_baseline"))
 
 
+#: What a page shows of the active baseline.
+ACTIVE_JSON = ("baseline_id", "version", "status", "approved_by", "center_line", "sigma", "i_lcl", "i_ucl", "mr_center", "mr_ucl")
+
+
+def monitoring_detail(results: DataFrame, enriched: DataFrame, specifications: DataFrame, baselines: DataFrame, robots: DataFrame) -> DataFrame:
+    """Every control result with its specification, its own baseline, its scope's active one as JSON (NULL where there is
+    none) and its robots' names.  All joins are left ones: a result is never lost.  robots: measurement_id, robot_name."""
+    scope = ["booth_id", "measurement_point_id", "specification_id"]
+    own = baselines.select("baseline_id", F.col("version").alias("baseline_version"), F.col("status").alias("baseline_current_status"), F.col("approved_by").alias("baseline_approved_by"))
+    # The status is part of the join's condition, so it is applied to the right side before the join.
+    text = [F.col(c).cast("string").alias(c) if t.startswith("decimal") else F.col(c) for c, t in baselines.select(*ACTIVE_JSON).dtypes]
+    active = baselines.where("status = 'ACTIVE'").select(*scope, F.to_json(F.struct(*text), {"ignoreNullFields": "false"}).alias("active_baseline"))
+    names = robots.groupBy("measurement_id").agg(F.array_sort(F.collect_list("robot_name")).alias("robot_names"))
+    return (
+        results.select("measurement_id", "measurement_timestamp", "baseline_id", "booth_name", "point_code", "shift_name", "measured_value", "moving_range", "spc_signal")
+        .join(enriched.select("measurement_id", "batch_id", *scope), "measurement_id", "left")
+        .join(specifications.select("specification_id", "characteristic", F.col("unit").alias("specification_unit")), "specification_id", "left")
+        .join(own, "baseline_id", "left")
+        .join(active, scope, "left")
+        .join(names, "measurement_id", "left")
+    )
+
+
 def sanity(results: DataFrame) -> DataFrame:
     """(check, violations): what must stop an analysis."""
     from millrace.operators.checks import counted, union

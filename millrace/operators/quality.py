@@ -18,6 +18,22 @@ def distincts(*names: str) -> list[Column]:
     return [F.countDistinct(f"{n}_id").alias(f"{n}_count") for n in names]
 
 
+def grouped_distinct(enriched: DataFrame, keys: list[str], names: tuple[str, ...] = ("batch", "cabin"), flags: dict[str, str] | None = None) -> DataFrame:
+    """grouped() with distinct counts of ids, and counts of flags.  Rows are brought to one for each of the ids first, so
+    that the distinct counts multiply those few and not the measurements."""
+    x, ids, flags = F.col("measured_value").cast("double"), [f"{n}_id" for n in names], flags or {}
+    inner = enriched.groupBy(*keys, *ids).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(x).alias("_k"), F.sum(x).alias("_sum"), F.sum(x * x).alias("_squares"), F.min(x).alias("_min"), F.max(x).alias("_max"), count_if("is_oos").alias("_oos"),
+        F.sum(F.col("deviation_from_target").cast("double")).alias("_deviation"), F.count("deviation_from_target").alias("_deviations"), *[count_if(f).alias(f"_{n}") for n, f in flags.items()],
+    )
+    n, k, total = F.sum("_n"), F.sum("_k"), F.sum("_sum")
+    spread = F.when(k > 1, F.sqrt(F.greatest(F.lit(0.0), (F.sum("_squares") - total * total / k) / (k - 1))))
+    return inner.groupBy(*keys).agg(
+        *distincts(*names), *[F.sum(f"_{c}").alias(c) for c in flags], n.alias("measurement_count"), rate(total, k).alias("mean_thickness"), spread.alias("stddev_thickness"), F.min("_min").alias("min_thickness"), F.max("_max").alias("max_thickness"),
+        F.sum("_oos").alias("oos_count"), rate(F.sum("_oos"), n).alias("oos_rate"), rate(F.sum("_deviation"), F.sum("_deviations")).alias("mean_deviation_from_target"),
+    )
+
+
 def production_volume(enriched: DataFrame, keys: list[str]) -> DataFrame:
     return enriched.groupBy(*keys).agg(*distincts("batch", "cabin"), F.count(F.lit(1)).alias("measurement_count"))
 
@@ -60,7 +76,7 @@ def histogram(enriched: DataFrame, low: float, high: float, bins: int) -> DataFr
 
 
 def mart(enriched: DataFrame) -> DataFrame:
-    return grouped(enriched, ["production_date", "booth_id", "booth_name"], *distincts("batch", "cabin"), count_if("below_lsl").alias("below_lsl_count"), count_if("above_usl").alias("above_usl_count"))
+    return grouped_distinct(enriched, ["production_date", "booth_id", "booth_name"], flags={"below_lsl_count": "below_lsl", "above_usl_count": "above_usl"})
 
 
 def kpis(enriched: DataFrame) -> DataFrame:
@@ -153,10 +169,11 @@ def event_periods(context: DataFrame) -> DataFrame:
 
 
 def around_periods(periods: DataFrame, batches: DataFrame, days: int = 7) -> DataFrame:
-    """Batches of a booth before, during and after each period.  The booth is the join's key, so the date range is
-    only a residual condition."""
-    day = F.col("batch_start").cast("date")
-    near = periods.join(batches.drop("booth_name"), "booth_id").where(day.between(F.date_sub("period_start", days), F.date_add("period_end", days)))
+    """Batches of a booth before, during and after each period.  A period is spread over its days, so that booth and day
+    are the join's keys and each pair that is made is a row of the result's groups."""
+    day = F.col("_day")
+    spread = periods.withColumn("_day", F.explode(F.sequence(F.date_sub("period_start", days), F.date_add("period_end", days))))
+    near = spread.join(batches.drop("booth_name").withColumn("_day", F.col("batch_start").cast("date")), ["booth_id", "_day"])
     when = F.when(day < F.col("period_start"), "BEFORE").when(day > F.col("period_end"), "AFTER").otherwise("DURING")
     return (
         near.withColumn("relative_period", when)

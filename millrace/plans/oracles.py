@@ -17,7 +17,7 @@ s1 AS (SELECT *, CASE WHEN h >= 6 AND h < 14 THEN 1 WHEN h >= 14 AND h < 22 THEN
   day0 + to_hours(CAST(h AS BIGINT)) AS batch_start, {_SPEC.format(1, 50, 150)} FROM s0),
 e AS (SELECT measurement_id, cabin_id, CAST(date_diff('day', DATE '2000-01-01', day0::DATE) * 24 + h * 2 + booth_id AS BIGINT) AS batch_id,
   booth_id, 'BOOTH_0' || booth_id AS booth_name, CAST(length(point_code) * 1000 + ascii(point_code) AS INTEGER) AS measurement_point_id,
-  point_code, 1 AS specification_id, 'Event Value' AS characteristic, 'u' AS unit, lsl, target, usl, shift_id, 'SHIFT_0' || shift_id AS shift_name,
+  point_code, 'EVENT' AS component, CASE booth_id WHEN 1 THEN 'LEFT' ELSE 'RIGHT' END AS side, CAST(length(point_code) AS INTEGER) AS point_number, 1 AS specification_id, 'Event Value' AS characteristic, 'u' AS unit, lsl, target, usl, shift_id, 'SHIFT_0' || shift_id AS shift_name,
   batch_start, batch_start + INTERVAL 2 HOUR AS batch_end, ts AS production_timestamp, ts::DATE AS production_date, ts AS measurement_timestamp,
   measured_value, {_FLAGS},
   CASE shift_id WHEN 1 THEN day0 + INTERVAL 6 HOUR WHEN 2 THEN day0 + INTERVAL 14 HOUR
@@ -80,17 +80,17 @@ sg AS (SELECT * EXCLUDE (before), CAST(sum(CASE WHEN baseline_id IS DISTINCT FRO
 _W = f"PARTITION BY {_SCOPE}, shift_id, shift_instance, baseline_segment ORDER BY measurement_timestamp, measurement_id"
 RULES = f"""{ASOF},
 z AS (SELECT *, row_number() OVER w AS obs, abs(measured_value - lag(measured_value) OVER w) AS moving_range,
-  CASE WHEN baseline_id IS NULL THEN 0 WHEN measured_value > center_line THEN 1 WHEN measured_value < center_line THEN -1 ELSE 0 END AS side,
+  CASE WHEN baseline_id IS NULL THEN 0 WHEN measured_value > center_line THEN 1 WHEN measured_value < center_line THEN -1 ELSE 0 END AS over_under,
   CASE WHEN measured_value > center_line + 2 * sigma THEN 1 ELSE 0 END AS a2, CASE WHEN measured_value < center_line - 2 * sigma THEN 1 ELSE 0 END AS b2,
   CASE WHEN measured_value > center_line + sigma THEN 1 ELSE 0 END AS a1, CASE WHEN measured_value < center_line - sigma THEN 1 ELSE 0 END AS b1
   FROM sg WINDOW w AS ({_W})),
 y AS (SELECT *, sum(a2) OVER (w ROWS 2 PRECEDING) AS sa2, sum(b2) OVER (w ROWS 2 PRECEDING) AS sb2, sum(a1) OVER (w ROWS 4 PRECEDING) AS sa1,
-  sum(b1) OVER (w ROWS 4 PRECEDING) AS sb1, CASE WHEN side <> lag(side, 1, 0) OVER w THEN 1 ELSE 0 END AS turn FROM z WINDOW w AS ({_W})),
+  sum(b1) OVER (w ROWS 4 PRECEDING) AS sb1, CASE WHEN over_under <> lag(over_under, 1, 0) OVER w THEN 1 ELSE 0 END AS turn FROM z WINDOW w AS ({_W})),
 x AS (SELECT *, sum(turn) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS run FROM y),
 v AS (SELECT *, count(*) OVER (PARTITION BY {_SCOPE}, shift_id, shift_instance, baseline_segment, run ORDER BY measurement_timestamp, measurement_id ROWS UNBOUNDED PRECEDING) AS len FROM x),
 u AS (SELECT *, baseline_id IS NOT NULL AND (measured_value > i_ucl OR measured_value < i_lcl) AS rule_1,
   baseline_id IS NOT NULL AND obs >= 3 AND (sa2 >= 2 OR sb2 >= 2) AS rule_2, baseline_id IS NOT NULL AND obs >= 5 AND (sa1 >= 4 OR sb1 >= 4) AS rule_3,
-  baseline_id IS NOT NULL AND side <> 0 AND len >= 8 AS rule_4 FROM v),
+  baseline_id IS NOT NULL AND over_under <> 0 AND len >= 8 AS rule_4 FROM v),
 r AS (SELECT *, CASE WHEN baseline_id IS NOT NULL THEN (rule_1 OR rule_2 OR rule_3 OR rule_4) END AS spc_signal,
   CASE WHEN baseline_id IS NULL THEN 'NOT_EVALUATED' ELSE 'EVALUATED' END AS spc_evaluation_status FROM u)"""
 
@@ -114,7 +114,7 @@ rb AS (SELECT s_suppkey AS robot_id, s_name AS robot_name, n_nationkey AS track_
 _BATCH = f"""bq AS (SELECT batch_id, booth_id, booth_name, shift_id, shift_name, production_date, min(batch_start) AS batch_start, max(batch_end) AS batch_end,
   min(production_timestamp) AS first_cabin_timestamp, max(production_timestamp) AS last_cabin_timestamp, count(DISTINCT cabin_id) AS cabin_count, {Q} FROM e GROUP BY ALL)"""
 CONTEXT = f"""{STREAM}, {_BATCH},
-pe AS (SELECT measurement_id AS event_id, measurement_timestamp AS event_timestamp, 'SPECIFICATION_VIOLATION' AS event_type, point_code AS description,
+pe AS (SELECT measurement_id AS event_id, measurement_timestamp AS event_timestamp, 'SPECIFICATION_VIOLATION' AS event_type, concat_ws(' ', point_code, CAST(production_date AS VARCHAR)) AS description,
   CASE WHEN measured_value > 200 THEN 'HIGH' ELSE 'LOW' END AS severity, batch_id, booth_id FROM e WHERE above_usl),
 cx AS (SELECT event_id, event_timestamp, event_type, description, severity, pe.batch_id, pe.booth_id, bq.booth_name, cabin_count, measurement_count, mean_thickness, stddev_thickness, oos_count, oos_rate
   FROM pe JOIN bq ON pe.batch_id = bq.batch_id)"""
@@ -156,6 +156,23 @@ cd AS (SELECT coalesce(ca.o_orderkey, cb.o_orderkey) AS o_orderkey, concat_ws(',
 cf AS (SELECT o_orderkey, CASE WHEN gone THEN 'SOURCE_ONLY' WHEN new THEN 'TARGET_ONLY' WHEN f <> '' THEN 'DIFFERENT' ELSE 'MATCHED' END AS state, CASE WHEN NOT gone AND NOT new AND f <> '' THEN f END AS fields FROM cd)"""
 
 
+def _horner(x: str, coefficients: tuple[float, ...]) -> str:
+    out = f"({coefficients[0]!r}::DOUBLE)"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + ({c!r}::DOUBLE))"
+    return out
+
+
+def _quantile(p: str) -> str:
+    """The rational approximation of the normal quantile, with the engine's fixed coefficients."""
+    from millrace.functions import formulas as f
+
+    tail = lambda q: f"{_horner(q, f._QC)} / {_horner(q, f._QD)}"
+    q = f"({p} - 0.5)"
+    return f"""CASE WHEN {p} < {f._Q_LOW} THEN {tail(f"sqrt(-2 * ln({p}))")} WHEN {p} > 1 - {f._Q_LOW} THEN -({tail(f"sqrt(-2 * ln(1 - {p}))")})
+  ELSE {_horner(f"({q} * {q})", f._QA)} * {q} / {_horner(f"({q} * {q})", f._QB)} END"""
+
+
 def R(sql: str, doubles: str = "", decimals: str = "") -> str:
     """sql with its doubles rounded to six places (a billionth more keeps exact halves from going either way), and its
     decimals as doubles."""
@@ -178,7 +195,8 @@ bb AS (SELECT * EXCLUDE (until, i_ucl), CASE WHEN version = 1 AND booth_id = 1 T
   CASE WHEN version = 1 AND measurement_point_id % 2 = 1 THEN baseline_id + 1 WHEN version = 2 AND booth_id = 1 THEN baseline_id ELSE sup0 END AS sup FROM b0)"""
 
 SQL: dict[str, str] = {
-    "measurement_enriched": W(STREAM, "SELECT measurement_id, cabin_id, batch_id, shift_id, shift_name, booth_id, booth_name, production_date, production_timestamp, measurement_timestamp, measurement_point_id, point_code, specification_id, characteristic, measured_value, unit, lsl, target, usl, deviation_from_target, below_lsl, above_usl, is_oos, compliance_status FROM e", "", "measured_value lsl target usl deviation_from_target"),
+    "measurement_enriched": W(STREAM, "SELECT measurement_id, cabin_id, batch_id, shift_id, shift_name, booth_id, booth_name, production_timestamp, production_date, measurement_timestamp, measurement_point_id, point_code, component, side, point_number, specification_id, characteristic, unit, lsl, target, usl, measured_value, deviation_from_target, below_lsl, above_usl, is_oos, compliance_status, batch_start, batch_end FROM e", "", "measured_value lsl target usl deviation_from_target"),
+    "staging_measurements": W(STREAM, "SELECT measurement_id, cabin_id, batch_id, shift_id, shift_name, booth_id, booth_name, production_timestamp, production_date, measurement_timestamp, measurement_point_id, point_code, component, side, point_number, specification_id, characteristic, unit, lsl, target, usl, measured_value, deviation_from_target, below_lsl, above_usl, is_oos FROM e", "", "measured_value lsl target usl deviation_from_target"),
     "star_enriched": W(STAR, "SELECT booth_name, shift_name, compliance_status, count(*) AS measurement_count, CAST(sum(deviation_from_target) AS DOUBLE) AS sum_deviation FROM e GROUP BY ALL", "sum_deviation"),
     "compliance_distribution": W(STAR, "SELECT compliance_status, count(*) AS measurement_count, count(*)::DOUBLE / sum(count(*)) OVER () AS measurement_rate FROM e GROUP BY compliance_status", "measurement_rate"),
     "production_volume": W(STREAM, f"SELECT production_date, shift_id, shift_name, booth_id, booth_name, {_DIST}, count(*) AS measurement_count FROM e GROUP BY ALL"),
@@ -211,22 +229,22 @@ SQL: dict[str, str] = {
         CONTEXT,
         f"""SELECT event_type, severity, booth_name, period_start, period_end, relative_period, count(*) AS batch_count, CAST(sum(measurement_count) AS BIGINT) AS measurement_count, {_SUMMARY} FROM (
   SELECT p.event_type, p.severity, p.booth_name, period_start, period_end, CASE WHEN batch_start::DATE < period_start THEN 'BEFORE' WHEN batch_start::DATE > period_end THEN 'AFTER' ELSE 'DURING' END AS relative_period, bq.mean_thickness, bq.stddev_thickness, bq.oos_count, bq.measurement_count
-  FROM (SELECT event_type, severity, booth_id, booth_name, description, min(event_timestamp)::DATE AS period_start, max(event_timestamp)::DATE AS period_end FROM cx WHERE event_timestamp >= TIMESTAMP '2024-01-10' AND event_timestamp < TIMESTAMP '2024-01-14' GROUP BY ALL) p
+  FROM (SELECT event_type, severity, booth_id, booth_name, description, min(event_timestamp)::DATE AS period_start, max(event_timestamp)::DATE AS period_end FROM cx GROUP BY ALL) p
   JOIN bq ON bq.booth_id = p.booth_id AND batch_start::DATE BETWEEN period_start - 7 AND period_end + 7) GROUP BY ALL""",
         "mean_of_batch_means mean_batch_stddev",
     ),
     "shift_instance": W(STREAM, "SELECT shift_id, shift_name, shift_instance, count(*) AS measurement_count, min(batch_start) AS first_batch, max(batch_start) AS last_batch FROM e GROUP BY ALL"),
     "moving_range": W(f"{STREAM}, {MR}", "SELECT measurement_id, shift_instance, measured_value, moving_range FROM m", "", "measured_value moving_range"),
     "baseline_fit": W(f"{STREAM},{_fit('a', 18)}", "SELECT * EXCLUDE (ws) FROM f_a", " ".join(_LIM)),
-    "baseline_fit_checks": " UNION ALL ".join(f"SELECT '{n}' AS \"check\", 0::BIGINT AS violations" for n in ("missing_value", "value_does_not_fit_numeric_10_3", "missing_key", "duplicate_measurement_id", "too_few_observations", "no_moving_range")) + " UNION ALL SELECT 'non_positive_id', count(*) FROM events WHERE event_id <= 0",
-    "baseline_fingerprint": W(f"{STREAM},{_fit('a', 9)}", f"SELECT {_SCOPE}, sha256(string_agg(concat_ws('|', measurement_id, strftime(measurement_timestamp, '%Y-%m-%d %H:%M:%S.%f'), shift_id, strftime(shift_instance, '%Y-%m-%d %H:%M:%S'), measured_value), chr(10) ORDER BY measurement_id)) AS source_query_hash FROM i_a GROUP BY ALL"),
+    "baseline_fit_checks": " UNION ALL ".join(f"SELECT '{n}' AS \"check\", 0::BIGINT AS violations" for n in ("missing_value", "value_does_not_fit_numeric_10_3", "missing_key", "id_does_not_fit_integer", "duplicate_measurement_id", "no_rows", "too_few_observations", "no_moving_range", "limits_do_not_fit_numeric_14_6", "too_many_scopes")) + " UNION ALL SELECT 'non_positive_id', count(*) FROM events WHERE event_id <= 0",
+    "baseline_fingerprint": W(f"{STREAM},{_fit('a', 9)}", f"SELECT {_SCOPE}, sha256(string_agg(h, chr(10) ORDER BY shift_instance, shift_id)) AS source_query_hash FROM (SELECT {_SCOPE}, shift_id, shift_instance, sha256(string_agg(concat_ws('|', measurement_id, strftime(measurement_timestamp, '%Y-%m-%d %H:%M:%S.%f'), shift_id, strftime(shift_instance, '%Y-%m-%d %H:%M:%S'), measured_value), chr(10) ORDER BY measurement_id)) AS h FROM i_a GROUP BY ALL) GROUP BY ALL"),
     "baseline_table": W(BASE, f"SELECT baseline_id, {_SCOPE}, version, status, n_observations, n_valid_mr, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _LIM)} FROM bl", " ".join(_LIM)),
     "baseline_asof": W(ASOF, "SELECT measurement_id, baseline_id FROM a"),
     "baseline_asof_by_row": W(ASOF, "SELECT measurement_id, baseline_id FROM a"),
     "baseline_segments": W(ASOF, "SELECT measurement_id, baseline_id, baseline_segment FROM sg"),
     "spc_rules": W(RULES, f"SELECT measurement_timestamp, measurement_id, baseline_id, booth_name AS booth, point_code AS measurement_point, shift_id, shift_name, shift_instance, measured_value, moving_range, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _LIM)}, rule_1, rule_2, rule_3, rule_4, spc_signal, spc_evaluation_status FROM r", " ".join(_LIM), "measured_value moving_range"),
     "spc_rules_scoped": W(RULES, "SELECT measurement_id, booth_name AS booth, point_code AS measurement_point, CAST(i_lcl AS DOUBLE) AS lcl, CAST(i_ucl AS DOUBLE) AS ucl, rule_1, rule_2, rule_3, rule_4, spc_signal FROM r WHERE booth_name = 'BOOTH_01' AND point_code = 'view'", "lcl ucl"),
-    "mart_spc_metrics": W(RULES, f"SELECT measurement_id, production_date, is_oos, deviation_from_target, moving_range, spc_signal, {_LABEL} AS triggered_rules FROM r WHERE booth_name = 'BOOTH_02'", "", "deviation_from_target moving_range"),
+    "mart_spc_metrics": W(RULES, "SELECT measurement_id, production_date, booth_name, point_code, characteristic, unit, measured_value, is_oos, shift_instance, shift_id, shift_name, rule_1, rule_2, rule_3, rule_4, spc_signal, baseline_id, spc_evaluation_status FROM r WHERE booth_name = 'BOOTH_01' AND point_code = 'view' AND characteristic = 'Event Value' AND unit = 'u'", "", "measured_value"),
     "spc_overall": W(RULES, f"SELECT 'OVERALL' AS summary_scope, booth_name, point_code, {_SIG}, {_RULES_N} FROM r GROUP BY booth_name, point_code", "signal_rate rule_1_rate rule_2_rate rule_3_rate rule_4_rate"),
     "spc_monthly": W(RULES, f"SELECT date_trunc('month', production_timestamp)::DATE AS production_month, booth_name, point_code, {_SIG}, {_OOS} FROM r GROUP BY ALL", "signal_rate oos_rate"),
     "spc_shift_instance": W(RULES, f"SELECT shift_instance, shift_id, shift_name, booth_name, point_code, {_SIG}, {_OOS}, min(measurement_timestamp) FILTER (spc_signal) AS first_signal_timestamp, max(measurement_timestamp) FILTER (spc_signal) AS last_signal_timestamp FROM r GROUP BY ALL", "signal_rate oos_rate"),
@@ -268,7 +286,7 @@ p1 AS (SELECT *, lag(position) OVER w AS pp, lag(baseline_id) OVER w AS pb FROM
         "mrbar mean median overall_sigma within_sigma spc_signal_rate oos_rate distance_mean_to_lsl distance_mean_to_usl cp cpk pp ppk",
     ),
     "capability_groups": W(RULES, f"SELECT shift_name, count(*) AS measurement_count, avg({_X}) AS mean, median({_X}) AS median, stddev_samp({_X}) AS sample_std, min({_X}) AS min, max({_X}) AS max, {_DRIFT_SIDES}, count(*) FILTER (is_oos) AS oos_count, count(*) FILTER (is_oos)::DOUBLE / count(*) AS oos_rate, {_HIT} AS spc_signal_count, {_KNOWN} AS spc_evaluated_count, count(*) - {_KNOWN} AS spc_not_evaluated_count, {_HIT}::DOUBLE / nullif({_KNOWN}, 0) AS spc_signal_rate FROM r GROUP BY ALL", "mean median sample_std oos_rate spc_signal_rate"),
-    "plotting_positions": W(STREAM, f"SELECT booth_name, point_code, measurement_id, {_X} AS value, (row_number() OVER ({_P} ORDER BY {_X}, measurement_id) - 0.5::DOUBLE) / count(*) OVER ({_P}) AS plotting_position FROM e", "plotting_position"),
+    "plotting_positions": W(STREAM, f"SELECT *, {_quantile('plotting_position')} AS theoretical_quantile FROM (SELECT booth_name, point_code, measurement_id, {_X} AS value, (row_number() OVER ({_P} ORDER BY {_X}, measurement_id) - 0.5::DOUBLE) / count(*) OVER ({_P}) AS plotting_position FROM e)", "plotting_position theoretical_quantile"),
     "drift_monthly": W(RULES, f"SELECT booth_name, point_code, date_trunc('month', production_timestamp)::DATE AS production_month, {_DRIFT_HEAD}, {_DRIFT_SIDES}, {_DRIFT_TAIL} FROM r GROUP BY ALL", _DRIFT_D),
     "drift_shift_instance": W(RULES, f"SELECT booth_name, point_code, shift_instance, shift_id, shift_name, min(measurement_timestamp) AS first_measurement_timestamp, max(measurement_timestamp) AS last_measurement_timestamp, {_DRIFT_HEAD}, {_DRIFT_SIDES}, {_DRIFT_TAIL}, {_WITHIN} FROM r GROUP BY ALL", _DRIFT_D + " within_sum_of_squares"),
     "drift_shift_type": W(RULES, f"SELECT booth_name, point_code, shift_id, shift_name, count(DISTINCT shift_instance) AS shift_instance_count, {_DRIFT_HEAD}, {_DRIFT_TAIL} FROM r GROUP BY ALL", _DRIFT_D),
@@ -299,7 +317,7 @@ ev AS (SELECT booth_name, point_code, (slope_per_day - 1.959963984540054::DOUBLE
     "compare_samples": W(CHANGED, "SELECT * FROM cf WHERE state <> 'MATCHED' ORDER BY o_orderkey LIMIT 20"),
     "compare_key_checks": "SELECT 'null_key' AS \"check\", count(*) AS violations FROM lineitem WHERE l_orderkey IS NULL OR l_linenumber IS NULL UNION ALL SELECT 'duplicate_key', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'not_finite', count(*) FROM lineitem WHERE NOT isfinite(l_quantity) OR NOT isfinite(l_extendedprice) OR NOT isfinite(l_discount) OR NOT isfinite(l_tax)",
     "integrity_anti": "SELECT o_custkey, count(*) AS orphans FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 50 <> 1) GROUP BY 1",
-    "integrity_both_ways": "SELECT k, 'LEFT_ONLY' AS side FROM (SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer) UNION ALL SELECT k, 'RIGHT_ONLY' FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders)",
+    "integrity_both_ways": "SELECT k, 'LEFT_ONLY' AS side FROM (SELECT o_custkey AS k FROM orders WHERE o_custkey % 11 <> 2 EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 13 <> 5) UNION ALL SELECT k, 'RIGHT_ONLY' FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 13 <> 5 EXCEPT SELECT o_custkey FROM orders WHERE o_custkey % 11 <> 2)",
     "integrity_full_join": W(STAR, "SELECT booth_name, l.n AS l_n, r.n AS r_n FROM (SELECT booth_name, count(*) AS n FROM e GROUP BY 1) l FULL JOIN (SELECT booth_name, count(*) AS n FROM e WHERE NOT is_oos OR booth_name <> 'ASIA' GROUP BY 1) r USING (booth_name) WHERE l.n IS DISTINCT FROM r.n"),
     "integrity_counts_union": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ("region", "nation", "customer", "orders", "lineitem", "part", "supplier", "events")),
     "integrity_group_sizes": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) NOT BETWEEN 1 AND 6",
@@ -327,3 +345,130 @@ ev AS (SELECT booth_name, point_code, (slope_per_day - 1.959963984540054::DOUBLE
         """SELECT baseline_id, 'immutable_approved' AS "check" FROM bb WHERE status <> 'DRAFT' AND (booth_id = 1 OR (version = 1 AND booth_id = 2)) UNION ALL SELECT baseline_id, 'lifecycle' FROM bb WHERE status = 'ACTIVE'""",
     ),
 }
+
+
+# ---------------------------------------------------------------- input contracts, reports, validators
+
+_SCOPED = "FROM r WHERE booth_name = 'BOOTH_01' AND point_code = 'view'"
+_INPUT = """measurement_id, measurement_timestamp, production_timestamp, date_trunc('month', production_timestamp)::DATE AS production_month, shift_instance, shift_id, shift_name,
+  booth_name AS booth, point_code AS measurement_point, characteristic, unit, lsl, target, usl, measured_value, below_lsl, above_usl, is_oos, rule_1, rule_2, rule_3, rule_4, spc_signal, baseline_id, spc_evaluation_status"""
+_NONE = lambda *names: " UNION ALL ".join(f"SELECT '{n}' AS \"check\", 0::BIGINT AS violations" for n in names)
+
+_SPOILT = f"""{RULES},
+rr AS (SELECT * REPLACE (CASE WHEN measurement_id % 89 = 3 THEN i_ucl + 1 ELSE i_ucl END AS i_ucl, CASE WHEN measurement_id % 83 = 5 THEN NULL ELSE spc_signal END AS spc_signal) FROM r WHERE measurement_id % 101 <> 7),
+rx AS (SELECT * FROM rr UNION ALL SELECT * FROM rr WHERE measurement_id % 79 = 2), bs AS (SELECT * FROM bl WHERE NOT (booth_id = 1 AND status = 'ACTIVE'))"""
+_ANY_RULE = "(rule_1 OR rule_2 OR rule_3 OR rule_4)"
+
+_DRIFTED = f"""{RULES},
+di AS (SELECT measurement_id, measurement_timestamp, shift_instance, shift_id, CASE WHEN measurement_id % 53 = 1 THEN 'SHIFT_03' ELSE shift_name END AS shift_name, baseline_id, spc_evaluation_status,
+  CASE WHEN measurement_id % 47 = 2 THEN NULL ELSE spc_signal END AS spc_signal {_SCOPED}),
+dx AS (SELECT * FROM di UNION ALL SELECT * FROM di WHERE measurement_id % 43 = 3)"""
+
+_PARSED = f"""{STREAM},
+dp AS (SELECT measurement_id, shift_instance, shift_id, CASE WHEN measurement_id % 23 = 8 THEN NULL ELSE shift_name END AS shift_name FROM e),
+dy AS (SELECT * FROM dp UNION ALL SELECT * FROM dp WHERE measurement_id % 19 = 9)"""
+
+#: The synthetic plant: production days, two-hour batches, special causes.
+_PLANT = """days AS (SELECT d::DATE AS day, row_number() OVER (ORDER BY d) - 1 AS day_number FROM generate_series(DATE '{0}', DATE '{1}', INTERVAL 1 DAY) t(d) WHERE dayofweek(d) <> 0),
+pb AS (SELECT day_number * 12 + (s - 1) * 4 + k + 1 AS batch_id, CAST(s AS INTEGER) AS shift_id, day::TIMESTAMP + to_hours(CAST(6 + 8 * (s - 1) + 2 * k AS BIGINT)) AS batch_start,
+  day::TIMESTAMP + to_hours(CAST(8 + 8 * (s - 1) + 2 * k AS BIGINT)) AS batch_end, CAST(k // 2 + 1 AS INTEGER) AS booth_id FROM days, range(1, 4) a(s), range(0, 4) b(k))"""
+_YEAR, _SHORT = _PLANT.format("2026-01-01", "2026-06-30"), _PLANT.format("2026-01-16", "2026-02-04")
+_CAUSES = """pc(event_type, booth_id, first, last, severity, description) AS (VALUES ('PROCESS_DRIFT', 1, DATE '2026-02-02', DATE '2026-02-13', 'MEDIUM', 'Slow rise'), ('PROCESS_SHIFT', 2, DATE '2026-03-09', DATE '2026-03-20', 'HIGH', 'Sudden fall'),
+  ('INCREASED_VARIATION', 1, DATE '2026-04-06', DATE '2026-04-17', 'MEDIUM', 'Wider spread'), ('SPECIFICATION_VIOLATION', 2, DATE '2026-05-04', DATE '2026-05-05', 'HIGH', 'Below'), ('SPECIFICATION_VIOLATION', 1, DATE '2026-06-15', DATE '2026-06-15', 'HIGH', 'Above'),
+  ('OUTLIER', 1, DATE '2026-01-20', DATE '2026-01-20', 'LOW', 'Single'), ('OUTLIER', 2, DATE '2026-02-25', DATE '2026-02-25', 'LOW', 'Single'), ('OUTLIER', 2, DATE '2026-04-29', DATE '2026-04-29', 'LOW', 'Single'), ('OUTLIER', 1, DATE '2026-06-03', DATE '2026-06-03', 'LOW', 'Single'))"""
+_POINTS = ", ".join(
+    f"({i}, '{p}', '{c}', '{s}', {n})"
+    for i, (p, c, s, n) in enumerate(
+        ((f"{g}-{s[0]}{n}", c, s, n) for g, c, k in (("A", "A_PILLAR", 3), ("B", "B_PILLAR", 3), ("T", "UPPER_CONNECTING_ELEMENT", 1), ("C", "A_B_CONNECTING_ELEMENT", 2)) for s in ("LEFT", "RIGHT") for n in range(1, k + 1)), 1
+    )
+)
+_ROBOTS = ", ".join(f"({r}, 'ROBOT_{r:02}', {(r + 1) // 2}, 'TRACK_{(r + 1) // 2:02}', {(r + 3) // 4}, 'BOOTH_{(r + 3) // 4:02}')" for r in range(1, 9))
+
+SQL |= {
+    "capability_inputs": W(RULES, f"SELECT {_INPUT} {_SCOPED}", "", "lsl target usl measured_value"),
+    "drift_inputs": W(RULES, f"SELECT {_INPUT}, deviation_from_target {_SCOPED}", "", "lsl target usl measured_value deviation_from_target"),
+    "variation_by_batch": W(f"{STREAM}, {_BATCH}", "SELECT production_date, shift_name, booth_name, batch_id, mean_thickness, stddev_thickness FROM bq", "mean_thickness stddev_thickness"),
+    "variation_by_shift": W(STREAM, f"SELECT production_date, shift_name, avg({_X}) AS mean_thickness, stddev_samp({_X}) AS stddev_thickness, count(*) FILTER (is_oos)::DOUBLE / count(*) AS oos_rate FROM e GROUP BY ALL", "mean_thickness stddev_thickness oos_rate"),
+    "variation_by_point": W(STREAM, f"SELECT point_code, component, avg({_X}) AS mean_thickness, stddev_samp({_X}) AS stddev_thickness, count(*) FILTER (is_oos)::DOUBLE / count(*) AS oos_rate FROM e GROUP BY ALL", "mean_thickness stddev_thickness oos_rate"),
+    "volume_report": W(STREAM, f"SELECT production_date, shift_name, booth_name, {_DIST}, count(*) AS measurement_count FROM e GROUP BY ALL"),
+    "rules_report": f"SELECT summary_scope, production_month, shift_instance, rule_name, rule_signal_measurements FROM ({SQL['spc_rules_long']})",
+    "moving_range_chart": W(
+        f"""{RULES}, p0 AS (SELECT *, row_number() OVER ({_P} ORDER BY measurement_timestamp, measurement_id) - 1 AS position FROM r),
+p1 AS (SELECT *, lag(position) OVER w AS pp, lag(baseline_id) OVER w AS pb FROM p0 WHERE shift_name = 'SHIFT_02' AND measurement_timestamp >= TIMESTAMP '2024-01-05' AND measurement_timestamp < TIMESTAMP '2024-01-26' WINDOW w AS ({_P} ORDER BY position))""",
+        """SELECT booth_name, point_code, position, measurement_id, baseline_id, moving_range, CAST(mr_center AS DOUBLE) AS mr_center, CAST(mr_ucl AS DOUBLE) AS mr_ucl, CASE WHEN baseline_id IS NOT NULL THEN 0.0::DOUBLE END AS mr_lcl, false AS is_break FROM p1
+  UNION ALL SELECT booth_name, point_code, position, NULL, NULL, NULL, NULL, NULL, NULL, true FROM p1 WHERE pp IS NOT NULL AND (position - pp > 1 OR pb IS DISTINCT FROM baseline_id)""",
+        "mr_center mr_ucl",
+        "moving_range",
+    ),
+    "monitoring_detail": W(
+        f"""{RULES}, {BRIDGE}, sb AS (SELECT *, CASE WHEN status <> 'DRAFT' THEN 'quality' END AS approved_by FROM bl WHERE NOT (status = 'ACTIVE' AND booth_id = 2)),
+act AS (SELECT {_SCOPE}, json_object('baseline_id', baseline_id, 'version', version, 'status', status, 'approved_by', approved_by, {", ".join(f"'{c}', CAST({c} AS VARCHAR)" for c in _LIM)})::VARCHAR AS active_baseline FROM sb WHERE status = 'ACTIVE'),
+nm AS (SELECT measurement_id, string_agg(robot_name, ',' ORDER BY robot_name) AS robot_names FROM br JOIN rb USING (robot_id) WHERE robot_id <> 3 GROUP BY 1)""",
+        f"""SELECT r.measurement_id, measurement_timestamp, r.baseline_id, booth_name, point_code, shift_name, measured_value, moving_range, spc_signal, batch_id, r.booth_id, r.measurement_point_id, r.specification_id, characteristic, unit AS specification_unit,
+  sb.version AS baseline_version, sb.status AS baseline_current_status, sb.approved_by AS baseline_approved_by, active_baseline, coalesce(robot_names, '') AS robot_names
+  FROM r LEFT JOIN sb ON sb.baseline_id = r.baseline_id LEFT JOIN act ON act.booth_id = r.booth_id AND act.measurement_point_id = r.measurement_point_id AND act.specification_id = r.specification_id LEFT JOIN nm ON nm.measurement_id = r.measurement_id""",
+        "",
+        "measured_value moving_range",
+    ),
+    "active_baseline_json": W(BASE, "SELECT json_object('approved_by', 'quality', 'baseline_id', baseline_id, 'booth_id', booth_id, 'effective_to', NULL, 'measurement_point_id', measurement_point_id, 'n_observations', n_observations, 'status', status, 'version', version)::VARCHAR AS report FROM bl WHERE status = 'ACTIVE'"),
+    "unassigned_baselines": W(RULES, "SELECT baseline_id, booth_id, measurement_point_id FROM bl WHERE status = 'ACTIVE' AND baseline_id NOT IN (SELECT baseline_id FROM r WHERE baseline_id IS NOT NULL AND (measurement_timestamp < TIMESTAMP '2024-01-12' OR booth_name = 'BOOTH_02'))"),
+    "ambiguous_specifications": W(STREAM, "SELECT specification_id, count(*) AS n FROM (SELECT DISTINCT specification_id, characteristic, CASE booth_id WHEN 2 THEN 'mm' ELSE unit END AS unit, lsl, target, usl FROM e) GROUP BY 1 HAVING count(*) > 1"),
+    "bootstrap_checks": _NONE("no_measurements", "measurement_not_enriched", "enriched_twice", "scope_without_one_active_baseline", "eligible_without_result", "invalid_flags", "limits_not_preserved", "result_twice"),
+    "bootstrap_violations": W(
+        _SPOILT,
+        _checks([
+            ("no_measurements", "SELECT 1 WHERE (SELECT count(*) FROM e) = 0"), ("measurement_not_enriched", "SELECT 1 FROM e WHERE measurement_id % 97 = 1"), ("enriched_twice", "SELECT 1 FROM e GROUP BY measurement_id HAVING count(*) > 1"),
+            ("scope_without_one_active_baseline", f"SELECT 1 FROM bs GROUP BY {_SCOPE} HAVING count(*) FILTER (status = 'ACTIVE') <> 1"),
+            ("eligible_without_result", f"SELECT 1 FROM e JOIN (SELECT {_SCOPE} FROM bs WHERE status = 'ACTIVE') USING ({_SCOPE}) WHERE measurement_id % 97 <> 1 AND measurement_id NOT IN (SELECT measurement_id FROM rx)"),
+            ("invalid_flags", f"SELECT 1 FROM rx WHERE (baseline_id IS NOT NULL AND spc_signal IS DISTINCT FROM {_ANY_RULE}) OR (baseline_id IS NULL AND ({_ANY_RULE} OR spc_signal IS NOT NULL)) OR (baseline_id IS NOT NULL) <> (spc_evaluation_status = 'EVALUATED')"),
+            ("limits_not_preserved", "SELECT 1 FROM rx JOIN bs USING (baseline_id) WHERE " + " OR ".join(f"rx.{c} IS DISTINCT FROM bs.{c}" for c in _LIM)), ("result_twice", "SELECT 1 FROM rx GROUP BY measurement_id HAVING count(*) > 1"),
+        ]),
+    ),
+    "capability_reconciliation": W(RULES, f"""SELECT n AS source_count, n AS distinct_source_count, o AS source_oos_count, s AS source_signal_count, n AS input_count, n AS distinct_input_count, o AS input_oos_count, s AS input_signal_count, 0::BIGINT AS different_rows, 'PASS' AS reconciliation_status
+  FROM (SELECT count(*) AS n, count(*) FILTER (is_oos) AS o, count(*) FILTER (spc_signal) AS s {_SCOPED})"""),
+    "drift_reconciliation": _NONE("repeated_measurement", "instance_of_several_shifts", "measurements_per_instance", "overnight_shift", "status_is_not_coverage", "group_totals", "sums_of_squares"),
+    "drift_reconciliation_violations": W(
+        _DRIFTED,
+        _checks([
+            ("repeated_measurement", "SELECT 1 FROM dx GROUP BY measurement_id HAVING count(*) > 1"), ("instance_of_several_shifts", "SELECT 1 FROM dx GROUP BY shift_instance HAVING count(DISTINCT shift_id) <> 1 OR count(DISTINCT shift_name) <> 1"),
+            ("measurements_per_instance", "SELECT 1 FROM dx GROUP BY shift_instance HAVING count(DISTINCT measurement_id) NOT BETWEEN 1 AND 40"),
+            ("overnight_shift", "SELECT 1 FROM dx WHERE shift_name = 'SHIFT_03' AND (hour(shift_instance) <> 22 OR measurement_timestamp < shift_instance OR measurement_timestamp >= shift_instance + INTERVAL 8 HOUR)"),
+            ("status_is_not_coverage", "SELECT 1 FROM dx WHERE (baseline_id IS NULL) <> (spc_evaluation_status = 'NOT_EVALUATED') OR (baseline_id IS NULL) <> (spc_signal IS NULL)"),
+            ("group_totals", "SELECT 1 WHERE false"), ("sums_of_squares", "SELECT 1 WHERE false"),
+        ]),
+    ),
+    "drift_input_checks": W(
+        _PARSED,
+        _checks([
+            ("no_rows", "SELECT 1 WHERE (SELECT count(*) FROM dy) = 0"), ("missing_id", "SELECT 1 FROM dy WHERE measurement_id IS NULL"), ("repeated_id", "SELECT 1 FROM dy GROUP BY measurement_id HAVING count(*) > 1"),
+            ("missing_time", "SELECT 1 FROM dy WHERE measurement_id % 41 = 6"), ("missing_shift", "SELECT 1 FROM dy WHERE shift_name IS NULL"),
+            ("instance_of_several_shifts", "SELECT 1 FROM dy GROUP BY shift_instance HAVING count(DISTINCT shift_id) <> 1 OR count(DISTINCT shift_name) <> 1"),
+            ("value_missing_or_not_finite", "SELECT 1 FROM dy WHERE measurement_id % 31 = 4 OR measurement_id % 37 = 5"), ("target_missing_or_not_finite", "SELECT 1 FROM dy WHERE measurement_id % 29 = 7"),
+        ]),
+    ),
+    "enrichment_checks": _checks([("line_not_enriched", "SELECT 1 FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey % 17 <> 3)"), ("part_without_line", "SELECT 1 FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")]),
+    "scalar_subquery_mismatches": "SELECT l_linestatus AS status, count(*) AS mismatches FROM lineitem WHERE l_linestatus <> (SELECT max(o_orderstatus) FROM orders WHERE o_orderkey = l_orderkey) GROUP BY 1",
+    "expected_rows": W(
+        f"{STAR}, ra AS (SELECT booth_name, shift_name, count(*) AS n FROM e GROUP BY ROLLUP (booth_name, shift_name)), rc AS (SELECT booth_name, shift_name, count(*) AS n FROM e WHERE shift_name <> 'BUILDING' OR booth_name <> 'ASIA' GROUP BY ROLLUP (booth_name, shift_name))",
+        "SELECT ra.booth_name, ra.shift_name, CASE WHEN rc.n IS NULL THEN 'MISSING' ELSE 'DIFFERENT' END AS state FROM ra LEFT JOIN rc ON ra.booth_name IS NOT DISTINCT FROM rc.booth_name AND ra.shift_name IS NOT DISTINCT FROM rc.shift_name WHERE ra.n IS DISTINCT FROM rc.n",
+    ),
+    "one_to_one_merge": W(STREAM, f"SELECT booth_name, point_code, shift_instance, count(*) AS measurement_count, avg({_X}) AS mean, min(measurement_timestamp) AS first_measurement, max(measurement_timestamp) AS last_measurement FROM e GROUP BY booth_name, point_code, shift_instance", "mean"),
+    "stream_compare": f"SELECT *, CAST(NULL AS VARCHAR) AS error, true AS complete FROM ({SQL['table_compare']})",
+    "stream_compare_incomplete": "SELECT 'source duplicate_key' AS error, false AS complete, 'FAIL' AS verdict",
+    "catalog_compare": SQL["table_compare"],
+    # sources, sinks and the synthetic plant
+    "csv_round_trip": R("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer", "c_acctbal"),
+    "csv_extract": R("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 3 THEN NULL ELSE o_totalprice > 100000 END AS large, CASE WHEN o_orderkey % 11 = 4 THEN NULL ELSE o_orderdate END AS o_orderdate, o_totalprice FROM orders", "o_totalprice"),
+    "integer_series": "SELECT range AS value FROM range(1, 501)",
+    "load_reconciliation": "SELECT * FROM (VALUES ('dim_booth', 2::BIGINT, 2::BIGINT), ('dim_track_axis', 4, 4), ('dim_robot', 8, 8), ('dim_shift', 3, 3), ('dim_measurement_point', 18, 18), ('dim_specification', 1, 1)) t(table_name, staged, loaded)",
+    "next_ids": " UNION ALL ".join(f"SELECT '{n}' AS table_name, max({k}) + 1 AS next_id FROM {n}" for n, k in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("events", "event_id"))),
+    "plant_points": f"SELECT * FROM (VALUES {_POINTS}) t(measurement_point_id, point_code, component, side, point_number)",
+    "plant_robots": f"SELECT * FROM (VALUES {_ROBOTS}) t(robot_id, robot_name, track_axis_id, track_name, booth_id, booth_name)",
+    "plant_calendar": W(_YEAR, "SELECT * FROM days"),
+    "plant_batches": W(_YEAR, "SELECT * FROM pb"),
+    "plant_cabins": W(_YEAR, "SELECT (batch_id - 1) * 5 + c + 1 AS cabin_id, batch_id, booth_id, true AS in_place FROM pb, range(0, 5) t(c)"),
+    "plant_events": W(f"{_YEAR}, {_CAUSES}", "SELECT row_number() OVER (ORDER BY batch_start, batch_id, description) AS event_id, batch_start AS event_timestamp, batch_id, pb.booth_id, event_type, severity FROM pb JOIN pc ON pb.booth_id = pc.booth_id AND batch_start::DATE BETWEEN first AND last"),
+    "plant_reference_counts": "SELECT 'dim_measurement_point' AS table_name, 19::BIGINT AS row_count, 18::BIGINT AS expected",
+    "plant_checks": _NONE("points_per_cabin", "robots_per_measurement", "contributors_do_not_vary", "robot_in_other_booth", "no_cross_track_measurement", "timestamp_is_not_the_cabins", "unit_is_not_the_specifications", "booths_per_batch", "cabins_per_batch", "cabin_outside_batch", "event_is_not_its_batchs", "robots_per_booth"),
+    "plant_measurement_grid": W(_SHORT, "SELECT batch_start::DATE AS day, booth_id, count(*) * 90 AS measurements, count(*) * 5 AS cabins, 18::BIGINT AS points, true AS some, true AS at_most_four, true AS not_negative FROM pb GROUP BY ALL"),
+}

@@ -17,15 +17,14 @@ def create(spark: SparkSession, tables: dict[str, DataFrame], baselines: DataFra
     where, when = ["booth_id", "booth_name"], ["shift_id", "shift_name"]
     batch = quality.batch_quality(measured, ["batch_id", *where, *when, *day])
     robots = t["dim_robot"].join(t["dim_track_axis"], "track_axis_id").join(t["dim_booth"].select("booth_id", "booth_name"), "booth_id").withColumnsRenamed({"booth_id": "robot_booth_id", "booth_name": "robot_booth_name"})
-    from millrace.functions.formulas import month
-
-    inputs = scoped.withColumn("production_month", month("production_timestamp"))
+    first = t["dim_specification"].orderBy("specification_id").first()
+    inputs = enrich.capability_input(measured, scoped, booth, point, first["characteristic"], first["unit"])
     views = {
         "v_measurement_enriched": measured,
         "v_spc_rule_results": rules.result_columns(results),
         "v_spc_rule_results_scoped": rules.short_names(rules.result_columns(scoped)),
-        "v_capability_measurements": inputs.drop("deviation_from_target"),
-        "v_drift_shift_measurements": inputs,
+        "v_capability_measurements": inputs,
+        "v_drift_shift_measurements": enrich.drift_input(inputs),
         "v_production_volume": quality.production_volume(measured, [*day, *when, *where]),
         "v_cabin_quality": quality.grouped(measured, ["cabin_id", "batch_id", *where, *when, *day]),
         "v_batch_quality": batch,

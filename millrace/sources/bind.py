@@ -34,6 +34,9 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("BOOTH_0"), booth.cast("string")).alias("booth_name"),
         (F.length("event_type") * 1000 + F.ascii("event_type")).cast("int").alias("measurement_point_id"),
         F.col("event_type").alias("point_code"),
+        F.lit("EVENT").alias("component"),
+        F.when(booth == 1, "LEFT").otherwise("RIGHT").alias("side"),
+        F.length("event_type").alias("point_number"),
         *_spec(STREAM_SPEC),
         pick(0).alias("shift_id"),
         pick(1).alias("shift_name"),

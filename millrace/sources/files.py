@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources.store import file_system
+
 #: Schemas of the canonical tables, as DDL; times of day are strings HH:mm:ss.
 SCHEMAS: dict[str, str] = {
     "dim_booth": "booth_id int, booth_name string, description string",
@@ -36,26 +39,46 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
 
 
+def read_extract(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A database extract as CSV: booleans are t and f, times are ISO; what is neither is NULL, as an empty field is."""
+    fields = T.StructType.fromDDL(schema).fields
+    raw = read_csv(spark, path, T.StructType([T.StructField(f.name, T.StringType()) for f in fields]))
+    flag = lambda c: F.when(F.lower(F.trim(c)).isin("t", "true"), True).when(F.lower(F.trim(c)).isin("f", "false"), False)
+    return raw.select(*[(flag(F.col(f.name)) if isinstance(f.dataType, T.BooleanType) else F.expr(f"try_cast(`{f.name}` as {f.dataType.simpleString()})")).alias(f.name) for f in fields])
+
+
 def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
 def load(spark: SparkSession, folder: str, out: str, tables: tuple[str, ...] = ORDER, check=None) -> DataFrame:
     """Reads folder's CSV tables, checks them and writes them as Parquet; nothing is written if a target has rows or a
-    check finds violations.  Returns (table_name, staged, loaded)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    check finds violations.  All tables are written aside first and moved in one go at the end, and taken back if a move
+    fails, so a failed load leaves no table behind and can be run again.  Returns (table_name, staged, loaded)."""
+    fs, _ = file_system(spark, out)
+    path = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
     for t in tables:
-        at = jvm.org.apache.hadoop.fs.Path(f"{out}/{t}.parquet")
-        if at.getFileSystem(conf).exists(at):
+        if fs.exists(path(f"{out}/{t}.parquet")):
             raise FileExistsError(f"{t} has been loaded before")
     staged = {t: read_csv(spark, f"{folder}/{t}.csv", SCHEMAS[t]) for t in tables}
     if check is not None:
         bad = check(staged).where("violations > 0").collect()
         if bad:
             raise ValueError(f"not loaded: {[(r['check'], r['violations']) for r in bad]}")
-    for t in tables:
-        staged[t].write.mode("errorifexists").parquet(f"{out}/{t}.parquet")
+    aside, moved = f"{out}/_loading-{uuid.uuid4().hex}", []
+    try:
+        for t in tables:
+            staged[t].write.mode("errorifexists").parquet(f"{aside}/{t}.parquet")
+        for t in tables:
+            if not fs.rename(path(f"{aside}/{t}.parquet"), path(f"{out}/{t}.parquet")):
+                raise OSError(f"{t} could not be moved into place")
+            moved.append(t)
+    except BaseException:
+        for t in moved:
+            fs.delete(path(f"{out}/{t}.parquet"), True)
+        raise
+    finally:
+        fs.delete(path(aside), True)
     rows = None
     for t in tables:
         one = staged[t].agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("staged")).crossJoin(spark.read.parquet(f"{out}/{t}.parquet").agg(F.count(F.lit(1)).alias("loaded")))
@@ -88,6 +111,16 @@ def as_json(row: dict) -> str:
     return json.dumps(row, sort_keys=True, default=str)
 
 
+def json_rows(df: DataFrame) -> DataFrame:
+    """Each row as JSON with its keys sorted and its nulls kept: `report`."""
+    return df.select(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}).alias("report"))
+
+
+def series(spark: SparkSession, first: int, last: int, step: int = 1) -> DataFrame:
+    """The integers from first to last, both included: `value`."""
+    return spark.range(first, last + 1, step).withColumnRenamed("id", "value")
+
+
 def parameterised(spark: SparkSession, sql: str, **args) -> DataFrame:
     """A query with named parameters :name."""
     return spark.sql(sql, args=args)

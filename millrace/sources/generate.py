@@ -60,13 +60,17 @@ def normal(seed: int, purpose: str, *ids: str | Column) -> Column:
 def dimensions(spark: SparkSession) -> dict[str, DataFrame]:
     make = lambda rows, name: spark.createDataFrame(rows, SCHEMAS[name].replace("decimal(10,3)", "string"))
     points = [(f"{code}-{side[0]}{k}", component, side, k) for code, component, side, n in POINT_GROUPS for k in range(1, n + 1)]
-    axes = [(a, (a + 1) // 2, f"TRACK_{a:02}") for a in range(1, 5)]
-    robots = [(r, (r + 1) // 2, f"ROBOT_{r:02}", "six-axis coating robot", "ACTIVE") for r in range(1, 9)]
+    booths = make([(i, b, f"Coating booth {i}") for i, b in enumerate(BOOTHS, 1)], "dim_booth")
+    # Children name their parents; the ids are looked up.
+    tracks = spark.createDataFrame([(a, f"TRACK_{a:02}", BOOTHS[(a - 1) // 2]) for a in range(1, 5)], "track_axis_id int, track_name string, booth_name string")
+    axes = tracks.join(F.broadcast(booths.select("booth_name", "booth_id")), "booth_name").select("track_axis_id", "booth_id", "track_name")
+    named = spark.createDataFrame([(r, f"TRACK_{(r + 1) // 2:02}", f"ROBOT_{r:02}", "six-axis coating robot", "ACTIVE") for r in range(1, 9)], "robot_id int, track_name string, robot_name string, robot_type string, status string")
+    robots = named.join(F.broadcast(axes.select("track_name", "track_axis_id")), "track_name").select("robot_id", "track_axis_id", "robot_name", "robot_type", "status")
     spec = make([(1, *SPECIFICATION)], "dim_specification")
     return {
-        "dim_booth": make([(i, b, f"Coating booth {i}") for i, b in enumerate(BOOTHS, 1)], "dim_booth"),
-        "dim_track_axis": make(axes, "dim_track_axis"),
-        "dim_robot": make(robots, "dim_robot"),
+        "dim_booth": booths,
+        "dim_track_axis": axes,
+        "dim_robot": robots,
         "dim_shift": make([(i, *s) for i, s in enumerate(SHIFTS, 1)], "dim_shift"),
         "dim_measurement_point": make([(i, *p, f"{p[1].lower()} point {p[3]}") for i, p in enumerate(points, 1)], "dim_measurement_point"),
         "dim_specification": spec.withColumns({c: F.col(c).cast("decimal(10,3)") for c in ("lsl", "target", "usl")}),
