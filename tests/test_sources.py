@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import baseline, checks, enrich, quality, rules
 from millrace.plans import views
-from millrace.sources import files, generate
+from millrace.sources import files, generate, store
 from millrace.streaming import monitor
 
 
@@ -114,3 +114,60 @@ def test_streaming_rules_agree_with_batch(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.table("monitored").select(cols).collect())
     want = sorted(tuple(r) for r in rules.spc_results(df.withColumns({"booth_name": F.lit("B"), "point_code": F.lit("P"), "shift_name": F.lit("S")}), b, "Europe/Budapest").select(cols).collect())
     assert got == want and any(w[5] for w in want)
+
+
+def test_load_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    dims = generate.dimensions(spark)
+    names = ("dim_booth", "dim_shift", "dim_specification")
+    for n in names:
+        dims[n].coalesce(1).write.option("header", True).csv(str(tmp_path / f"{n}.csv"))
+    out = tmp_path / "out"
+    broken = dict(files.SCHEMAS) | {"dim_specification": files.SCHEMAS["dim_specification"].replace("unit string", "unit int")}
+    with monkeypatch.context() as m:
+        m.setattr(files, "SCHEMAS", broken)
+        with pytest.raises(Exception):
+            files.load(spark, str(tmp_path), str(out), names)
+    assert not out.exists() or not list(out.iterdir())
+    assert {r["table_name"]: (r["staged"], r["loaded"]) for r in files.load(spark, str(tmp_path), str(out), names).collect()} == {"dim_booth": (2, 2), "dim_shift": (3, 3), "dim_specification": (1, 1)}
+    with pytest.raises(FileExistsError):
+        files.load(spark, str(tmp_path), str(out), names)
+    assert sorted(p.name for p in out.iterdir()) == sorted(f"{n}.parquet" for n in names)
+
+
+def test_extract_and_json(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("k,ok,at,v\n1,t,2026-01-02 03:04:05,1.5\n2,f,soon,\n3,,2026-01-02 00:00:00,x\n")
+    got = files.read_extract(spark, str(tmp_path / "x.csv"), "k int, ok boolean, at timestamp_ntz, v double").orderBy("k").collect()
+    assert [(r["ok"], str(r["at"]), r["v"]) for r in got] == [(True, "2026-01-02 03:04:05", 1.5), (False, "None", None), (None, "2026-01-02 00:00:00", None)]
+    rows = files.json_rows(spark.createDataFrame([(2, None)], "b int, a string")).collect()
+    assert rows[0]["report"] == '{"a":null,"b":2}' and files.as_json({"b": 1, "a": None}) == '{"a": null, "b": 1}'
+
+
+def test_stored_results_are_made_once_and_again_when_old_or_changed(spark, tmp_path):
+    made, now = [], [0.0]
+
+    def make():
+        made.append(1)
+        return spark.range(len(made))
+
+    source = tmp_path / "in.parquet"
+    spark.range(3).write.parquet(str(source))
+    get = lambda: store.stored(spark, "t", [str(source)], make, ttl=10, clock=lambda: now[0]).count()
+    assert (get(), get(), len(made)) == (1, 1, 1)
+    now[0] = 11.0
+    assert (get(), len(made)) == (2, 2)
+    spark.range(5).write.mode("overwrite").parquet(str(source))
+    assert (get(), len(made)) == (3, 3)
+
+
+def test_jdbc_scan(spark):
+    url = "jdbc:derby:memory:millrace;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    try:
+        spark.range(100).selectExpr("cast(id as int) as k", "id * 2 as v").write.jdbc(url, "t", mode="overwrite", properties=driver)
+    except Exception as error:
+        pytest.skip(f"no embedded database: {str(error)[:80]}")
+    df = files.read_jdbc(spark, url, "t", key="k", bounds=(0, 100), parts=4, columns=["k", "v"], **driver)
+    assert df.rdd.getNumPartitions() == 4 and df.count() == 100
+    assert [r["k"] for r in files.rows_in_order(df, ["k"])] == list(range(100))
+    with pytest.raises(ValueError, match="lacks"):
+        files.read_jdbc(spark, url, "t", columns=["k", "nothing"], **driver)

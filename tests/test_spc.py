@@ -6,7 +6,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import baseline, capability, checks, compare, drift, frames, lifecycle, quality, rules, summaries
+from millrace.functions import formulas
+from millrace.operators import baseline, capability, checks, compare, drift, enrich, frames, lifecycle, quality, rules, summaries
 
 T0 = dt.datetime(2026, 3, 2, 6)
 LIMITS = {"center_line": "0", "sigma": "1", "i_lcl": "-3", "i_ucl": "3", "mr_center": "1.128", "mr_ucl": "3.685176"}
@@ -307,3 +308,88 @@ def test_checks(spark):
     assert [r["k"] for r in checks.duplicates(a, "k").collect()] == [2]
     assert checks.group_size(a, ["k"], 1, 1).count() == 1
     assert checks.not_null(a, "k").first()["violations"] == 0 and checks.accepted(a, "k", [2]).first()["violations"] == 1
+
+
+def test_normal_quantile(spark):
+    from statistics import NormalDist
+
+    ps = [1e-6, 0.001, 0.02, 0.0243, 0.1, 0.5, 0.77, 0.976, 0.99999]
+    got = spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0]], "p double").select("p", formulas.normal_quantile("p").alias("z")).collect()
+    assert all(abs(r["z"] - NormalDist().inv_cdf(r["p"])) < 1e-7 for r in got[: len(ps)]) and [r["z"] for r in got[len(ps) :]] == [None, None]
+
+
+def test_instants_do_not_depend_on_the_sessions_zone(spark):
+    df = spark.sql("select timestamp_ntz'2026-07-01 12:30:00.25' as t")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        micros = set()
+        for z in ("UTC", "Europe/Budapest", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            micros.add(df.select(F.unix_micros(formulas.instant("t", "Europe/Budapest"))).first()[0])
+        assert micros == {1782901800250000}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_drift_input_violations(spark):
+    schema = "measurement_id long, measurement_timestamp string, production_month string, shift_instance string, shift_id int, shift_name string, measured_value string, target string"
+    day, good = "2026-01-05", lambda i, **k: (i, f"2026-01-05 08:00:0{i}", day, "2026-01-05 06:00:00", k.get("shift", 1), k.get("name", "S1"), k.get("v", "1.5"), k.get("t", "2"))
+    show = lambda rows: {r["check"]: r["violations"] for r in drift.input_violations(drift.coerced(spark.createDataFrame(rows, schema))).collect() if r["violations"]}
+    assert show([good(1), good(2)]) == {}
+    assert show([]) == {"no_rows": 1}
+    assert show([good(1), good(1)]) == {"repeated_id": 1}
+    assert show([good(1), good(2, name="S2")]) == {"instance_of_several_shifts": 1}
+    assert show([good(1, v="x"), good(2, v="NaN"), good(3, t="")]) == {"value_missing_or_not_finite": 2, "target_missing_or_not_finite": 1}
+    with pytest.raises(ValueError, match="missing"):
+        drift.input_violations(spark.createDataFrame([(1,)], "measurement_id long"))
+
+
+def test_checked_comparison(spark):
+    a = spark.createDataFrame([(1, 1.0, "x"), (2, 2.0, None), (3, 3.0, "z")], "id long, v double, s string")
+    b = spark.createDataFrame([(1, 1.0, "x"), (2, 2.0, None), (4, 3.0, "z")], "id long, v double, s string")
+    whole = compare.checked_report(a, b, ["id"]).first()
+    assert (whole["complete"], whole["error"], whole["verdict"], whole["matched"]) == (True, None, "FAIL", 2)
+    assert compare.checked_report(a, a, ["id"]).first()["verdict"] == "PASS"
+    odd = compare.checked_report(a.unionByName(a.where("id = 1")), b.withColumn("v", F.lit(float("nan"))), ["id"]).first()
+    assert (odd["complete"], odd["error"], odd["verdict"]) == (False, "source duplicate_key, target not_finite", "FAIL")
+    seen = []
+    assert compare.for_each_difference(compare.differences(a, b, ["id"]), ["id"], seen.append) == 2
+    assert [(r["id"], r["state"]) for r in seen] == [(3, "SOURCE_ONLY"), (4, "TARGET_ONLY")]
+    with pytest.raises(ZeroDivisionError):
+        compare.for_each_difference(compare.differences(a, b, ["id"]), ["id"], lambda r: 1 / 0)
+
+
+def test_comparison_of_catalog_tables_times_and_bytes(spark):
+    a = spark.sql("select 1 as id, binary('ab') as b, timestamp'2026-07-01 12:00:00+02:00' as t")
+    b = spark.sql("select 1 as id, binary('ab') as b, timestamp'2026-07-01 10:00:00Z' as u")
+    a.createOrReplaceTempView("cmp_a")
+    b.createOrReplaceTempView("cmp_b")
+    assert compare.compare_tables(spark, "cmp_a", "cmp_b", ["id"], rename={"u": "t"}).first()["verdict"] == "PASS"
+    with pytest.raises(compare.SchemaMismatch, match="no table"):
+        compare.compare_tables(spark, "cmp_a", "cmp_none", ["id"])
+    shown = compare.in_utc(a).select("t").first()["t"]
+    assert str(shown) == "2026-07-01 10:00:00" and dict(compare.in_utc(a).dtypes)["t"] == "timestamp_ntz"
+
+
+def test_one_to_one_and_expected_rows(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None)], "k long, v string")
+    assert checks.one_to_one(a, a.withColumnRenamed("v", "w"), ["k"]).count() == 2
+    with pytest.raises(Exception, match="not unique on the right"):
+        checks.one_to_one(a, a.unionByName(a).withColumnRenamed("v", "w"), ["k"]).collect()
+    keys = spark.createDataFrame([(None, 1, 5), ("a", None, 6), ("b", 1, 7)], "p string, q int, n int")
+    other = spark.createDataFrame([(None, 1, 5), ("a", None, 9)], "p string, q int, n int")
+    assert {(r["p"], r["q"], r["state"]) for r in checks.expected_rows(keys, other, ["p", "q"], ["n"]).collect()} == {("a", None, "DIFFERENT"), ("b", 1, "MISSING")}
+
+
+def test_positions_and_breaks_over_many_days(spark):
+    rows = spark.range(40_000).selectExpr("'B' as booth_name", "cast(id % 2 as string) as point_code", "id as measurement_id", "timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, 0, cast(id as int), 0) as measurement_timestamp", "id div 26000 as baseline_id")
+    placed = frames.positions(rows)
+    assert placed.where("position <> measurement_id div 2").isEmpty()
+    kept = placed.where("not (position between 9990 and 10010) and position <> 5").select("booth_name", "point_code", "position", "measurement_id", "baseline_id")
+    breaks = frames.with_breaks(kept).where("is_break").select("point_code", "position").collect()
+    assert {(r["point_code"], r["position"]) for r in breaks} == {(p, at) for p in "01" for at in (6, 10011, 13000)}
+
+
+def test_contract_names_what_is_missing(spark):
+    with pytest.raises(ValueError, match="point_number"):
+        enrich.staging(spark.createDataFrame([(1,)], "measurement_id long"))
