@@ -5,7 +5,8 @@ these last tokens is built left to right: a token t that ends at byte i is the l
 what its own bytes encode to and t may follow the last token of the prefix before it; it may, if the bytes
 of both, encoded together, give just these two.  Following the table backwards reads the encoding off.
 Since a prefix's entry never depends on later bytes, appending only adds entries (``Prefixes.append``), and
-an edit only needs new entries from the edit on (``Prefixes.replace``).
+an edit only needs new entries from the edit on, until as many entries after it as the longest token has bytes
+are what they were: from there on all are (``Prefixes.replace``).
 
 A text is first cut into the matches of the tokenizer's pattern and each match is encoded alone, like the
 tiktoken library does; a match that is a token as a whole is that token.  ``EncodedText`` keeps a text with
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -108,10 +109,15 @@ class Prefixes:
         self.append(data)
 
     def append(self, more: bytes) -> None:
-        v, start = self.v, len(self.data)
-        self.data = data = self.data + more
+        self.data += more
+        self._extend([], len(self.data), 0)
+
+    def _extend(self, old: list[int], first: int, shift: int) -> None:
+        """Entries up to the end of data; as soon as enough of those from `first` on are what old has `shift` before
+        them, the rest is taken from old."""
+        v, data, agreed = self.v, self.data, 0
         token_of, known, last, longest = v.usable.get, v.pairs.get, self.last, v.longest
-        for end in range(start + 1, len(data) + 1):
+        for end in range(len(last) + 1, len(data) + 1):
             for begin in range(end - longest if end > longest else 0, end):
                 token = token_of(data[begin:end])
                 if token is None:
@@ -127,12 +133,18 @@ class Prefixes:
                 break
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
+            if end > first:
+                # A later token begins in the last `longest` bytes, so it sees only entries and bytes that agree.
+                agreed = agreed + 1 if old[end - 1 - shift] == last[-1] else 0
+                if agreed >= longest:
+                    last += old[end - shift :]
+                    return
 
     def replace(self, start: int, end: int, new: bytes) -> None:
-        """data[start:end] becomes new; entries before start stay."""
-        rest = new + self.data[end:]
-        self.data, self.last = self.data[:start], self.last[:start]
-        self.append(rest)
+        """data[start:end] becomes new; entries before start stay, and those well after the edit."""
+        old, self.last = self.last, self.last[:start]
+        self.data = self.data[:start] + new + self.data[end:]
+        self._extend(old, start + len(new), len(new) - (end - start))
 
     def tokens(self) -> list[int]:
         out, at = [], len(self.data)
@@ -158,13 +170,14 @@ class EncodedText:
         first = max(0, bisect_right(self.starts, max(0, start - 1)) - 2)
         begin = self.starts[first] if self.starts else 0
         shift, safe = len(new) - (end - start), start + len(new)
-        old = {s + shift: i for i, s in enumerate(self.starts) if s >= end}
         self.text = self.text[:start] + new + self.text[end:]
         starts, pieces, tail = [], [], len(self.starts)
         for m in self.v.pattern.finditer(self.text, begin):
-            if m.start() >= safe and m.start() in old:
-                tail = old[m.start()]  # from a common start on, the same characters are cut the same way
-                break
+            if m.start() >= safe and m.start() - shift >= end:
+                at = bisect_left(self.starts, m.start() - shift)
+                if at < len(self.starts) and self.starts[at] == m.start() - shift:
+                    tail = at  # from a common start on, the same characters are cut the same way
+                    break
             starts.append(m.start())
             pieces.append(self.v.encode_piece(m.group().encode()))
         self.starts = self.starts[:first] + starts + [s + shift for s in self.starts[tail:]]

@@ -4,7 +4,9 @@ Patterns (leftmost, non-overlapping per kind): assignments to a secret-like name
 Entropy: every maximal run of key characters is a candidate.  It is split by character class (hex, lower case
 and digits, all key characters); in each class's runs a window slides over the characters while the counts and
 the sum of c*log2(c) are updated by the one character that enters and the one that leaves.  Windows at or over
-the class's threshold merge to spans of kind `entropy`, unless the candidate is allow-listed.
+the class's threshold merge to spans of kind `entropy`, unless the candidate is allow-listed.  Candidates that are
+shorter than the window, down to `floor` characters, are judged as a whole, need letters and `digits` digits, and a
+higher entropy for their length.
 
 Defined cases: null is the empty text.  Rows are mapped one by one, so repeated ids, empty tables and further
 columns need nothing special.
@@ -16,6 +18,7 @@ import hashlib
 import math
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +29,11 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
+
+
+@lru_cache
+def _candidates(floor: int) -> re.Pattern:
+    return re.compile(f"[A-Za-z0-9+/_=-]{{{floor},}}")
 
 
 @dataclass(frozen=True)
@@ -34,6 +41,9 @@ class Entropy:
     """window: characters; bits: lowest entropy that counts, by class; least kinds of characters a window needs."""
 
     window: int = 24
+    floor: int = 16
+    digits: int = 3
+    short_bits: float = 3.4  # of at most log2(16) = 4
     hex_bits: float = 3.0
     lower_bits: float = 3.6
     key_bits: float = 4.0
@@ -73,10 +83,14 @@ def hot_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]:
 def entropy_spans(text: str, rule: Entropy = Entropy()) -> list[tuple[int, int]]:
     allow = _allow(rule.allow)
     spans: set[tuple[int, int]] = set()
-    for m in CANDIDATE.finditer(text):
+    for m in _candidates(min(rule.floor, rule.window)).finditer(text):
         word = m.group()
         if allow.fullmatch(word):
             continue
+        if len(word) < rule.window:
+            if len(word) >= rule.floor and sum(c.isdigit() for c in word) >= rule.digits and any(c.isalpha() for c in word) and hot_windows(word, len(word), rule.short_bits):
+                spans.add(m.span())
+            continue
         for name, pattern in _CLASSES:
             for run in pattern.finditer(word):
                 found = run.group()
