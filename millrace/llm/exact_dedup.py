@@ -30,7 +30,8 @@ WHITE = " \t\n\x0b\x0c\r"
 
 
 def normalised(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), WHITE, "")
+    """The text's bytes without white space."""
+    return F.translate(F.coalesce(text, F.lit("")), WHITE, "").cast("binary")
 
 
 def named(items: DataFrame, cols: list[str], **keep: Column) -> DataFrame:
@@ -40,8 +41,10 @@ def named(items: DataFrame, cols: list[str], **keep: Column) -> DataFrame:
 
 
 def blocks_of(norm: Column, block: int) -> Column:
-    """The blocks of a normalised text; the empty text is one empty block."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(norm) / F.lit(float(block))).cast("int") - 1)), lambda i: F.substring(norm, i * block + 1, F.lit(block)))
+    """The blocks of a normalised text, `block` bytes each; the empty text is one empty block.  norm is a column, so that
+    it is not made again for each block; a block of bytes is found without reading what is before it."""
+    last = F.greatest(F.lit(0), F.ceil(F.octet_length(norm) / F.lit(float(block))).cast("int") - 1)
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(norm, i * block + 1, F.lit(block)))
 
 
 def _pair(block: Column) -> dict[str, Column]:
@@ -50,9 +53,9 @@ def _pair(block: Column) -> dict[str, Column]:
 
 def identities(texts: DataFrame, block: int = 2048) -> tuple[DataFrame, DataFrame]:
     """(_key, n_blocks and name: equal for two rows exactly if their texts are; the other columns of texts, and _key).
-    texts: _key, text and further columns."""
-    blocks = blocks_of(normalised(F.col("text")), block)
-    about = texts.select(*[c for c in texts.columns if c != "text"], F.transform(blocks, lambda b: F.struct(*[c.alias(n) for n, c in _pair(b).items()])).alias("pairs"))
+    texts: _key, norm and further columns."""
+    blocks = blocks_of(F.col("norm"), block)
+    about = texts.select(*[c for c in texts.columns if c != "norm"], F.transform(blocks, lambda b: F.struct(*[c.alias(n) for n, c in _pair(b).items()])).alias("pairs"))
     about = written(about, "about")
     each = texts.select("_key", F.posexplode(blocks).alias("at", "block"))
     names = written(named(each, ["block"], **_pair(F.col("block"))), "block-names")
@@ -94,8 +97,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_code_points, _key."""
     keyed = with_key(plain(docs, id_col, text_col).toDF("doc_id", "text"), "doc_id", "exact-dedup")
     text = F.col("text").cast("string")
-    about = {"n_code_points": F.length(F.coalesce(text, F.lit(""))), "text_sha256": F.sha2(normalised(text).cast("binary"), 256)}
-    names, about = identities(keyed.select("_key", "doc_id", text.alias("text"), *[c.alias(n) for n, c in about.items()]))
+    texts = keyed.select("_key", "doc_id", F.length(F.coalesce(text, F.lit(""))).alias("n_code_points"), normalised(text).alias("norm"))
+    names, about = identities(texts.withColumn("text_sha256", F.sha2("norm", 256)))
     rows = written(about.join(names, "_key"), "identities")
     same = ["n_blocks", "name"]
     # The most code points stay, then the smallest key, which is in the order of the ids.
