@@ -59,7 +59,7 @@ def hot_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     n = min(window, len(run))
     if n < window:
         return []
-    xlog = [0.0] + [c * math.log2(c) for c in range(1, n + 1)]
+    xlog = [0.0] + [c * math.log2(c) for c in range(1, n + 2)]  # one more: a character enters before one leaves
     counts: dict[str, int] = {}
     total, out = 0.0, []
     for i, ch in enumerate(run):

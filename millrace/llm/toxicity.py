@@ -16,8 +16,8 @@ Bounds.  Lexicon and model are fitted on at most `sample` labelled rows, those w
 all terms of these rows are judged, and every term that passes and finds a toxic document that no other taken term
 finds is taken.  Scoring is one pass over whole texts without a shuffle.
 
-Defined cases: null text is empty; empty texts get the score of no hit.  Without toxic and clean labelled rows
-every score is the model's prior (0.1).  A document that has several labels counts as toxic if one says so; null
+Defined cases: null text is empty; empty texts get the score of no hit.  Without toxic and clean labelled rows,
+or a term that tells them apart, every score is the model's prior (0.1).  A document that has several labels counts as toxic if one says so; null
 labels are none.  A null id counts as the empty string for the fold.  Rows that repeat an id are scored each.
 """
 
@@ -332,6 +332,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     # At most `sample` short lists.
     lists = [r["terms"] for r in rows.where("_toxic").mapInArrow(held, "terms array<string>").collect()]
     words, stems = cover(lists)
+    if not words and not stems:
+        release(rows)
+        return Model()
     found = Lexicon(words, stems)
 
     # Words one edit away that clean documents hold are no misspellings.

@@ -68,7 +68,7 @@ def test_exact_dedup_long_blocks_and_near_misses(spark):
     base = "ab" * 5000
     texts = {1: base, 2: base, 3: base[:5000] + "c" + base[5001:], 4: base + "c", 5: base[:5000] + "c" + base[5001:]}
     df = frame(spark, texts)
-    found = exact_dedup.identities(df.select(F.col("doc_id").alias("_key"), "text"), block=64)[0].collect()
+    found = exact_dedup.identities(df.select(F.col("doc_id").alias("_key"), exact_dedup.normalised(F.col("text")).alias("norm")), block=64)[0].collect()
     names = {r["_key"]: (r["n_blocks"], r["name"]) for r in found}
     assert names[1] == names[2] and names[3] == names[5] and len(set(names.values())) == 3
 
