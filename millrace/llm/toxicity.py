@@ -9,12 +9,12 @@ labelled documents hold are words of their own and do not count.
 
 Each hit gets a context window: inside a pair of quotation marks, however far apart, or near a word that reports what
 others said, it is a quotation.  Reporting words are a fixed few and those that labelled clean documents hold near
-hits far more often than toxic ones.  A logistic model over the direct hits, the misspelt ones, the quoted ones and
-the density of the direct ones learns what each is worth, and gives the score.
+hits far more often than toxic ones.  A logistic model learns what direct hits, misspelt ones, quoted ones and further
+direct ones are worth, and gives the score.
 
 Bounds.  Lexicon and model are fitted on at most `sample` labelled rows, those with the smallest hash of their id;
-all terms of these rows are judged, and every term that passes and finds a toxic document that no other taken term
-finds is taken.  Scoring is one pass over whole texts without a shuffle.
+all terms of these rows are judged, and every term is taken whose toxic documents, and whose different surroundings in
+them, are more than chance.  Scoring is one pass over whole texts without a shuffle.
 
 Defined cases: null text is empty; empty texts get the score of no hit.  Without toxic and clean labelled rows,
 or a term that tells them apart, every score is the model's prior (0.1).  A document that has several labels counts as toxic if one says so; null
@@ -25,8 +25,8 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from dataclasses import dataclass, field
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -185,14 +185,15 @@ def hits(text: str, matcher: Matcher, window: int = 6) -> list[tuple[int, int, b
     return out
 
 
-FEATURES = 4
+FEATURES = 5
 
 
 def features(found: list[tuple[int, int, bool]], n_words: int) -> tuple[float, ...]:
-    """The logarithms of the numbers of direct, misspelt direct and quoted hits, and the direct ones' density."""
+    """Whether there is a direct hit, whether all of them are misspelt, the logarithms of the numbers of quoted hits and of
+    direct ones, and the direct ones' density."""
     direct = sum(not q for _, _, q in found)
-    misspelt = sum(bool(e) and not q for _, e, q in found)
-    return math.log1p(direct), math.log1p(misspelt), math.log1p(len(found) - direct), min(1.0, 10 * direct / max(1, n_words))
+    spelt = sum(not e and not q for _, e, q in found)
+    return float(direct > 0), float(direct > 0 and not spelt), math.log1p(len(found) - direct), math.log1p(direct), min(1.0, 10 * direct / max(1, n_words))
 
 
 def measure(text: str, matcher: Matcher) -> tuple[list[tuple[int, int, bool]], tuple[float, ...]]:
@@ -231,17 +232,18 @@ def _term_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[t][0] for t in terms], pa.int64()), pa.array([counts[t][1] for t in terms], pa.int64())], ["term", "toxic", "clean"])
 
 
+def nats(a: int, b: int, base: float) -> float:
+    """How much more likely a toxic and b clean documents are at their own share than at the share `base`."""
+    p = a / (a + b)
+    return a * math.log(p / base) + (b * math.log((1 - p) / (1 - base)) if b else 0.0)
+
+
 def choose(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, n_terms: int, ratio: float = 40.0, margin: float = 2.0) -> tuple[list[str], list[str]]:
     """Words and stems whose share of the toxic documents is `ratio` times that of the clean ones, and that are not so
     by chance: of n_terms terms, less than exp(-margin) are expected to be by chance what they are."""
     base, evidence = n_toxic / (n_toxic + n_clean), math.log(max(1, n_terms)) + margin
-
-    def nats(a: int, b: int) -> float:
-        p = a / (a + b)
-        return a * math.log(p / base) + (b * math.log((1 - p) / (1 - base)) if b else 0.0)
-
     good = {t: a for t, a, b in rows if (a + 0.5) / (n_toxic + 1) >= ratio * (b + 0.5) / (n_clean + 1) or not b}
-    good = {t: a for t, a, b in rows if t in good and nats(a, b) >= evidence}
+    good = {t: a for t, a, b in rows if t in good and nats(a, b, base) >= evidence}
     words = {t: a for t, a in good.items() if not t.endswith("*") and len(t) >= 3}
     best: dict[str, int] = {}
     for w, a in words.items():
@@ -255,32 +257,6 @@ def choose(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, n_terms
     return sorted(w for w in words if not any(w.startswith(s) for s in stems)), sorted(stems)
 
 
-def cover(lists: list[list[str]]) -> tuple[list[str], list[str]]:
-    """The terms that a greedy cover of the toxic documents takes: a term that only goes with others, such as a rare
-    word of a much copied document, finds no document of its own and is left out."""
-    docs_of: dict[str, set[int]] = {}
-    terms_of: dict[int, list[str]] = {}
-    for i, terms in enumerate(lists):
-        terms_of[i] = terms
-        for t in terms:
-            docs_of.setdefault(t, set()).add(i)
-    taken: list[str] = []
-    heap = [(-len(d), t) for t, d in docs_of.items()]
-    heapify(heap)
-    while heap:
-        n, t = heappop(heap)
-        left = docs_of[t]
-        if len(left) < -n:  # some have been found by others since
-            if left:
-                heappush(heap, (-len(left), t))
-            continue
-        taken.append(t)
-        for i in list(left):
-            for other in terms_of.pop(i):
-                docs_of[other].discard(i)
-    return sorted(t for t in taken if not t.endswith("*")), sorted(t[:-1] for t in taken if t.endswith("*"))
-
-
 def _counted(rows: DataFrame, terms_in) -> DataFrame:
     """(term, toxic, clean): the documents that hold each of the terms that terms_in() finds in a text."""
 
@@ -321,17 +297,22 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     words, stems = choose([(r["term"], r["toxic"], r["clean"]) for r in top], n_toxic, n_clean, n_terms)
     known_words, known_stems = frozenset(words), frozenset(stems)
 
-    def held(batches):
+    # Copies of a text say nothing new: what counts in the end is in how many different surroundings a term occurs.
+    def surroundings(batches):
         for batch in batches:
-            terms = []
-            for text in batch.column(0):
-                own = set(WORD.findall((text.as_py() or "").lower()))
-                terms.append(sorted((own & known_words) | {f"{x}*" for w in own for x in _stems(w) if x in known_stems}))
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.string()))], ["terms"])
-
-    # At most `sample` short lists.
-    lists = [r["terms"] for r in rows.where("_toxic").mapInArrow(held, "terms array<string>").collect()]
-    words, stems = cover(lists)
+            seen: set[tuple[str, int, bool]] = set()
+            for text, toxic in zip(batch.column(0), batch.column(1)):
+                own = WORD.findall((text.as_py() or "").lower())
+                for i, w in enumerate(own):
+                    terms = [w] * (w in known_words) + [f"{x}*" for x in _stems(w) if x in known_stems]
+                    if terms:
+                        around = zlib.crc32(" ".join(own[max(0, i - 2) : i] + ["*"] + own[i + 1 : i + 3]).encode())
+                        seen.update((t, around, toxic.as_py()) for t in terms)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], t) for k, t in enumerate((pa.string(), pa.int64(), pa.bool_()))], ["term", "around", "toxic"])
+
+    found_in = rows.mapInArrow(surroundings, "term string, around long, toxic boolean").distinct()
+    found_in = found_in.groupBy("term").agg(F.count(F.when(F.col("toxic"), 1)).alias("toxic"), F.count(F.when(~F.col("toxic"), 1)).alias("clean")).collect()
+    words, stems = choose([(r["term"], r["toxic"], r["clean"]) for r in found_in], n_toxic, n_clean, n_terms)
     if not words and not stems:
         release(rows)
         return Model()
@@ -373,7 +354,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
 _NAMES = [f"x{i}" for i in range(FEATURES)]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[tuple[float, ...], float]:
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.1, steps: int = 50) -> tuple[tuple[float, ...], float]:
     """Newton steps on weighted rows; a ridge keeps separable data finite."""
     z = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
