@@ -460,12 +460,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = written(classes.select("_key", F.coalesce("rep", "_key").alias("rep"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")), "classes")
     first = classes.where("rep = _key").select("_key")
     ties = written(candidate_ties(sketched.where("n > 0").join(first, "_key", "left_semi"), f).distinct(), "ties")
-    sets_of = components(ties).select(F.col("node").alias("_key"), "component")
+    release(sketched, copies)
     # Written before it is joined back, so that a large set can be split.
-    sets_of = written(sets_of, "members")
-    sizes = written(sets_of.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "set-sizes")
-    sets_of = written(sets_of.join(sizes, "component"), "candidate-sets")
+    members = written(components(ties).select(F.col("node").alias("_key"), "component"), "members")
+    sizes = written(members.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "set-sizes")
+    sets_of = written(members.join(sizes, "component"), "candidate-sets")
     checked = written(verify(texts, sets_of, f), "verified")
+    release(ties, members, sizes, sets_of)
     links = checked.groupBy("_key").agg(F.sum("links").alias("n_links"))
     if checked.groupBy("_key").count().where("count > 1").isEmpty():
         groups = checked.select(F.col("_key").alias("node"), F.col("least").alias("component"))  # every set was one block
@@ -473,6 +474,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         groups = components(checked.select(F.col("_key").alias("a"), F.col("least").alias("b")))
     named = classes.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").join(links.select(F.col("_key").alias("rep"), "n_links"), "rep", "left")
     named = written(named.select("_key", "rep", "n_copies", F.coalesce("component", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
+    release(classes, checked)
     ids = texts.select("_key", "doc_id")
     out = named.join(ids, "_key")
     out = out.join(ids.select(F.col("_key").alias("class"), F.col("doc_id").alias("class_id")), "class").join(ids.select(F.col("_key").alias("rep"), F.col("doc_id").alias("copy_id")), "rep")
