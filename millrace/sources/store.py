@@ -5,6 +5,7 @@ new one.  It lies in the shared folder that the cluster names in spark.checkpoin
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import time
 import uuid
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Seconds that a stored result is good for.
 TTL = 3600.0
 
+_made: list[tuple[SparkSession, str]] = []
 _known: dict[tuple, tuple[float, str, object]] = {}
 
 
@@ -29,7 +31,21 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one; it is removed when the process ends."""
+    path = f"{shared_root(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _remove_all() -> None:
+    for spark, path in _made:
+        try:
+            if not spark.sparkContext._jsc.sc().isStopped():
+                fs, at = file_system(spark, path)
+                fs.delete(at, True)
+        except Exception:  # the session may be gone at exit
+            return
 
 
 def file_system(spark: SparkSession, path: str):
