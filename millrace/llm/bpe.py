@@ -1,7 +1,8 @@
 """Byte-level BPE by prefix dynamic programming (operator 2).
 
 For every byte prefix of a piece there is exactly one token that ends the prefix's encoding.  The table of
-these last tokens is built left to right: a token t that ends at byte i is the last one exactly if t is
+these last tokens is built left to right, from the tokens that an automaton finds to end at each byte: a token t that
+ends at byte i is the last one exactly if t is
 what its own bytes encode to and t may follow the last token of the prefix before it; it may, if the bytes
 of both, encoded together, give just these two.  Following the table backwards reads the encoding off.
 Since a prefix's entry never depends on later bytes, appending only adds entries (``Prefixes.append``), and
@@ -39,6 +40,7 @@ def load_ranks(content: bytes) -> dict[bytes, int]:
 
 class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import ahocorasick
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
@@ -47,28 +49,61 @@ class Vocabulary:
             self.bytes_of[rank] = token
         self.longest = max(map(len, ranks), default=0)
         self.pairs: dict[int, bool] = {}
-        #: The tokens that their own bytes encode to; no other can end a prefix.
-        self.usable = {token: rank for token, rank in ranks.items() if len(token) == 1 or self.merged(token) == [rank]}
+        #: The tokens that their own bytes encode to, no other can end a prefix; and the two that each was last merged from.
+        self.usable: dict[bytes, int] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
+        for token, rank in ranks.items():
+            parts = self._merge(token, 2)
+            if len(parts) == 2:  # which then merge to the token
+                self.halves[rank] = (ranks[parts[0]], ranks[parts[1]])
+            if len(parts) <= 2:
+                self.usable[token] = rank
+        self.finder = ahocorasick.Automaton()
+        for token, rank in self.usable.items():
+            self.finder.add_word(token.decode("latin-1"), (len(token), rank))
+        self.finder.make_automaton()
         self.packed = _Packed(self)
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: merge the pair of lowest rank, leftmost first, while there is one."""
+        return [self.ranks[p] for p in self._merge(data, 1)]
+
+    def _merge(self, data: bytes, least: int) -> list[bytes]:
+        """The parts that are left when no pair can be merged, or only `least` are left."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > least:
             ranked = [self.ranks.get(a + b, 1 << 40) for a, b in zip(parts, parts[1:])]
             rank = min(ranked)
             if rank == 1 << 40:
                 break
             at = ranked.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
 
     def may_follow(self, left: int, right: int) -> bool:
-        """Whether the bytes of both, encoded together, give just these two."""
+        """Whether the bytes of both, encoded together, give just these two.
+
+        They do unless, at some time while the two were made, the parts on either side of the border could have been
+        merged first.  The merges are undone from the last one on, the later of both sides' first; a merge over the
+        border that ranks below the one just undone would have come before it."""
         if len(self.pairs) > PAIRS:
             self.pairs.clear()
-        known = self.pairs[left << 32 | right] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-        return known
+        bytes_of, rank_of, halves = self.bytes_of, self.ranks.get, self.halves.get
+        a, b, undone, fits = left, right, 1 << 40, True
+        while True:
+            over = rank_of(bytes_of[a] + bytes_of[b])
+            if over is not None and over < undone:
+                fits = False
+                break
+            x, y = halves(a), halves(b)
+            if x is not None and (y is None or a > b):
+                undone, a = a, x[1]
+            elif y is not None:
+                undone, b = b + 1, y[0]  # of equal ranks the border's pair is further left, and comes first
+            else:
+                break
+        self.pairs[left << 32 | right] = fits
+        return fits
 
     def encode_piece(self, data: bytes) -> list[int]:
         rank = self.ranks.get(data)
@@ -115,30 +150,33 @@ class Prefixes:
     def _extend(self, old: list[int], first: int, shift: int) -> None:
         """Entries up to the end of data; as soon as enough of those from `first` on are what old has `shift` before
         them, the rest is taken from old."""
-        v, data, agreed = self.v, self.data, 0
-        token_of, known, last, longest = v.usable.get, v.pairs.get, self.last, v.longest
-        for end in range(len(last) + 1, len(data) + 1):
-            for begin in range(end - longest if end > longest else 0, end):
-                token = token_of(data[begin:end])
-                if token is None:
-                    continue
-                if begin:
-                    before = last[begin - 1]
-                    fits = known(before << 32 | token)
-                    if fits is None:
-                        fits = v.may_follow(before, token)
-                    if not fits:
-                        continue
-                last.append(token)
+        v, data, last, done, agreed = self.v, self.data, self.last, len(self.last), 0
+        known, longest = v.pairs.get, v.longest
+        from_ = max(0, done - longest + 1)
+        # The tokens that end at each byte, longest first.
+        for at, (size, token) in v.finder.iter(data[from_:].decode("latin-1")):
+            end = from_ + at + 1
+            if end <= done:
+                continue
+            if end > done + 1:
                 break
-            else:
-                raise ValueError("the vocabulary lacks a byte of the text")
+            if end > size:
+                before = last[end - size - 1]
+                fits = known(before << 32 | token)
+                if fits is None:
+                    fits = v.may_follow(before, token)
+                if not fits:
+                    continue
+            last.append(token)
+            done = end
             if end > first:
                 # A later token begins in the last `longest` bytes, so it sees only entries and bytes that agree.
-                agreed = agreed + 1 if old[end - 1 - shift] == last[-1] else 0
+                agreed = agreed + 1 if old[end - 1 - shift] == token else 0
                 if agreed >= longest:
                     last += old[end - shift :]
                     return
+        if done < len(data):
+            raise ValueError("the vocabulary lacks a byte of the text")
 
     def replace(self, start: int, end: int, new: bytes) -> None:
         """data[start:end] becomes new; entries before start stay, and those well after the edit."""
