@@ -346,17 +346,28 @@ def array_repeats(packed: DataFrame, leaves: DataFrame, least: int, bucket: int,
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
+        by_bucket: dict[int, list] = {}
+        held = 0
+
+        def sent():
+            rows = []
+            for b, own in by_bucket.items():
+                about = np.array([x[:7] for x in own], np.int64)
+                rows.append((ids[b], _pieces([about.ravel(), np.frombuffer(b"".join(x[7] for x in own), np.uint8)])))
+            by_bucket.clear()
+            return _rows(rows)
+
         for batch in batches:
-            by_bucket: dict[int, list] = {}
             for key, data, runs in zip(batch.column(0), batch.column(1), batch.column(2)):
                 data, key, flat = unzip.decompress(data.as_py()), key.as_py(), runs.values
                 for s, n, size, core, again, off in zip(*(flat.field(f).to_pylist() for f in ("start", "n", "size", "core", "again", "off"))):
                     by_bucket.setdefault((core & 0x7FFFFFFFFFFFFFFF) % len(ids), []).append((key, s, n, size, core, again, off, data[s : s + size]))
-            rows = []
-            for b, own in by_bucket.items():
-                about = np.array([x[:7] for x in own], np.int64)
-                rows.append((ids[b], _pieces([about.ravel(), np.frombuffer(b"".join(x[7] for x in own), np.uint8)])))
-            yield _rows(rows)
+                    held += size
+                if held >= bucket:
+                    yield sent()
+                    held = 0
+        if held:
+            yield sent()
 
     def array(key, table):
         places, parts = [], []
