@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 #: Bytes that separate words: space and \t \n \v \f \r.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Text is taken in slices of about so many bytes, which bounds the numpy temporaries.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _written: list[tuple[SparkSession, str]] = []
 

@@ -57,7 +57,7 @@ class Lexicon:
 class Matcher:
     """The lazily determinised intersection of the trie and its Levenshtein automata."""
 
-    def __init__(self, lexicon: Lexicon, cache: int = 300_000):
+    def __init__(self, lexicon: Lexicon, cache: int = 100_000):
         self.lexicon, self.cache, self.known = lexicon, cache, {}
         self.children: list[dict[str, int]] = [{}]
         self.word_end: dict[int, str] = {}
@@ -220,8 +220,8 @@ def _stems(word: str) -> list[str]:
 
 
 def _term_counts(batches):
-    """Of each batch: term, whether a stem, toxic and clean documents that hold it."""
-    for batch in batches:
+    """Of a few hundred texts at a time: term (stems end in *), toxic and clean documents that hold it."""
+    for batch in (b.slice(at, 300) for b in batches for at in range(0, b.num_rows, 300)):
         counts: dict[str, list[int]] = {}
         for text, toxic in zip(batch.column(0), batch.column(1)):
             words = set(WORD.findall((text.as_py() or "").lower()))
@@ -283,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     # At most `sample` pairs of numbers, so they can be sent to every task; of rows that repeat an id one is learned from.
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(marked), "_id")
     rows = rows.groupBy("_id").agg(F.max("_text").alias("_text"), F.max("_toxic").alias("_toxic")).select("_text", (F.col("_toxic") > 0).alias("_toxic"))
-    rows = written(rows, "labelled-texts")
+    rows = written(rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "labelled-texts")
     sizes = {r["_toxic"]: r["n"] for r in rows.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_clean:
