@@ -347,3 +347,25 @@ def test_runs_of_one_character_longer_than_the_window():
 def test_short_random_keys_are_found():
     spans = secrets.entropy_spans("key aG7x9Qp2Lm4Zt8Vw end, internationalisation 2024-01-01T00-00 0000000000000000")
     assert spans == [(4, 20)]
+
+
+# ---------------------------------------------------------------- long texts (chunks: see test_corpus)
+
+
+def test_texts_beyond_a_slice(spark):
+    rng = np.random.default_rng(51)
+    words = np.array([f"{k:05d}" for k in range(90_000)])
+    long = " ".join(words[rng.integers(0, len(words), 110_000)])
+    assert len(long) > common.SLICE
+    texts = {1: long, 2: long + " tail of its own", 3: "short one", 4: long.replace(" ", "\n ")}
+    df = frame(spark, texts)
+    ten = by_id(suffix_dedup.suffix_dedup(df))
+    assert [(ten[i]["n_bytes"], ten[i]["n_removed"], ten[i]["n_spans"]) for i in (1, 2, 3, 4)] == [(len(long), len(long), 1), (len(texts[2]), len(long), 1), (9, 0, 0), (len(texts[4]), 0, 0)]
+    eight = by_id(substring_dedup.substring_dedup(df))
+    assert [(eight[i]["n_words"], eight[i]["n_removed"]) for i in (1, 2, 3, 4)] == [(110_000, 0), (110_004, 110_000), (2, 0), (110_000, 110_000)]
+    three = by_id(exact_dedup.exact_dedup(df))
+    assert [three[i]["keep_id"] for i in (1, 2, 3, 4)] == [4, 2, 3, 4] and three[1]["group_size"] == 2
+    one = by_id(jaccard_join.jaccard_join(df))
+    assert [(one[i]["class_id"], one[i]["copy_id"], one[i]["n_links"]) for i in (1, 2, 3, 4)] == [(1, 1, 1), (1, 2, 1), (3, 3, 0), (1, 1, 1)]
+    six = by_id(lm.lm_scores(df, F.col("doc_id") == 1))
+    assert [(six[i]["n_tokens"], six[i]["n_known"]) for i in (1, 2, 3, 4)] == [(110_001, 110_001), (110_005, 110_001), (3, 1), (110_001, 110_001)]
