@@ -234,9 +234,22 @@ def count_trigrams(texts: DataFrame, known: np.ndarray, number: np.ndarray, widt
     return np.concatenate([p[0] for p in parts]).astype(np.int64), np.concatenate([p[1] for p in parts]).astype(np.int64)
 
 
-def _one_hot(at: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(at), width))
-    out[np.arange(len(at)), at] = 1
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b in pieces that are too small for the matrix library to start threads, which would spin on the driver."""
+    out = np.empty((len(a), b.shape[1]))
+    rows = max(1, (1 << 18) // (b.shape[0] * b.shape[1] + 1))
+    for at in range(0, len(a), rows):
+        np.matmul(a[at : at + rows], b, out=out[at : at + rows])
+    return out
+
+
+def _spread(at: np.ndarray, x: np.ndarray, width: int) -> np.ndarray:
+    """The sums of the rows of x that go to each of `width` places."""
+    order = np.argsort(at, kind="stable")
+    s = at[order]
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    out = np.zeros((width, x.shape[1]))
+    out[s[first]] = np.add.reduceat(x[order], first, axis=0)
     return out
 
 
@@ -254,7 +267,6 @@ def train(trigrams: np.ndarray, counts: np.ndarray, width: int, s: Settings = Se
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     total = counts.cumsum() if len(counts) else np.zeros(0)
     steps = s.steps or min(s.most_steps, max(s.least_steps, int(math.sqrt(counts.sum()) / 5)))
-    spread = lambda at, x: _one_hot(at, width).T @ x
     for step in range(1, (steps if len(counts) else 0) + 1):
         drawn = np.searchsorted(total, rng.integers(0, total[-1], s.batch), side="right")
         code = trigrams[drawn]
@@ -264,13 +276,14 @@ def train(trigrams: np.ndarray, counts: np.ndarray, width: int, s: Settings = Se
         context = r1 * C[0] + r2 * C[1]
         # The right class against its noise rate, and the batch's shared noise classes against theirs.
         pos = (context * Q[w]).sum(1) + b[w] - log_noise[w]
-        neg = context @ Q[negative].T + b[negative] - log_noise[negative]
+        neg = _product(context, Q[negative].T) + b[negative] - log_noise[negative]
         dpos = (1 / (1 + np.exp(-np.clip(pos, -30, 30))) - 1) / s.batch
         dneg = 1 / (1 + np.exp(-np.clip(neg, -30, 30))) / s.batch
-        dcontext = dpos[:, None] * Q[w] + dneg @ Q[negative]
-        gQ = spread(w, dpos[:, None] * context) + spread(negative, dneg.T @ context)
+        dcontext = dpos[:, None] * Q[w] + _product(dneg, Q[negative])
+        pulled = sum(dneg[at : at + 128].T @ context[at : at + 128] for at in range(0, s.batch, 128))
+        gQ = _spread(w, dpos[:, None] * context, width) + _spread(negative, pulled, width)
         gb = np.bincount(w, weights=dpos, minlength=width) + np.bincount(negative, weights=dneg.sum(0), minlength=width)
-        gR = spread(one, dcontext * C[0]) + spread(two, dcontext * C[1])
+        gR = _spread(one, dcontext * C[0], width) + _spread(two, dcontext * C[1], width)
         grads = [gR, gQ, np.stack([(dcontext * r1).sum(0), (dcontext * r2).sum(0)]), gb]
         rate = 0.02 * (1 - 0.9 * step / steps)
         for i, g in enumerate(grads):
@@ -280,7 +293,7 @@ def train(trigrams: np.ndarray, counts: np.ndarray, width: int, s: Settings = Se
     out = np.empty((width * width, width), np.float32)
     before = R * C[0]
     for two in range(width):
-        scores = (before + R[two] * C[1]) @ Q.T + b
+        scores = _product(before + R[two] * C[1], Q.T) + b
         scores[:, 0] = -np.inf  # nothing but a text's start has class 0
         top = scores.max(1, keepdims=True)
         out[two * width : (two + 1) * width] = (scores - top - np.log(np.exp(scores - top).sum(1, keepdims=True))) / math.log(10)
